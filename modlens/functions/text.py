@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -88,35 +88,46 @@ def alphabetic(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: t.rlike(P.LETTERS))
 
 
+def sql_list(words: Iterable[str]) -> str:
+    """Word list as SQL text: one parse instead of one call per word when the plan is built."""
+    quoted = (w.replace("\\", "\\\\").replace("'", "\\'") for w in words)
+    return "(" + ", ".join(f"'{w}'" for w in quoted) + ")"
+
+
+def apply_lambda(function: str, tokens: Column, body: str) -> Column:
+    """A higher-order function with its lambda given as SQL text."""
+    return F.call_function(function, tokens, F.expr(body))
+
+
 def drop_stopwords(tokens: Column, stop_words: Sequence[str] = tuple(W.STOP_WORDS)) -> Column:
-    return F.filter(tokens, lambda t: ~t.isin(*stop_words)) if stop_words else tokens
+    return apply_lambda("filter", tokens, f"t -> t NOT IN {sql_list(stop_words)}") if stop_words else tokens
 
 
-def _noun(word: Column, nouns: Sequence[str]) -> Column:
-    """Shortest singular of one token that the noun table knows, else the token itself."""
+def noun_rule(nouns: Sequence[str]) -> str:
+    """SQL lambda: the shortest singular of a token that the noun table knows, else the token."""
+    table = sql_list(nouns)
 
-    def known(candidate: Column, condition: Column) -> Column:
-        return F.when(condition & candidate.isin(*nouns), candidate)
+    def known(condition: str, candidate: str) -> str:
+        return f"CASE WHEN {condition} AND {candidate} IN {table} THEN {candidate} END"
 
-    n = F.length(word)
-    cut1, cut2, cut3 = (F.substring(word, F.lit(1), n - k) for k in (1, 2, 3))
+    cut1, cut2, cut3 = (f"left(w, length(w) - {k})" for k in (1, 2, 3))
+    exceptions = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in W.NOUN_EXCEPTIONS.items())
     rules = [
-        known(cut2, word.rlike("(s|x|z|ch|sh)es$")),
-        known(F.concat(cut3, F.lit("f")), word.endswith("ves")),
-        known(F.concat(cut3, F.lit("y")), word.endswith("ies")),
-        known(cut1, word.endswith("s")),
-        known(F.concat(cut3, F.lit("man")), word.endswith("men")),
+        known("(w LIKE '%ses' OR w LIKE '%xes' OR w LIKE '%zes' OR w LIKE '%ches' OR w LIKE '%shes')", cut2),
+        known("w LIKE '%ves'", f"concat({cut3}, 'f')"),
+        known("w LIKE '%ies'", f"concat({cut3}, 'y')"),
+        known("w LIKE '%s'", cut1),
+        known("w LIKE '%men'", f"concat({cut3}, 'man')"),
+        f"CASE w {exceptions} END",
     ]
-    for plural, singular in W.NOUN_EXCEPTIONS.items():
-        rules.append(F.when(word == plural, F.lit(singular)))
-    rule = F.coalesce(*rules, word)
-    return F.when(word.rlike("(s|men)$") | word.isin(*W.NOUN_EXCEPTIONS), rule).otherwise(word)
+    may_change = f"w LIKE '%s' OR w LIKE '%men' OR w IN {sql_list(W.NOUN_EXCEPTIONS)}"
+    return f"w -> CASE WHEN {may_change} THEN coalesce({', '.join(rules)}, w) ELSE w END"
 
 
 def lemmatise(tokens: Column, nouns: Sequence[str] = tuple(W.NOUNS)) -> Column:
     if len(nouns) > LITERAL_WORDS:
         raise ValueError("noun table too long for a literal; use lemmatise_with_table")
-    return F.transform(tokens, lambda t: _noun(t, nouns))
+    return apply_lambda("transform", tokens, noun_rule(nouns))
 
 
 def lemmatise_with_table(df: DataFrame, id_col: str, tokens_col: str, nouns: DataFrame) -> DataFrame:

@@ -150,8 +150,9 @@ class FeatureModel:
             base = f.apply(base, id_col, keep)
             keep += f.columns
         out = base.select(id_col, *keep[2:])
-        source = self.prepare(df, text_col, id_col)
-        for f in (f for f in self.families.values() if not f.row_local):
+        joined = [f for f in self.families.values() if not f.row_local]
+        source = self.prepare(df, text_col, id_col) if joined else None
+        for f in joined:
             out = out.join(f.apply(source, id_col, []), id_col, "left")
         return out.select(id_col, *[c for f in self.families.values() for c in f.columns])
 

@@ -88,13 +88,12 @@ def mutual_info_scores(df: DataFrame, features: Sequence[str], label: str, bins:
     edges = df.agg(
         *[F.percentile_approx(F.col(f).cast("double"), probs, 10_000).alias(f) for f in features]
     ).first()
-    binned = [
-        F.struct(
-            F.lit(f).alias("feature"),
-            F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges[f]]), lambda e, f=f: e < F.col(f))).alias("bin"),
-        )
-        for f in features
-    ]
+
+    def bin_of(feature: str) -> Column:
+        limits = F.array(*[F.lit(float(e)) for e in edges[feature]])
+        return F.size(F.filter(limits, lambda e: e < F.col(feature)))
+
+    binned = [F.struct(F.lit(f).alias("feature"), bin_of(f).alias("bin")) for f in features]
     joint = (
         df.select(F.col(label).alias("label"), F.inline(F.array(*binned)))
         .groupBy("feature", "bin", "label")
@@ -117,11 +116,12 @@ def correlated_pairs(df: DataFrame, features: Sequence[str], threshold: float =
     vec = VectorAssembler(inputCols=list(features), outputCol="v").transform(df.select(*features)).select("v")
     r = Correlation.corr(vec, "v").first()[0].toArray()
     i, j = np.where(np.triu(np.nan_to_num(np.abs(r)) >= threshold, 1))
-    names = np.array(features)
-    first, second = np.minimum(names[i], names[j]), np.maximum(names[i], names[j])
+    pairs = [sorted((features[a], features[b])) for a, b in zip(i, j, strict=True)]
     schema = pa.schema([("feature_a", pa.string()), ("feature_b", pa.string()), ("r", pa.float64())])
     return local_table(
-        df.sparkSession, {"feature_a": first.tolist(), "feature_b": second.tolist(), "r": r[i, j].tolist()}, schema
+        df.sparkSession,
+        {"feature_a": [p[0] for p in pairs], "feature_b": [p[1] for p in pairs], "r": r[i, j].tolist()},
+        schema,
     )
 
 

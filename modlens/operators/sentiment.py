@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from modlens.functions import patterns as P
 from modlens.functions import wordlists as W
-from modlens.functions.text import LITERAL_WORDS, fill_text, split_spaces, vector_terms
+from modlens.functions.text import LITERAL_WORDS, apply_lambda, fill_text, split_spaces, sql_list, vector_terms
 from modlens.sources.tables import local_table
 
 SENTIMENT = ["sent_pos", "sent_neg", "sent_neu", "sent_compound"]
@@ -56,9 +56,10 @@ def _with_valence(hits: DataFrame) -> DataFrame:
         word = F.col(f"p{distance}")
         low = F.lower(word)
         # The boost of the word before, in the direction of a positive value.
-        boost = F.when(low.isin(*W.BOOST_UP), W.BOOST).when(low.isin(*W.BOOST_DOWN), -W.BOOST)
+        within = lambda items, p=f"lower(p{distance})": F.expr(f"{p} IN {sql_list(items)}")
+        boost = F.when(within(W.BOOST_UP), W.BOOST).when(within(W.BOOST_DOWN), -W.BOOST)
         loud = F.when(is_caps(word) & mixed, W.CAPS).otherwise(0.0)
-        negated = low.isin(*W.NEGATIONS) | low.contains("n't")
+        negated = within(W.NEGATIONS) | low.contains("n't")
         df = (
             df.withColumn("step", F.coalesce((boost + loud) * weight, F.lit(0.0)))
             .withColumn("turn", F.when(negated, W.NEGATION).otherwise(1.0))
@@ -89,9 +90,8 @@ def sentiment_features(
     emphasis = bangs * 0.292 + F.when(questions > 3, 0.96).when(questions > 1, questions * 0.18).otherwise(0.0)
     words = list(lexicon)
     if len(words) <= LITERAL_WORDS:
-        places = F.filter(
-            F.transform(low, lambda t, i: F.when(t.isin(*words), i)), lambda i: i.isNotNull()
-        )
+        places = apply_lambda("transform", low, f"(t, i) -> CASE WHEN t IN {sql_list(words)} THEN i END")
+        places = F.filter(places, lambda i: i.isNotNull())
     else:
         places = F.transform(low, lambda _, i: i)
     base = base.select(
@@ -148,4 +148,4 @@ def sentiment_features(
 
 def lexicon_hits(col: Column, terms=tuple(W.ABUSE_TERMS)) -> Column:
     """Number of words of a text that are in a short term list."""
-    return F.size(F.filter(vector_terms(fill_text(col)), lambda t: t.isin(*terms)))
+    return F.size(apply_lambda("filter", vector_terms(fill_text(col)), f"t -> t IN {sql_list(terms)}"))

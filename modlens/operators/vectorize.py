@@ -34,14 +34,17 @@ DEMO = TfidfParams(10, 1, 0.9, (1, 3))
 
 
 def ngrams(tokens: Column, low: int, high: int) -> Column:
-    """All n-grams with low <= n <= high, words joined by a space."""
+    """All n-grams with low <= n <= high, words joined by a space.
+
+    Single elements are read by position; ``slice`` would copy the document once per n-gram.
+    """
 
     def of_size(n: int) -> Column:
         if n == 1:
             return tokens
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
-        grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
-        return F.coalesce(grams, F.array().cast("array<string>"))
+        starts = F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0)))
+        grams = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)]))
+        return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
 
     return of_size(low) if low == high else F.concat(*[of_size(n) for n in range(low, high + 1)])
 
@@ -62,12 +65,20 @@ def bag_of_words(terms: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def document_frequency(terms: DataFrame) -> DataFrame:
-    """``(term, df, tf)``.  A document's own repeats are merged before they leave the task."""
-    per_document = terms.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(
-        F.count("*").alias("df")
+    """``(term, df, tf)`` in one pass over the text.
+
+    Sorting a document's own terms marks the first of each run of equal ones, so both counts come from
+    the same exploded rows and are combined before the shuffle.
+    """
+    ordered = terms.select(F.sort_array("terms").alias("t"))
+    runs = F.transform(
+        "t", lambda w, i: F.struct(w.alias("term"), ((i == 0) | (F.get(F.col("t"), i - 1) != w)).alias("first"))
+    )
+    return (
+        ordered.select(F.inline(runs))
+        .groupBy("term")
+        .agg(F.count_if("first").alias("df"), F.count("*").alias("tf"))
     )
-    corpus = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
-    return per_document.join(corpus, "term")
 
 
 def vocabulary(terms: DataFrame, params: TfidfParams) -> DataFrame:

@@ -87,13 +87,16 @@ WORDS = f"words AS (SELECT doc_id, regexp_extract_all(lower(clean), {q(P.WORD2)}
 
 
 def grams(high: int) -> str:
-    parts = ["SELECT doc_id, unnest(ws) AS term FROM words"]
+    parts = ["SELECT doc_id, w1 AS term FROM seq"]
     for n in range(2, high + 1):
-        parts.append(
-            f"SELECT doc_id, unnest(list_transform(range(1, greatest(len(ws) - {n - 2}, 1)), "
-            f"lambda i: array_to_string(ws[i:i + {n - 1}], ' '))) AS term FROM words"
-        )
-    return "grams AS (" + " UNION ALL ".join(parts) + ")"
+        joined = " || ' ' || ".join(f"w{k}" for k in range(1, n + 1))
+        parts.append(f"SELECT doc_id, {joined} FROM seq WHERE w{n} IS NOT NULL")
+    lead = "".join(f", lead(w, {n - 1}) OVER (PARTITION BY doc_id ORDER BY pos) AS w{n}" for n in range(2, high + 1))
+    return (
+        "flat AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM words), "
+        f"seq AS (SELECT doc_id, w AS w1{lead} FROM flat), "
+        "grams AS (" + " UNION ALL ".join(parts) + ")"
+    )
 
 
 def frequency(high: int = 1, source: str = "") -> str:
@@ -406,17 +409,17 @@ def _oracle() -> dict[str, str]:
     o["vocabulary"] = (
         f"WITH {CLEAN}, {WORDS}, {frequency(2)}, {vocab(1000, 3, 0.9)} SELECT term, df, tf, idx, {r6('idf')} AS idf FROM vocab"
     )
-    weight = "tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id))"
-    tf = "tfs AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY ALL)"
+    weight = "c * idf / sqrt(sum(c * idf * c * idf) OVER (PARTITION BY doc_id))"
+    tf = "tfs AS (SELECT doc_id, term, count(*) AS c FROM grams GROUP BY ALL)"
     o["tfidf"] = (
         f"WITH {CLEAN}, {WORDS}, {frequency()}, {vocab(1000, 3, 0.9)}, {tf} "
-        f"SELECT doc_id, term, {r6(weight.replace('tf *', 'tfs.tf *').replace('* tf', '* tfs.tf'))} AS weight FROM tfs JOIN vocab USING (term)"
+        f"SELECT doc_id, term, {r6(weight)} AS weight FROM tfs JOIN vocab USING (term)"
     )
     size = "SELECT count(*) FROM tr"
     o["tfidf_transform_holdout"] = (
         f"WITH {CLEAN}, {WORDS}, {ranked('documents')}, tr AS (SELECT doc_id FROM ranked WHERE rn > ceil(n * 0.2::DOUBLE)), "
         f"{frequency(1, 'tr')}, {vocab(1000, 3, 0.9, size)}, {tf} "
-        f"SELECT doc_id, term, {r6(weight.replace('tf *', 'tfs.tf *').replace('* tf', '* tfs.tf'))} AS weight FROM tfs JOIN vocab USING (term) "
+        f"SELECT doc_id, term, {r6(weight)} AS weight FROM tfs JOIN vocab USING (term) "
         "WHERE doc_id NOT IN (SELECT doc_id FROM tr)"
     )
     # Scalar families
@@ -443,8 +446,8 @@ def _oracle() -> dict[str, str]:
     )
     o["mean_pooled_vectors"] = (
         f"WITH {CLEAN}, {WORDS}, {frequency()}, {vocab(500, 2, 0.9)}, v AS (SELECT term, embedding::DOUBLE[] AS x FROM vocab JOIN embeddings ON idx = vec_id), "
-        f"{tf}, j AS (SELECT doc_id, tfs.tf, unnest(x) AS val, unnest(range(64)) AS dim FROM tfs JOIN v USING (term)), "
-        "m AS (SELECT doc_id, dim, sum(tf * val) / sum(tf) AS value FROM j GROUP BY ALL), "
+        f"{tf}, j AS (SELECT doc_id, c, unnest(x) AS val, unnest(range(64)) AS dim FROM tfs JOIN v USING (term)), "
+        "m AS (SELECT doc_id, dim, sum(c * val) / sum(c) AS value FROM j GROUP BY ALL), "
         "g AS (SELECT doc_id, dim FROM documents, range(64) r(dim)) "
         f"SELECT g.doc_id, g.dim, {r6('coalesce(value, 0)')} AS value FROM g LEFT JOIN m USING (doc_id, dim)"
     )
