@@ -65,12 +65,12 @@ def stack(
 ) -> Stack:
     """Logistic regression on out-of-fold member probabilities; members are then refitted on all rows."""
     trainers = {k: v for k, v in trainers.items() if k not in ENSEMBLES}
-    data = materialise(add_folds(df, ["label"], folds, seed, id_col), "stack")
+    data = materialise(add_folds(df, ["label"], folds, seed, id_col), "stack", even=True)
     parts = []
     for f in range(folds):
         train, held = data.filter(F.col("fold") != f), data.filter(F.col("fold") == f)
         parts += [score(fit(train), held, id_col, name) for name, fit in trainers.items()]
-    out_of_fold = materialise(widen(reduce(DataFrame.unionByName, parts), list(trainers), id_col), "out-of-fold")
+    out_of_fold = materialise(widen(reduce(DataFrame.unionByName, parts), list(trainers), id_col), "out-of-fold", even=True)
     meta = logistic(assemble(out_of_fold, list(trainers), "label", id_col), max_iter=1000, standardise=False)
     return Stack({name: fit(data) for name, fit in trainers.items()}, meta, out_of_fold)
 

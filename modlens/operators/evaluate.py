@@ -210,8 +210,8 @@ def sweep_optima(sweep: DataFrame) -> DataFrame:
 
 def best_model(metrics: DataFrame, preferred: str | None = None) -> DataFrame:
     """Model of the largest F1, unless a preferred one is among them."""
-    rank = F.when(F.col("model") == F.lit(preferred), 0).otherwise(1) if preferred else F.lit(1)
-    return metrics.orderBy(rank, F.desc("f1"), "model").limit(1).select("model", "f1")
+    first = F.coalesce(F.col("model") == F.lit(preferred).cast("string"), F.lit(False))
+    return metrics.orderBy(F.desc(first), F.desc("f1"), "model").limit(1).select("model", "f1")
 
 
 def metrics_long(metrics: DataFrame) -> DataFrame:

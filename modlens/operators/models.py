@@ -77,7 +77,7 @@ def logistic(df: DataFrame, c: float = 1.0, max_iter: int = 5000, balanced: bool
     return Pipeline(stages=[*stages, LogisticRegression(**params)]).fit(balanced_weight(df) if balanced else df)
 
 
-def linear_svm(df: DataFrame, c: float = 1.0, balanced: bool = True, max_iter: int = 100, features_col: str = "features",
+def linear_svm(df: DataFrame, c: float = 1.0, balanced: bool = True, max_iter: int = 100,
                before: Sequence = ()) -> PipelineModel:
     """Linear support vector machine with Platt's sigmoid on the margin."""
     n = df.count()
@@ -95,16 +95,16 @@ def linear_svm(df: DataFrame, c: float = 1.0, balanced: bool = True, max_iter: i
 
 
 def kernel_svm(df: DataFrame, c: float = 1.0, gamma: float | str = "scale", kernel: str = "rbf", balanced: bool = False,
-               dimension: int = 128) -> PipelineModel:
+               dimension: int = 128, max_iter: int = 100) -> PipelineModel:
     """Linear SVM, or a Gaussian-kernel SVM through random Fourier features."""
     if kernel == "linear":
-        return linear_svm(df, c, balanced)
+        return linear_svm(df, c, balanced, max_iter)
     if kernel != "rbf":
         raise ValueError(f"unknown kernel {kernel!r}")
     # On standardised features "scale" and "auto" are both one over the feature count.
     width = 1.0 / df.first()["features"].size if isinstance(gamma, str) else gamma
     fourier = FourierFeatures(inputCol="scaled_input", outputCol="scaled", gamma=width, dimension=dimension, seed=SEED)
-    return linear_svm(df, c, balanced, before=[fourier])
+    return linear_svm(df, c, balanced, max_iter, before=[fourier])
 
 
 def _subset(value) -> str:

@@ -107,6 +107,7 @@ def component_data(df: DataFrame, max_k: int, fold_col: str = "fold") -> DataFra
             F.col(fold_col).cast("int").alias("fold"),
         ),
         "components",
+        even=True,
     )
 
 

@@ -194,11 +194,11 @@ def schedule_table(counted: DataFrame, factor: int = FACTOR, min_rows: int = MIN
 
 
 def survivors(scores: DataFrame, factor: int = FACTOR, by: Sequence[str] = ()) -> DataFrame:
-    """The best ``ceil(n/factor)`` candidates by mean score, ties by name.
+    """The best ``ceil(n/factor)`` candidates by mean score, ties (to nine digits) by name.
 
     There are as many rows as candidates, never as many as data rows.
     """
-    means = scores.groupBy(*by, "candidate").agg(F.avg("score").alias("score"))
+    means = scores.groupBy(*by, "candidate").agg(F.round(F.avg("score"), 9).alias("score"))
     order = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("score"), "candidate")
     size = Window.partitionBy(*(by or [F.lit(0)]))
     ranked = means.withColumn("rank", F.row_number().over(order)).withColumn("n", F.count("*").over(size))
@@ -250,7 +250,7 @@ def halving_search(
         share = min(1.0, rung.rows / n)
         sample = rank_slices(df, id_col, seed, {"cut": lambda m, s=share: F.ceil(m * s)}, ["label"], "_after")
         data = materialise(
-            add_folds(sample.filter("_after = 0").drop("_after"), ["label"], folds, seed, id_col), "rung"
+            add_folds(sample.filter("_after = 0").drop("_after"), ["label"], folds, seed, id_col), "rung", even=True
         )
         running = ranked[: rung.candidates]
         with ThreadPoolExecutor(parallelism) as pool:

@@ -232,11 +232,12 @@ def select_features(df: DataFrame, features: Sequence[str], label: str, method:
     return Selection(features, [f for f in features if f in kept])
 
 
-def l1_selection(df: DataFrame, features: Sequence[str], label: str, c: float = 1.0, floor: float = 1e-5) -> Selection:
+def l1_selection(df: DataFrame, features: Sequence[str], label: str, c: float = 1.0, floor: float = 1e-5,
+                 max_iter: int = 200) -> Selection:
     data = VectorAssembler(inputCols=list(features), outputCol="v").transform(df).select("v", F.col(label).alias("y"))
     n = data.count()
     model = LogisticRegression(
-        featuresCol="v", labelCol="y", elasticNetParam=1.0, regParam=1.0 / (c * n), standardization=False, maxIter=200
+        featuresCol="v", labelCol="y", elasticNetParam=1.0, regParam=1.0 / (c * n), standardization=False, maxIter=max_iter
     ).fit(data)
     w = np.abs(model.coefficients.toArray())
     return Selection(list(features), [f for f, x in zip(features, w, strict=True) if x >= floor])

@@ -94,7 +94,7 @@ def feature_rows(spark: SparkSession, d: str) -> DataFrame:
     """Feature vectors of labelled documents, written once: fits scan them many times."""
     docs = labelled(spark, d)
     rows = scoring.stream_features(docs.select("doc_id", "text")).join(labels(spark, d), "doc_id")
-    return materialise(models.assemble(rows, scoring.STREAM_FEATURES, "toxic", extra=["quality"]), "feature-rows")
+    return materialise(models.assemble(rows, scoring.STREAM_FEATURES, "toxic", extra=["quality"]), "feature-rows", even=True)
 
 
 # Sources, splits, samples --------------------------------------------------------------------------
@@ -399,7 +399,7 @@ def coef_cull(spark, d):
 
 
 def elasticnet_select(spark, d):
-    rows = materialise(labelled_lexical(spark, d), "lexical")
+    rows = materialise(labelled_lexical(spark, d), "lexical", even=True)
     result = select.elastic_net_selection(rows, LEX, "toxic", 0.001)
     return result.coefficients.join(result.selection.mask(spark), "feature").select(
         "feature", "coefficient", "kept", F.lit(result.alpha).alias("alpha"), F.lit(result.l1_ratio).alias("l1_ratio"),
@@ -408,8 +408,8 @@ def elasticnet_select(spark, d):
 
 
 def l1_select(spark, d):
-    rows = materialise(labelled_lexical(spark, d), "lexical")
-    return select.select_features(rows, LEX, "toxic", "model_based").mask(spark)
+    rows = materialise(labelled_lexical(spark, d), "lexical", even=True)
+    return select.l1_selection(rows, LEX, "toxic", max_iter=25).mask(spark)
 
 
 def holdout_mse(spark, d):
@@ -496,14 +496,14 @@ def _fit_and_score(trainer, name, spark, d):
     """Train on the training part, score the validation part."""
     parts = split.train_validation(feature_rows(spark, d), ["label"])
     train, test = parts.filter("part = 'train'"), parts.filter("part = 'validation'")
-    return models.score(trainer(materialise(train, "train")), test, name=name)
+    return models.score(trainer(materialise(train, "train", even=True)), test, name=name)
 
 
 def logreg_multilabel(spark, d):
     rows = feature_rows(spark, d).withColumn("toxic", F.col("label")).withColumn("x", vector_to_array("features"))
     names = scoring.STREAM_FEATURES
     wide = rows.select("doc_id", "toxic", "quality", *[F.col("x")[i].alias(n) for i, n in enumerate(names)])
-    _, scored = models.multilabel(wide, names, ["toxic", "quality"], partial(models.logistic, balanced=True, max_iter=100))
+    _, scored = models.multilabel(wide, names, ["toxic", "quality"], partial(models.logistic, balanced=True, max_iter=50))
     return scored(wide)
 
 
@@ -681,7 +681,7 @@ QUERIES |= {
     name: partial(_fit_and_score, trainer, name)
     for name, trainer in {
         "linear_svm_platt": partial(models.linear_svm, max_iter=30),
-        "rff_svm": partial(models.kernel_svm, dimension=64),
+        "rff_svm": partial(models.kernel_svm, dimension=64, max_iter=20),
         "random_forest": partial(models.random_forest, n_estimators=20, max_depth=6, class_weight="balanced"),
         "gbt": partial(models.gradient_boosting, n_estimators=10),
         "xgb_style": partial(models.xgb_style, n_estimators=10, max_depth=3),

@@ -568,7 +568,7 @@ def _oracle() -> dict[str, str]:
         "(VALUES ('0.2'), ('0.4'), ('0.6')) t(cut)), "
         "c AS (SELECT candidate, fold, count(*) FILTER (hit AND pos) AS tp, count(*) FILTER (hit AND NOT pos) AS fp, "
         "count(*) FILTER (NOT hit AND pos) AS fn FROM x GROUP BY ALL), "
-        f"m AS (SELECT candidate, avg(round({div('2 * tp', '2 * tp + fp + fn')}, 9)) AS score FROM c GROUP BY candidate), "
+        f"m AS (SELECT candidate, round(avg(round({div('2 * tp', '2 * tp + fp + fn')}, 9)), 9) AS score FROM c GROUP BY candidate), "
         "r AS (SELECT candidate, score, row_number() OVER (ORDER BY score DESC, candidate) AS rank, count(*) OVER () AS n FROM m) "
         f"SELECT candidate, {r6('score')} AS score, rank FROM r WHERE rank <= ceil(n / 3.0::DOUBLE)"
     )

@@ -97,7 +97,7 @@ def resampling_contest(train: DataFrame, test: DataFrame, fraction: float = 0.2,
     held = _arrays_to_rows(test)
     rows = []
     for method in methods:
-        resampled = materialise(_arrays_to_rows(resample.resample(sample, method, seed)), f"contest-{method}")
+        resampled = materialise(_arrays_to_rows(resample.resample(sample, method, seed)), f"contest-{method}", even=True)
         counts = {int(r["label"]): r["count"] for r in resampled.groupBy("label").count().collect()}
         if len(counts) < 2:
             rows.append((method, 0.0, counts.get(0, 0), counts.get(1, 0)))
@@ -117,13 +117,13 @@ def preprocess(train: DataFrame, test: DataFrame, config: JobConfig, id_col: str
     a, b = _rows_to_arrays(train, id_col), _rows_to_arrays(test, id_col)
     if config.reduction:
         a, b, _ = reduce_dimensions(a, b, config.reduction, config.components)
-    a, b = materialise(a, "reduced-train"), materialise(b, "reduced-test")
+    a, b = materialise(a, "reduced-train", even=True), materialise(b, "reduced-test", even=True)
     method = config.resampling
     if method is None:
         parts = split.train_validation(a, ["y"], config.test_size, config.seed, "id")
         fit_part, check_part = (parts.filter(f"part = '{p}'").drop("part") for p in ("train", "validation"))
         _, method = resampling_contest(fit_part, check_part, seed=config.seed)
-    grown = materialise(_arrays_to_rows(resample.resample(a, method, config.seed)), "resampled")
+    grown = materialise(_arrays_to_rows(resample.resample(a, method, config.seed)), "resampled", even=True)
     return grown.withColumnRenamed("id", id_col), _arrays_to_rows(b).withColumnRenamed("id", id_col), method
 
 

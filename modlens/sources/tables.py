@@ -109,11 +109,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+def materialise(df: DataFrame, name: str = "table", even: bool = False) -> DataFrame:
     """Write an intermediate result once and read it back: iterative jobs then rescan columns
-    instead of recomputing text features, and lost executors cost a file read."""
+    instead of recomputing text features, and lost executors cost a file read.
+
+    ``even`` lets Spark rebalance the files to its advisory size first, which suits tables that are
+    scanned many times.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.hint("rebalance") if even else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
