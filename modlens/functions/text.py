@@ -144,9 +144,9 @@ def lemmatise_with_table(df: DataFrame, id_col: str, tokens_col: str, nouns: Dat
         F.when(w.endswith("ies"), F.concat(F.substring(w, F.lit(1), n - 3), F.lit("y"))),
         F.when(w.endswith("s"), F.substring(w, F.lit(1), n - 1)),
         F.when(w.endswith("men"), F.concat(F.substring(w, F.lit(1), n - 3), F.lit("man"))),
-        *[F.when(w == k, F.lit(v)) for k, v in W.NOUN_EXCEPTIONS.items()],
     )
-    vocabulary = words.filter(w.rlike("(s|men)$") | w.isin(*W.NOUN_EXCEPTIONS)).select("word").distinct()
+    irregular = F.coalesce(*[F.when(w == k, F.lit(v)) for k, v in W.NOUN_EXCEPTIONS.items()])
+    vocabulary = words.filter(w.rlike("(s|men)$")).select("word").distinct()
     lemmas = (
         vocabulary.select("word", F.posexplode(cuts).alias("rule", "noun"))
         .filter(F.col("noun").isNotNull())
@@ -154,7 +154,7 @@ def lemmatise_with_table(df: DataFrame, id_col: str, tokens_col: str, nouns: Dat
         .groupBy("word")
         .agg(F.min_by("noun", "rule").alias("lemma"))
     )
-    back = words.join(lemmas, "word", "left").withColumn("lemma", F.coalesce("lemma", "word"))
+    back = words.join(lemmas, "word", "left").withColumn("lemma", F.coalesce("lemma", irregular, "word"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "lemma")))
     rebuilt = back.groupBy(id_col).agg(F.transform(ordered, lambda s: s["lemma"]).alias("lemmas"))
     return df.join(rebuilt, id_col, "left").withColumn(

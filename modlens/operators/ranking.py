@@ -121,7 +121,7 @@ def running_totals(
     """
     probabilities = [i / buckets for i in range(1, buckets)]
     limits = sorted(set(df.approxQuantile(order, probabilities, 0.5 / buckets)))
-    splits = [-float("inf"), *limits, float("inf")]
+    splits = [-float("inf"), *(limits or [0.0]), float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol=order, outputCol="_bucket").transform(df)
     bucket_sums = bucketed.groupBy(group, "_bucket").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
     above = Window.partitionBy(group).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
