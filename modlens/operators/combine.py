@@ -21,7 +21,7 @@ from modlens.operators.pos import POS, pos_features
 from modlens.operators.sentiment import SENTIMENT, sentiment_features
 from modlens.operators.topics import TopicModel, TopicParams
 from modlens.operators.vectorize import TfidfModel, TfidfParams
-from modlens.sources.tables import local_table
+from modlens.sources.tables import local_table, materialise
 
 RAW, CLEAN = "_raw", "_clean"
 
@@ -34,6 +34,7 @@ class Fitted:
     size: int
     apply: Callable[[DataFrame, str, Sequence[str]], DataFrame]
     row_local: bool = False
+    input_col: str = CLEAN
 
 
 @dataclass
@@ -70,7 +71,7 @@ def _scalar(columns, function, input_col, row_local) -> Family:
                 return function(new, input_col, id_col, keep)
             return function(new, input_col, id_col)
 
-        return Fitted(list(columns), len(columns), apply, row_local)
+        return Fitted(list(columns), len(columns), apply, row_local, input_col)
 
     return Family(fit, input_col)
 
@@ -145,13 +146,16 @@ class FeatureModel:
     def columns(self, df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
         """All family columns (scalars and vectors) by id."""
         base = self.prepare(df, text_col, id_col)
+        joined = [f for f in self.families.values() if not f.row_local]
+        chained = any(f.row_local and f.input_col == CLEAN for f in self.families.values())
+        if chained + sum(f.input_col == CLEAN for f in joined) > 1:
+            base = materialise(base, "clean")  # several branches read the cleaned text
+        source = base
         keep = [RAW, CLEAN]
         for f in (f for f in self.families.values() if f.row_local):
             base = f.apply(base, id_col, keep)
             keep += f.columns
         out = base.select(id_col, *keep[2:])
-        joined = [f for f in self.families.values() if not f.row_local]
-        source = self.prepare(df, text_col, id_col) if joined else None
         for f in joined:
             out = out.join(f.apply(source, id_col, []), id_col, "left")
         return out.select(id_col, *[c for f in self.families.values() for c in f.columns])
@@ -201,6 +205,8 @@ class FeatureExtractor:
         if not chosen:
             raise ValueError("no feature family is switched on")
         base = with_clean(df, text_col, id_col, self.config.clean)
+        if any(n not in SCALAR_FAMILIES for n in chosen):
+            base = materialise(base, "clean")  # fitting scans the cleaned text again and again
         fitted, skipped = {}, {}
         for name in chosen:
             try:

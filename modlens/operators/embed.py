@@ -22,7 +22,7 @@ class Word2VecParams:
     min_count: int = 1
     max_iter: int = 1
     seed: int = 42
-    partitions: int | None = None  # None: as many as the input has, at most 64
+    partitions: int | None = None  # None: one per slot, at most 64
 
 
 @dataclass(frozen=True)
@@ -50,7 +50,7 @@ FULL_JOB_WORD2VEC = Word2VecParams(300, 5, 5)
 
 def word_vectors(df: DataFrame, tokens_col: str, params: Word2VecParams = Word2VecParams()) -> DataFrame:
     """``(word, vector)`` learned with skip-gram on several partitions at once."""
-    partitions = params.partitions or min(64, max(1, df.rdd.getNumPartitions()))
+    partitions = params.partitions or min(64, df.sparkSession.sparkContext.defaultParallelism)
     model = Word2Vec(
         vectorSize=params.vector_size, windowSize=params.window, minCount=params.min_count, maxIter=params.max_iter,
         seed=params.seed, numPartitions=partitions, inputCol=tokens_col, outputCol="_v",

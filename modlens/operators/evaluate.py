@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modlens.operators.ranking import running_totals
+from modlens.sources.tables import materialise
 
 SWEEP = [(10 + 5 * i) / 100 for i in range(12)]
 DEFAULT_THRESHOLD = 0.5
@@ -44,7 +45,10 @@ def score_counts(scores: DataFrame) -> DataFrame:
 
 
 def cumulative_counts(scores: DataFrame) -> DataFrame:
-    return running_totals(score_counts(scores.filter("p is not null")), "model", "p", ["pos", "neg"])
+    """Running totals by descending score.  The merged counts are written once: finding the range
+    limits, the offsets and the totals takes three scans of them."""
+    counts = materialise(score_counts(scores.filter("p is not null")), "score-counts", even=True)
+    return running_totals(counts, "model", "p", ["pos", "neg"])
 
 
 def roc_auc(scores: DataFrame) -> DataFrame:

@@ -73,6 +73,25 @@ class PcaReducer:
         return centred.withColumn(output_col or col, F.transform(axes, dot)).drop("_c")
 
 
+    def save(self, spark, path: str) -> None:
+        """One row per component."""
+        k = len(self.variance)
+        local_table(
+            spark,
+            {
+                "component": list(range(k)), "axis": self.components.T.tolist(), "variance": self.variance.tolist(),
+                "mean": [self.mean.tolist()] * k,
+            },
+        ).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> PcaReducer:
+        rows = spark.read.parquet(path).orderBy("component").collect()
+        return cls(
+            np.array(rows[0]["mean"]), np.array([r["axis"] for r in rows]).T, np.array([r["variance"] for r in rows])
+        )
+
+
 def reduce_dimensions(train: DataFrame, test: DataFrame, method: str = "pca", k: int | None = None, col: str = "x"):
     """Fit on the training rows, apply to both; returns (train, test, reducer)."""
     if method == "pca":

@@ -49,8 +49,7 @@ def labels(spark: SparkSession, d: str) -> DataFrame:
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
     """Text of labelled documents with their labels."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return spread(tables.with_target(docs, labels(spark, d), "toxic").join(labels(spark, d).drop("toxic"), "doc_id"))
+    return documents(spark, d).join(labels(spark, d), "doc_id")
 
 
 def cleaned(spark: SparkSession, d: str) -> DataFrame:
@@ -62,6 +61,16 @@ def labelled_lexical(spark: SparkSession, d: str) -> DataFrame:
     return S.lexical_features(docs, keep=["toxic", "quality"])
 
 
+def lexical_table(spark: SparkSession, d: str) -> DataFrame:
+    """The same, written once, for statistics that scan it more than once."""
+    return materialise(labelled_lexical(spark, d), "lexical", even=True)
+
+
+def clean_table(spark: SparkSession, d: str) -> DataFrame:
+    """Cleaned text, written once: fitting and applying a model then share the cleaning."""
+    return materialise(cleaned(spark, d), "clean")
+
+
 def binary_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Embeddings as ``(id, x, y)``; label 0 is the minority class."""
     return table(spark, d, "embeddings").select(
@@ -90,6 +99,11 @@ def fixed_scores(spark: SparkSession, d: str) -> DataFrame:
     return counted.select("doc_id", "label", F.inline(rows)).select("model", "doc_id", "label", "p")
 
 
+def score_table(spark: SparkSession, d: str) -> DataFrame:
+    """The fixed scores, written once, for evaluations that scan them more than once."""
+    return materialise(fixed_scores(spark, d), "scores", even=True)
+
+
 def feature_rows(spark: SparkSession, d: str) -> DataFrame:
     """Feature vectors of labelled documents, written once: fits scan them many times."""
     docs = labelled(spark, d)
@@ -220,14 +234,14 @@ def vocabulary(spark, d):
 
 
 def tfidf(spark, d):
-    docs = cleaned(spark, d)
+    docs = clean_table(spark, d)
     model = vectorize.TfidfModel.fit(docs, "clean", VOCAB)
     return rounded(vectorize.tfidf_entries(model, docs, "clean"), "weight")
 
 
 def tfidf_transform_holdout(spark, d):
     """Fit on the training part only, apply to the rest."""
-    parts = split.train_validation(cleaned(spark, d))
+    parts = split.train_validation(clean_table(spark, d))
     model = vectorize.TfidfModel.fit(parts.filter("part = 'train'"), "clean", VOCAB)
     return rounded(vectorize.tfidf_entries(model, parts.filter("part = 'validation'"), "clean"), "weight")
 
@@ -292,7 +306,7 @@ def fixed_vectors(spark, d, docs):
 
 
 def mean_pooled_vectors(spark, d):
-    docs = cleaned(spark, d)
+    docs = clean_table(spark, d)
     words = vectorize.terms_of(docs, "clean", "doc_id")
     pooled = embed.mean_pool(words, "terms", fixed_vectors(spark, d, docs), 64)
     return pooled.select("doc_id", F.posexplode("embedding").alias("dim", "value")).select(
@@ -320,7 +334,7 @@ def subword_embeddings(spark, d):
 
 
 def _topics(spark, d):
-    docs = materialise(cleaned(spark, d), "clean")
+    docs = clean_table(spark, d)
     return docs, TopicModel.fit(docs, "clean", TopicParams(5, 500, 5))
 
 
@@ -363,11 +377,11 @@ def chi2_scores(spark, d):
 
 
 def anova_f_scores(spark, d):
-    return rounded(select.anova_f_scores(labelled_lexical(spark, d), LEX, "toxic"), "score")
+    return rounded(select.anova_f_scores(lexical_table(spark, d), LEX, "toxic"), "score")
 
 
 def mutual_info_scores(spark, d):
-    return rounded(select.mutual_info_scores(labelled_lexical(spark, d), LEX, "toxic"), "score")
+    return rounded(select.mutual_info_scores(lexical_table(spark, d), LEX, "toxic"), "score")
 
 
 def top_chi2_features(spark, d):
@@ -376,7 +390,7 @@ def top_chi2_features(spark, d):
 
 
 def correlated_pairs(spark, d):
-    return rounded(select.correlated_pairs(labelled_lexical(spark, d), LEX), "r")
+    return rounded(select.correlated_pairs(lexical_table(spark, d), LEX), "r")
 
 
 def normality_k2(spark, d):
@@ -387,7 +401,7 @@ def normality_k2(spark, d):
 
 
 def class_densities(spark, d):
-    rows = select.class_densities(labelled_lexical(spark, d), ["char_count", "avg_word_len"], "toxic")
+    rows = select.class_densities(lexical_table(spark, d), ["char_count", "avg_word_len"], "toxic")
     return rounded(rows, "at", "density").withColumn("i", F.col("i").cast("bigint"))
 
 
@@ -399,7 +413,7 @@ def coef_cull(spark, d):
 
 
 def elasticnet_select(spark, d):
-    rows = materialise(labelled_lexical(spark, d), "lexical", even=True)
+    rows = lexical_table(spark, d)
     result = select.elastic_net_selection(rows, LEX, "toxic", 0.001)
     return result.coefficients.join(result.selection.mask(spark), "feature").select(
         "feature", "coefficient", "kept", F.lit(result.alpha).alias("alpha"), F.lit(result.l1_ratio).alias("l1_ratio"),
@@ -408,7 +422,7 @@ def elasticnet_select(spark, d):
 
 
 def l1_select(spark, d):
-    rows = materialise(labelled_lexical(spark, d), "lexical", even=True)
+    rows = lexical_table(spark, d)
     return select.l1_selection(rows, LEX, "toxic", max_iter=25).mask(spark)
 
 
@@ -554,7 +568,7 @@ def soft_vote(spark, d):
 
 
 def weighted_vote(spark, d):
-    scores = fixed_scores(spark, d)
+    scores = score_table(spark, d)
     weights = evaluate.eval_metrics(scores).select("model", F.col("f1").alias("weight"))
     return rounded(ensemble.weighted_vote(scores, settle(weights)), "p")
 
@@ -563,7 +577,7 @@ def weighted_vote(spark, d):
 
 
 def eval_metrics(spark, d):
-    return rounded(evaluate.eval_metrics(fixed_scores(spark, d)), "accuracy", "f1", "roc_auc")
+    return rounded(evaluate.eval_metrics(score_table(spark, d)), "accuracy", "f1", "roc_auc")
 
 
 def confusion(spark, d):
@@ -579,27 +593,27 @@ def class_report(spark, d):
 
 
 def macro_scores(spark, d):
-    return rounded(evaluate.macro_scores(fixed_scores(spark, d)), "f1", "precision", "recall", "accuracy")
+    return rounded(evaluate.macro_scores(score_table(spark, d)), "f1", "precision", "recall", "accuracy")
 
 
 def pr_curve(spark, d):
-    return rounded(evaluate.pr_curve(fixed_scores(spark, d)), "threshold", "precision", "recall")
+    return rounded(evaluate.pr_curve(score_table(spark, d)), "threshold", "precision", "recall")
 
 
 def roc_curve(spark, d):
-    return rounded(evaluate.roc_curve(fixed_scores(spark, d)), "threshold", "fpr", "tpr")
+    return rounded(evaluate.roc_curve(score_table(spark, d)), "threshold", "fpr", "tpr")
 
 
 def best_threshold(spark, d):
-    return rounded(evaluate.best_thresholds(fixed_scores(spark, d)), "threshold", "f1")
+    return rounded(evaluate.best_thresholds(score_table(spark, d)), "threshold", "f1")
 
 
 def best_overall(spark, d):
-    return rounded(evaluate.best_overall(fixed_scores(spark, d)), "threshold", "f1")
+    return rounded(evaluate.best_overall(score_table(spark, d)), "threshold", "f1")
 
 
 def errors_at_threshold(spark, d):
-    scores = fixed_scores(spark, d)
+    scores = score_table(spark, d)
     return rounded(evaluate.errors_at(scores, evaluate.best_thresholds(scores)), "threshold")
 
 
@@ -612,15 +626,15 @@ def sweep_optima(spark, d):
 
 
 def best_model(spark, d):
-    return rounded(evaluate.best_model(evaluate.eval_metrics(fixed_scores(spark, d))), "f1")
+    return rounded(evaluate.best_model(evaluate.eval_metrics(score_table(spark, d))), "f1")
 
 
 def metrics_long(spark, d):
-    return rounded(evaluate.metrics_long(evaluate.eval_metrics(fixed_scores(spark, d))), "value")
+    return rounded(evaluate.metrics_long(evaluate.eval_metrics(score_table(spark, d))), "value")
 
 
 def top_importances(spark, d):
-    rows = labelled_lexical(spark, d)
+    rows = lexical_table(spark, d)
     parts = [
         select.label_correlations(rows, LEX, label).select(
             F.lit(label).alias("model"), "feature", F.round(F.abs("coefficient"), 6).alias("importance")
@@ -638,7 +652,7 @@ def sample_predictions(spark, d):
 
 
 def performance_at_threshold(spark, d):
-    out = evaluate.performance_at(fixed_scores(spark, d), 0.3)
+    out = evaluate.performance_at(score_table(spark, d), 0.3)
     return rounded(out, "precision", "recall", "f1", "default_accuracy")
 
 

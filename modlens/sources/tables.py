@@ -28,8 +28,9 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Hash-partition by id when a source has fewer splits than the cluster has slots (few row groups,
-    heavy text work).  Large inputs have many splits and pass through untouched."""
+    """Hash-partition a plain scan by id when it has fewer splits than the cluster has slots (few row
+    groups, heavy text work).  Large inputs have many splits and pass through untouched.  Give it scans
+    only: asking a plan with shuffles for its partitions would run them."""
     slots = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(slots, id_col) if df.rdd.getNumPartitions() < slots else df
 

@@ -73,6 +73,13 @@ def test_scaler_keeps_constant_columns(make):
     assert out == [(1, [-1.0, 0.0]), (2, [1.0, 0.0])]
 
 
+def test_pca_save_and_load(spark, cloud, tmp_path):
+    model = R.PcaReducer.fit(cloud[2], 2)
+    model.save(spark, str(tmp_path / "pca"))
+    again = R.PcaReducer.load(spark, str(tmp_path / "pca"))
+    assert np.allclose(again.components, model.components) and np.allclose(again.mean, model.mean)
+
+
 def test_pca_matches_numpy(cloud):
     x, _, df = cloud
     model = R.PcaReducer.fit(df, 2)
