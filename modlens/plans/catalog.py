@@ -363,7 +363,7 @@ def combined_scalar_features(spark, d):
     return rounded(out, *[c for c in out.columns if c != "doc_id" and dict(out.dtypes)[c] == "double"])
 
 
-def feature_pipeline(spark, d):
+def fitted_features(spark, d):
     """Every cheap family fitted on the training part and applied to the validation part."""
     parts = split.train_validation(documents(spark, d))
     config = combine.FeatureConfig(tfidf=vectorize.TfidfParams(200, 3, 0.9, (1, 1)), topic=TopicParams(5, 200, 3))
@@ -678,7 +678,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ngram_counts, vocabulary, tfidf, tfidf_transform_holdout, lexical_features, lexical_by_class, pos_shares,
         tag_lexicon, sentiment_scores, sentiment_turns, readability_scores, syllables, mean_pooled_vectors,
         word2vec_docs, als_doc_embeddings, subword_embeddings, lda_topics, topic_terms, feature_layout,
-        combined_scalar_features, feature_pipeline, chi2_scores, anova_f_scores, mutual_info_scores,
+        combined_scalar_features, fitted_features, chi2_scores, anova_f_scores, mutual_info_scores,
         top_chi2_features, correlated_pairs, normality_k2, class_densities, coef_cull, elasticnet_select, l1_select,
         holdout_mse, standardise, balanced_weights, knn_minority, borderline_danger, adasyn_quota, tomek_links,
         smote_points, resampled_sizes, pca_project, pca_component_search, resampling_contest, logreg_multilabel,

@@ -7,7 +7,7 @@ from modlens.functions import wordlists as W
 from modlens.functions.scores import LEXICAL, READABILITY
 from modlens.operators.pos import POS, SUFFIX_TAGS
 
-BOOLEAN_LEX = ("avg_word_len", "avg_sentence_len", "type_token_ratio")
+RATIO_LEX = ("avg_word_len", "avg_sentence_len", "type_token_ratio")
 
 
 def q(text: str) -> str:
@@ -136,7 +136,7 @@ lex AS (SELECT doc_id{extra}, length(t) AS char_count, n AS word_count, uniq AS
 
 
 def cast_lex(col: str) -> str:
-    return f"{r6(col)} AS {col}" if col in BOOLEAN_LEX else f"{col}::BIGINT AS {col}"
+    return f"{r6(col)} AS {col}" if col in RATIO_LEX else f"{col}::BIGINT AS {col}"
 
 
 LEX_SELECT = ", ".join(cast_lex(c) for c in LEXICAL)

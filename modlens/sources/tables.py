@@ -8,10 +8,10 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LABELS = ["toxic", "severe_toxic", "obscene", "threat", "insult", "identity_hate"]
@@ -97,12 +97,19 @@ def settle(df: DataFrame, max_rows: int = SETTLE_ROWS) -> DataFrame:
     return df if rows.num_rows > max_rows else df.sparkSession.createDataFrame(rows)
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="modlens-")
+
+
 def scratch_folder(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: the session's checkpoint folder if it names one."""
+    """Shared folder for intermediate tables: the session's checkpoint folder.  A local session without
+    one gets a temporary folder; a cluster must name one, since its machines share no local disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="modlens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = _own_folder()
     return folder.rstrip("/")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from modlens.operators import combine, embed, ensemble, models, search, vectorize
 from modlens.operators.topics import TopicModel, TopicParams
 from modlens.plans import training
-from modlens.sources.tables import CommentData, FeatureStore, ModelRegistry, read_comments, with_target
+from modlens.sources.tables import CommentData, FeatureStore, ModelRegistry, with_target
 
 
 @pytest.fixture(scope="module")
@@ -211,3 +211,17 @@ def test_feature_store_builds_once(spark, make, tmp_path):
     for config in ({"k": 1}, {"k": 1}, {"k": 2}):
         assert store.get_or_build("f", config, build).count() == 1
     assert len(calls) == 2
+
+
+def test_scratch_folder_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from modlens.sources.tables import scratch_folder
+
+    session = lambda master, folder: SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master)
+    )
+    assert scratch_folder(session("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    assert scratch_folder(session("local[8]", None))
+    with pytest.raises(ValueError):
+        scratch_folder(session("yarn", None))
