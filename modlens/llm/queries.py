@@ -4,18 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, remainder
 from .jaccard_join import jaccard_join
+from .packing import pack
+from .toxicity import toxicity
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    found = toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "max_distance")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), TOKENIZER, 1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard_join": op3_jaccard_join,
+    "op7_toxicity": op7_toxicity,
+    "op10_packing": op10_packing,
 }
 
 ORACLE: dict[str, str] = {}
