@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .common import read, remainder
 from .jaccard_join import jaccard_join
+from .line_dedup import line_dedup
+from .mixing import mixing
 from .packing import pack
 from .toxicity import toxicity
 
@@ -20,6 +22,16 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(read(spark, sf_dir, "documents"), min_chars=20, near_chars=40, edits=2)
+    return found.select("doc_id", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing(read(spark, sf_dir, "documents"), temper=0.9)
+    return found.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "selected")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 3) == 1
     found = toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ~held_out)
@@ -32,6 +44,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_line_dedup": op4_line_dedup,
+    "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op10_packing": op10_packing,
 }
