@@ -10,14 +10,23 @@ from pyspark.sql import functions as F
 
 from .common import read, remainder
 from .jaccard_join import jaccard_join
+from .language_id import language_id
 from .line_dedup import line_dedup
 from .mixing import mixing
 from .packing import pack
+from .quality import quality
+from .quality_rules import quality_rules
 from .toxicity import toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    found = quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_passages", "top_passage")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -27,6 +36,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing(read(spark, sf_dir, "documents"), temper=0.9)
     return found.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "selected")
@@ -38,15 +51,24 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "max_distance")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    found = language_id(read(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected", "cross_entropy")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), TOKENIZER, 1024)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_line_dedup": op4_line_dedup,
+    "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
+    "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }
 
