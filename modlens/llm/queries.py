@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .common import read, remainder
 from .jaccard_join import jaccard_join
 from .language_id import language_id
@@ -21,6 +22,10 @@ from .toxicity import toxicity
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 4) == 2
     found = quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ~held_out)
@@ -62,6 +67,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
     "op2_quality": op2_quality,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_line_dedup": op4_line_dedup,
