@@ -7,9 +7,13 @@ The feature domain is cut into n1 partitions, and these into n2 parts each, by t
 differences some partition has at most k2 = k // n1 of them, so among the subsets of n2 - k2 of its parts one is
 equal in both sets: the hash of such a subset is a signature, and every pair that must link shares one.
 
-Equal sets are one class from the start. Candidates of a signature are held against its smallest member; members
-that stay in different components are then held against each other, so a group of thousands of copies costs one
-comparison each while no link between different sets is lost. All comparisons are exact on whole sets.
+Equal sets are one class from the start. Candidates of a signature are held against its smallest member p, so a
+group of thousands of copies costs one comparison each. Links among the others are only sought where components
+differ, and by what sets differ in from p: let D(x) be the difference of x and p, so that the difference of x and y
+is that of D(x) and D(y). With c = (1-t)/(1+t), sets link if they differ in at most c * (sum of sizes) elements. If x
+is not linked with p but with y, D(x) and D(y) share more than (1-c)/2 * |D(y)| elements, and all but k of D(x). By
+prefix filtering they share one among the k + 1 rarest elements of D(x) and the |D(y)| - (1-c)/2 * |D(y)| rarest of
+D(y) (k + 1, if y is not linked with p either). Copies that were each edited at other places share none, and no pair of them is ever made. All comparisons are exact on whole sets.
 
 Edge cases: null, empty and blank texts have size 0 and link with nothing, not even with each other; rows that
 repeat a doc_id count as copies of each other if their text is equal; other columns of the input are ignored.
@@ -27,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import as_bytes, mixed, signed, small, spread, text_blocks, word_hashes, written
 from .components import components
@@ -147,8 +152,8 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def compared(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar enough. A pivot ``a`` with many partners is compared
-    in several tasks, each with its own copy of the pivot's set."""
+    """The pairs (a, b) with their sizes, whether they link, and the elements that only one of them has. A pivot
+    ``a`` with many partners is compared in several tasks, each with its own copy of the pivot's set."""
     tasks = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_PER_TASK).cast("long").alias("n_tasks"))
     members = pairs.join(tasks, "a").select(
         "a", F.pmod(F.xxhash64("b"), "n_tasks").alias("task"), F.col("b").alias("id"), F.lit(1).alias("kind")
@@ -174,25 +179,75 @@ def compared(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
             a, task, kind, ids = (batch.column(i).to_numpy() for i in range(4))
             lists = batch.column(4)
             values, offsets = lists.flatten().to_numpy(), np.asarray(lists.offsets)
-            offsets, keep = offsets - offsets[0], []
+            offsets, rows, differ = offsets - offsets[0], [], []
             for i in range(batch.num_rows):
                 own = values[offsets[i] : offsets[i + 1]].view(np.uint64)
                 if kind[i] == 0:
                     pivot, at = own, (a[i], task[i])
                     continue
                 assert at == (a[i], task[i])
-                if 100 * min(len(own), len(pivot)) < percent * max(len(own), len(pivot)):
-                    continue
-                # both are sorted and distinct
-                slot = np.minimum(np.searchsorted(pivot, own), len(pivot) - 1)
-                both = int((pivot[slot] == own).sum())
-                if 100 * both >= percent * (len(own) + len(pivot) - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(ids[keep])], ["a", "b"])
+                only_one = np.setxor1d(pivot, own, assume_unique=True)
+                union = (len(pivot) + len(own) + len(only_one)) // 2
+                linked = 100 * (union - len(only_one)) >= percent * union
+                rows.append((a[i], ids[i], len(pivot), len(own), linked))
+                differ.append(only_one)
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in differ]))).astype(np.int32)
+            flat = signed(np.concatenate(differ)) if differ else np.zeros(0, np.int64)
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            kinds = [pa.int64()] * 4 + [pa.bool_()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(pa.array([x for x in c], t) for c, t in zip(columns, kinds, strict=True)),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                ],
+                ["a", "b", "sa", "sb", "linked", "differ"],
+            )
 
     sets = texts.mapInArrow(to_sets, "a long, task long, kind int, id long, features array<long>")
     dealt = sets.repartition("a", "task").sortWithinPartitions("a", "task", "kind")
-    return dealt.mapInArrow(verify, "a long, b long").distinct()
+    return dealt.mapInArrow(verify, "a long, b long, sa long, sb long, linked boolean, differ array<long>")
+
+
+def across_components(stars: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that can still link, from what they differ in from a pivot."""
+    own = found.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+    pivot = found.select(F.col("id").alias("a"), F.col("component").alias("ca"))
+    labelled = stars.join(own, "b", "left").join(pivot, "a", "left").select(
+        "a", "b", "sb", "linked", "differ", F.coalesce("cb", "b").alias("component"), F.coalesce("ca", "a").alias("ca")
+    )
+    labelled = written(labelled, "labelled")
+    mixed_pivots = small(written(labelled.where("component <> ca").select("a").distinct(), "mixed"))
+    least, most = 100 - percent, 100 + percent
+    members = labelled.join(mixed_pivots, "a").select(
+        "a", "b", "sb", "component", (~F.col("linked")).alias("far"), "differ",
+        # differences of linked sets, if the other is as large as it can be
+        F.floor(F.expr(f"{least} * (sb + floor(sb * 100 / {percent})) / {most}")).alias("k"),
+    )
+    elements = written(
+        members.select("a", "b", "sb", "component", "far", "k", F.size("differ").alias("n"), F.explode("differ").alias("e")),
+        "elements",
+    )
+    common = written(elements.groupBy("a", "e").agg(F.count("*").alias("rarity")).where("rarity > 1"), "common")
+    ranked = elements.join(common, ["a", "e"], "left").withColumn("rarity", F.coalesce("rarity", F.lit(1)))
+    rank = F.row_number().over(W.partitionBy("a", "b").orderBy("rarity", "e"))
+    probes = ranked.withColumn("rank", rank).where(
+        F.col("rank") <= F.when(F.col("far"), F.col("k") + 1).otherwise(F.col("n") - F.floor(F.expr(f"n * {percent} / {most}")))
+    )
+    probes = probes.where("rarity > 1").select("a", "e", "b", "sb", "component", "far", "n", (F.col("n") - F.col("rank")).alias("rest"))
+    probes = written(probes, "probes")
+    side = lambda t, b, x: t.select(
+        "a", "e", F.col("b").alias(b), *(F.col(c).alias(f"{c}_{x}") for c in ("sb", "component", "n", "rest"))
+    )
+    # What both must share at least, against what their first common element leaves to share.
+    most_apart = f"floor({least} * (sb_x + sb_y) / {most})"
+    return (
+        side(probes.where("far"), "x", "x").join(side(probes, "y", "y"), ["a", "e"])
+        .where("x <> y and component_x <> component_y")
+        .where(f"n_x + n_y - 2 * (1 + least(rest_x, rest_y)) <= {most_apart}")
+        .where(f"100 * least(sb_x, sb_y) >= {percent} * greatest(sb_x, sb_y)")
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        .distinct()
+    )
 
 
 def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -206,43 +261,23 @@ def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     entries = (
         owners.join(classes, [*[owners[k] == classes[k] for k in keys], owners["doc_id"] == classes["rep"]], "left_semi")
         .dropDuplicates(["doc_id", *keys])
-        .select(F.explode("signatures").alias("sig"), F.struct("doc_id", "n_shingles").alias("m"))
+        .select(F.explode("signatures").alias("sig"), F.col("doc_id").alias("b"))
     )
-    shared = entries.groupBy("sig").agg(F.count("*").alias("n"), F.min("m").alias("lo"), F.max("m").alias("hi"))
+    shared = entries.groupBy("sig").agg(F.count("*").alias("n"), F.min("b").alias("lo"), F.max("b").alias("hi"))
     shared = written(shared.where("n > 1"), "shared")
-    fits = f"100 * least(sa, sb) >= {percent} * greatest(sa, sb)"
-    many = shared.where("n > 2").select("sig", F.col("lo").alias("p"))
-    many = small(written(many, "many"))
-    members = written(entries.join(many, "sig").select("sig", "p", "m"), "members")
-    two = shared.where("n = 2").select(F.col("lo").alias("p"), F.col("hi").alias("m"))
+    many = small(written(shared.where("n > 2").select("sig", F.col("lo").alias("a")), "many"))
     stars = (
-        two.union(members.select("p", "m"))
-        .select(
-            F.col("p.doc_id").alias("a"), F.col("p.n_shingles").alias("sa"),
-            F.col("m.doc_id").alias("b"), F.col("m.n_shingles").alias("sb"),
-        )
+        shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+        .union(entries.join(many, "sig").select("a", "b"))
         .where("a <> b")
-        .where(fits)
-        .select("a", "b")
         .distinct()
     )
-    stars = written(stars, "stars")
-    links = written(compared(docs, stars, n, percent), "links")
-    found = components(links)
-    # Members of one signature that are in different components yet.
-    labelled = members.select("sig", F.col("m.doc_id").alias("id"), F.col("m.n_shingles").alias("s")).join(
-        found, "id", "left"
-    )
-    labelled = written(labelled.withColumn("component", F.coalesce("component", "id")), "labelled")
-    mixed_sigs = labelled.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    mixed_sigs = small(written(mixed_sigs.where("x <> y").select("sig"), "mixed"))
-    open_ = written(labelled.join(mixed_sigs, "sig"), "open")
-    left = open_.select("sig", F.col("id").alias("a"), F.col("s").alias("sa"), F.col("component").alias("ca"))
-    right = open_.select("sig", F.col("id").alias("b"), F.col("s").alias("sb"), F.col("component").alias("cb"))
-    across = left.join(right, "sig").where("a < b and ca <> cb").where(fits).select("a", "b").distinct()
-    across = written(across.join(stars, ["a", "b"], "left_anti"), "across")
-    links = written(links.union(compared(docs, across, n, percent)), "links")
+    stars = written(compared(docs, written(stars, "stars"), n, percent), "compared")
+    links = stars.where("linked").select("a", "b")
     found = components(links)
+    across = written(across_components(stars, found, percent), "across")
+    more = written(compared(docs, across, n, percent).where("linked").select("a", "b"), "links")
+    found = components(links.union(more))
     reps = classes.join(found, classes["rep"] == found["id"], "left").select(
         *keys, F.coalesce("component", "rep").alias("component")
     )
