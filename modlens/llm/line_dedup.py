@@ -276,9 +276,9 @@ def dropped_lines(
 def line_dedup(docs: DataFrame, min_chars: int = 20, near_chars: int = 40, edits: int = 2) -> DataFrame:
     """The documents with shortened texts and two more columns, n_lines (non-blank lines before) and n_dropped."""
     dropped = dropped_lines(docs, min_chars, near_chars, edits)
-    lists = written(dropped.groupBy("doc_id").agg(F.collect_set("line").alias("_dropped")), "dropped")
-    ids = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    joined = ids.join(lists.select(F.col("doc_id").alias("_id"), "_dropped"), "_id", "left").drop("_id")
+    lists = written(dropped.groupBy("doc_id").agg(F.collect_set("line").alias("__dropped")), "dropped")
+    ids = docs.withColumn("__line_id", F.col("doc_id").cast("long"))
+    joined = ids.join(lists.select(F.col("doc_id").alias("__line_id"), "__dropped"), "__line_id", "left").drop("__line_id")
     fields = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_dropped")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_lines long, n_dropped long"])
 
@@ -286,7 +286,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, near_chars: int = 40, edits
         for block in text_blocks(batches):
             get = lambda name: block.column(block.schema.get_field_index(name))
             texts, n_lines, n_dropped = [], [], []
-            for text, gone in zip(get("text").to_pylist(), get("_dropped").to_pylist(), strict=True):
+            for text, gone in zip(get("text").to_pylist(), get("__dropped").to_pylist(), strict=True):
                 lines, gone = (text or "").split("\n"), set(gone or ())
                 n_lines.append(sum(1 for x in lines if x and not x.isspace()))
                 n_dropped.append(len(gone))

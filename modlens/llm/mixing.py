@@ -121,7 +121,7 @@ def mixing(
                       .groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n_tokens")), "cells")
     cells, own = cell_weights(counted, temper, targets)
     largest = max((w for *_, w in cells), default=1.0) or 1.0
-    names = [f"_{d}" for d in DIMENSIONS]
+    names = [f"__mix_{d}" for d in DIMENSIONS]
     table = spark.createDataFrame(
         [(*c[:3], c[3], min(1.0, c[3] / largest)) for c in cells],
         ", ".join([*(f"{n} string" for n in names), "weight double", "probability double"]),
