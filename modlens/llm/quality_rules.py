@@ -76,8 +76,11 @@ def measured(docs: DataFrame) -> DataFrame:
     # Each common word becomes one letter of its own, so that bins are counted as letters of a string.
     letters = [chr(0x4E00 + k) for k in range(len(COMMON_WORDS))]
     lists = F.array(*map(F.lit, COMMON_WORDS))
-    letter = lambda w: F.substring(F.lit("".join(letters)), F.array_position(lists, F.lower(w)).cast("int"), F.lit(1))
+    letter = lambda w: F.substring(
+        F.lit("-" + "".join(letters)), (F.array_position(lists, F.lower(w)) + 1).cast("int"), F.lit(1)
+    )
     known = F.array_join(F.transform(F.filter("words", lambda w: F.length(w) <= 4), letter), "")
+    known = F.translate(known, "-", "")
     rows = rows.select(
         "*", F.aggregate(covered, F.lit(0), lambda s, x: s + x).cast("long").alias("n_repeat_words"), known.alias("known")
     ).drop("repeated", "words", "text")
