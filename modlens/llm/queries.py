@@ -12,11 +12,13 @@ from .ann import nearest
 from .common import read, remainder
 from .jaccard_join import jaccard_join
 from .language_id import language_id
+from .license_scan import license_scan
 from .line_dedup import line_dedup
 from .mixing import mixing
 from .packing import pack
 from .quality import quality
 from .quality_rules import quality_rules
+from .quality_rules_sql import quality_rules_sql
 from .toxicity import toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,6 +58,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "max_distance")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "first_line", "last_line", "license", "reduction", "n_changed", "exact")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 4) == 2
     found = language_id(read(spark, sf_dir, "documents"), ~held_out)
@@ -74,8 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
+    "op8_license_scan": op8_license_scan,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_quality_rules": quality_rules_sql()}
