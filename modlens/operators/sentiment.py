@@ -43,7 +43,7 @@ def lexicon_table(spark, lexicon: Mapping[str, float]) -> DataFrame:
 
 def _with_valence(hits: DataFrame) -> DataFrame:
     """Capitals, then boosters and negations at distance one to three, then the word "least", then
-    the weights around "but".
+    the weights around "but".  Tokens that the lexicon does not rate stay at zero, however they were found.
 
     Each step is a projection of its own: the running value is used several times per step, and
     written as one expression it would be repeated at every use.
@@ -71,7 +71,8 @@ def _with_valence(hits: DataFrame) -> DataFrame:
     least = (p1 == "least") & ~F.col("known1") & ~p2.isin("at", "very")
     pos, but = F.col("pos"), F.col("but_at")
     around_but = F.when((but >= 0) & (pos < but), 0.5).when((but >= 0) & (pos > but), 1.5).otherwise(1.0)
-    return df.withColumn("v", v * F.when(least, W.NEGATION).otherwise(1.0) * around_but)
+    value = v * F.when(least, W.NEGATION).otherwise(1.0) * around_but
+    return df.withColumn("v", F.when(F.col("valence").isNotNull(), value).otherwise(0.0))
 
 
 def sentiment_features(

@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 from modlens.functions.scores import LEXICAL, READABILITY, lexical_features, readability_features
 from modlens.operators.models import score
 from modlens.operators.sentiment import lexicon_hits
+from modlens.sources.tables import is_folder
 
 STREAM_FEATURES = [*LEXICAL, *READABILITY, "hits"]
 
@@ -34,10 +35,12 @@ def score_documents(df: DataFrame, model: PipelineModel, text_col: str = "text",
     return score(model, rows, id_col).withColumn("flagged", (F.col("p") >= threshold).cast("int"))
 
 
-def read_documents(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 8, glob: str | None = None) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 8) -> DataFrame:
+    """The parquet table at ``path`` as a stream, whether it is one file or a folder of part files."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
+    if not is_folder(spark, path):
+        folder, _, name = path.rstrip("/").rpartition("/")
+        return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)
 
 
