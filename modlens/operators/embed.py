@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modlens.operators.vectorize import TfidfParams, bag_of_words, vocabulary
-from modlens.sources.tables import materialise
+from modlens.sources.tables import materialise, numbered, scratch_folder
 
 
 @dataclass(frozen=True)
@@ -20,17 +20,16 @@ class Word2VecParams:
     vector_size: int = 100
     window: int = 5
     min_count: int = 1
-    max_iter: int = 1
+    max_iter: int = 5
     seed: int = 42
-    partitions: int | None = None  # None: one per slot, at most 64
+    partitions: int | None = None  # None: one per slot
 
 
 @dataclass(frozen=True)
 class FactorParams:
     vector_size: int = 100
     min_count: int = 2
-    epochs: int = 10
-    max_terms: int = 50_000
+    epochs: int = 40
     seed: int = 42
 
 
@@ -50,7 +49,7 @@ FULL_JOB_WORD2VEC = Word2VecParams(300, 5, 5)
 
 def word_vectors(df: DataFrame, tokens_col: str, params: Word2VecParams = Word2VecParams()) -> DataFrame:
     """``(word, vector)`` learned with skip-gram on several partitions at once."""
-    partitions = params.partitions or min(64, df.sparkSession.sparkContext.defaultParallelism)
+    partitions = params.partitions or df.sparkSession.sparkContext.defaultParallelism
     model = Word2Vec(
         vectorSize=params.vector_size, windowSize=params.window, minCount=params.min_count, maxIter=params.max_iter,
         seed=params.seed, numPartitions=partitions, inputCol=tokens_col, outputCol="_v",
@@ -96,7 +95,7 @@ class FactorEmbedding:
 
     Positive pointwise mutual information weighs the table, implicit ALS factorises it, and any
     document, old or new, is the idf-weighted mean of its term factors.  ALS numbers its rows with
-    32-bit integers, so documents enter the factorisation under a hash of their id.
+    32-bit integers, so documents are numbered from zero, each with a number of its own.
     """
 
     terms: DataFrame  # (word, vector, idf)
@@ -106,19 +105,20 @@ class FactorEmbedding:
     def fit(cls, df: DataFrame, tokens_col: str, params: FactorParams = FactorParams(), id_col: str = "doc_id") -> FactorEmbedding:
         terms = df.select(id_col, F.col(tokens_col).alias("terms"))
         vocab = materialise(
-            vocabulary(terms, TfidfParams(params.max_terms, params.min_count, 1.0, (1, 1))), "factor-terms"
+            vocabulary(terms, TfidfParams(None, params.min_count, 1.0, (1, 1))), "factor-terms"
         )
         counts = bag_of_words(terms, id_col).withColumnRenamed("tf", "n")
         total = float(vocab.agg(F.sum("tf")).first()[0] or 1)
-        length = df.select(id_col, F.size(tokens_col).alias("len"))
+        length = materialise(numbered(df.select(id_col, F.size(tokens_col).alias("len")), "user"), "factor-docs")
         weighted = (
             counts.join(vocab.select("term", "tf", "idx"), "term")
             .join(length, id_col)
             .withColumn("ppmi", F.log(F.col("n") * total / (F.col("len") * F.col("tf"))))
             .filter("ppmi > 0")
-            .groupBy(F.pmod(F.xxhash64(id_col), F.lit(2**31 - 1)).cast("int").alias("user"), F.col("idx").cast("int").alias("item"))
-            .agg(F.sum("ppmi").alias("rating"))
+            .select(F.col("user").cast("int").alias("user"), F.col("idx").cast("int").alias("item"), F.col("ppmi").alias("rating"))
         )
+        # ALS checkpoints its factors every ten epochs, to the shared folder.
+        df.sparkSession.sparkContext.setCheckpointDir(scratch_folder(df.sparkSession))
         model = ALS(
             rank=params.vector_size, maxIter=params.epochs, implicitPrefs=True, seed=params.seed,
             userCol="user", itemCol="item", ratingCol="rating",
@@ -160,7 +160,7 @@ class SubwordEmbedding:
 
     @classmethod
     def fit(cls, df: DataFrame, tokens_col: str, params: SubwordParams = SubwordParams()) -> SubwordEmbedding:
-        base = Word2VecParams(params.vector_size, params.window, params.min_count, 1, params.seed)
+        base = Word2VecParams(params.vector_size, params.window, params.min_count, seed=params.seed)
         words = materialise(word_vectors(df, tokens_col, base), "subword-words")
         grams = cls._grams(words, params).groupBy("gram").agg(Summarizer.mean(F.col("vector")).alias("vector"))
         return cls(words, materialise(grams, "subword-grams"), params)

@@ -16,10 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from modlens.functions.text import vector_terms
-from modlens.sources.tables import local_table, settle
-
-MAX_VOCABULARY = 1_000_000  # terms a model may carry to the tasks
-
+from modlens.sources.tables import local_table, materialise, numbered, settle
 
 @dataclass(frozen=True)
 class TfidfParams:
@@ -58,27 +55,28 @@ def terms_of(
 
 
 def bag_of_words(terms: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``(id, term, tf)`` for every term, with no vocabulary limit."""
-    return (
-        terms.select(id_col, F.explode("terms").alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
-    )
-
-
-def document_frequency(terms: DataFrame) -> DataFrame:
-    """``(term, df, tf)`` in one pass over the text.
+    """``(id, term, tf)`` for every term, with no vocabulary limit and no shuffle.
 
-    Sorting a document's own terms marks the first of each run of equal ones, so both counts come from
-    the same exploded rows and are combined before the shuffle.
+    A document's own terms are sorted; each run of equal ones is a row.
     """
-    ordered = terms.select(F.sort_array("terms").alias("t"))
+    ordered = terms.select(id_col, F.sort_array("terms").alias("t"))
+    starts = F.transform("t", lambda w, i: F.when((i == 0) | (F.get(F.col("t"), i - 1) != w), i))
+    ordered = ordered.select("*", F.array_compact(starts).alias("s"))
     runs = F.transform(
-        "t", lambda w, i: F.struct(w.alias("term"), ((i == 0) | (F.get(F.col("t"), i - 1) != w)).alias("first"))
-    )
-    return (
-        ordered.select(F.inline(runs))
-        .groupBy("term")
-        .agg(F.count_if("first").alias("df"), F.count("*").alias("tf"))
+        "s",
+        lambda i, k: F.struct(
+            F.get(F.col("t"), i).alias("term"),
+            (F.coalesce(F.get(F.col("s"), k + 1), F.size("t")) - i).cast("bigint").alias("tf"),
+        ),
     )
+    return ordered.select(id_col, F.inline(runs))
+
+
+def document_frequency(terms: DataFrame) -> DataFrame:
+    """``(term, df, tf)`` in one pass over the text: one row per document and term, combined before the
+    shuffle."""
+    one = terms.select(F.lit(0).alias("one"), "terms")
+    return bag_of_words(one, "one").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 def vocabulary(terms: DataFrame, params: TfidfParams) -> DataFrame:
@@ -90,11 +88,11 @@ def vocabulary(terms: DataFrame, params: TfidfParams) -> DataFrame:
     kept = document_frequency(terms).filter(
         (F.col("df") >= params.min_df) & (F.col("df") <= params.max_df * n_docs)
     )
-    limit = params.max_features or MAX_VOCABULARY
-    chosen = settle(kept.orderBy(F.desc("tf"), "term").limit(limit), limit)
-    if params.max_features is None and kept.count() > limit:
-        raise ValueError(f"more than {limit} terms: set max_features or use bag_of_words")
     idf = F.log((1.0 + n_docs) / (F.col("df") + 1.0)) + 1.0
+    if params.max_features is None:  # all terms: a table that stays distributed
+        ordered = numbered(materialise(kept, "terms").orderBy("term"), "idx")
+        return ordered.select("term", "df", "tf", F.col("idx").cast("int").alias("idx"), idf.alias("idf"))
+    chosen = settle(kept.orderBy(F.desc("tf"), "term").limit(params.max_features), params.max_features)
     order = Window.partitionBy(F.lit(0)).orderBy("term")
     return chosen.select("term", "df", "tf", (F.row_number().over(order) - 1).alias("idx"), idf.alias("idf"))
 
@@ -111,6 +109,8 @@ class TfidfModel:
     @classmethod
     def fit(cls, df: DataFrame, input_col: str, params: TfidfParams = TfidfParams(), id_col: str = "doc_id",
             use_idf: bool = True) -> TfidfModel:
+        if params.max_features is None:
+            raise ValueError("a model that tasks carry needs max_features; use bag_of_words and vocabulary for all terms")
         rows = vocabulary(terms_of(df, input_col, id_col, params.ngram_range), params).orderBy("idx").toPandas()
         if rows.empty:
             raise ValueError("no term passes the document-frequency limits")

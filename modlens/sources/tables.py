@@ -45,6 +45,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop_path).isDirectory()
+
+
 class CommentData:
     """The named comment files under one folder."""
 
@@ -107,14 +112,28 @@ def scratch_folder(spark: SparkSession) -> str:
     one gets a temporary folder; a cluster must name one, since its machines share no local disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = _own_folder()
     return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there goes when the session's JVM ends."""
+    path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return path
+
+
+def release(spark: SparkSession, df: DataFrame) -> None:
+    """Delete the files of a materialised table that is not needed any more."""
+    root = scratch_folder(spark)
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if f"{root.removeprefix('file://')}/" in folder:
+            hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
 def materialise(df: DataFrame, name: str = "table", even: bool = False) -> DataFrame:
@@ -129,6 +148,12 @@ def materialise(df: DataFrame, name: str = "table", even: bool = False) -> DataF
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, output_col: str) -> DataFrame:
+    """Rows with a number from zero without gaps, in the order of the partitions."""
+    schema = T.StructType([*df.schema.fields, T.StructField(output_col, T.LongType())])
+    return df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])).toDF(schema)
+
+
 class FeatureStore:
     """Feature tables keyed by a fingerprint of configuration and inputs."""
 
