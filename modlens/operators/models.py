@@ -24,10 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modlens.operators.stages import BoostedStumps, FourierFeatures
-from modlens.sources.tables import local_table
+from modlens.sources.tables import local_table, materialise, release
 
 SEED = 42
 MAX_DEPTH = 30  # the deepest tree Spark grows
+STORE_EVERY = 8  # boosting rounds between two writes of the weights
 
 
 def assemble(df: DataFrame, features: Sequence[str], label: str, id_col: str = "doc_id", extra: Sequence[str] = ()) -> DataFrame:
@@ -171,14 +172,20 @@ def weighted_errors(df: DataFrame, vote: Column, weight: Column) -> tuple[float,
 def adaboost(df: DataFrame, n_estimators: int = 50, learning_rate: float = 1.0) -> PipelineModel:
     """Discrete AdaBoost (SAMME) over stumps.
 
-    A row's weight is a closed expression of the stumps so far, so rounds need no growing lineage and
-    no stored weights.
+    Rows are kept with their weight in a shared table, written anew every ``STORE_EVERY`` rounds; between
+    two writes the weight is the stored one times the votes since, so a round's work stays the same.
     """
+    spark = df.sparkSession
     values = vector_to_array("features")
     rules: list[list[float]] = []
-    weight: Column = F.lit(1.0)
-    for _ in range(n_estimators):
-        data = df.select("features", "label", weight.alias("w"))
+    stored = materialise(df.select("features", "label", F.lit(1.0).alias("w0")), "boosting")
+    weight: Column = F.col("w0")
+    for done in range(n_estimators):
+        if done and done % STORE_EVERY == 0:
+            previous, stored = stored, materialise(stored.select("features", "label", weight.alias("w0")), "boosting")
+            release(spark, previous)
+            weight = F.col("w0")
+        data = stored.select("features", "label", weight.alias("w"))
         tree = DecisionTreeClassifier(maxDepth=1, weightCol="w", labelCol="label", seed=SEED).fit(data)
         root = tree._call_java("rootNode")
         if tree.depth == 0:
@@ -193,7 +200,7 @@ def adaboost(df: DataFrame, n_estimators: int = 50, learning_rate: float = 1.0)
         if math.isinf(rule[1]):
             rule[1] = 1e308
         vote = F.when(F.get(values, F.lit(int(rule[0]))) <= rule[1], rule[2]).otherwise(rule[3])
-        error, total = weighted_errors(df, vote, weight)
+        error, total = weighted_errors(stored, vote, weight)
         err = error / total
         if err <= 1e-12:
             rules.append([*rule, 1.0])
@@ -205,6 +212,7 @@ def adaboost(df: DataFrame, n_estimators: int = 50, learning_rate: float = 1.0)
         alpha = learning_rate * math.log((1 - err) / err)
         rules.append([*rule, alpha])
         weight = weight * F.when(vote != F.col("label"), math.exp(alpha)).otherwise(1.0)
+    release(spark, stored)
     return PipelineModel([BoostedStumps(inputCol="features", outputCol="p", rules=json.dumps(rules))])
 
 

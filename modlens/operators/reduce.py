@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -18,8 +19,14 @@ from pyspark.sql import functions as F
 from modlens.sources.tables import local_table, materialise
 
 
-def _literal(values: np.ndarray):
-    return F.array(*[F.lit(float(v)) for v in values])
+def by_batch(change):
+    """A vectorised function of rows of numbers (rows x columns in, rows x columns out) as a column function."""
+
+    @F.pandas_udf("array<double>")
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series(list(change(np.stack(x.to_numpy())))) if len(x) else pd.Series([], dtype=object)
+
+    return run
 
 
 @dataclass
@@ -41,8 +48,8 @@ class Scaler:
         return cls(row["mean"].toArray(), std)
 
     def transform(self, df: DataFrame, col: str = "x", output_col: str | None = None) -> DataFrame:
-        centred = F.zip_with(F.col(col), _literal(self.mean), lambda a, m: a - m)
-        return df.withColumn(output_col or col, F.zip_with(centred, _literal(self.std), lambda a, s: a / s))
+        mean, std = self.mean, self.std
+        return df.withColumn(output_col or col, by_batch(lambda x: (x - mean) / std)(col))
 
 
 @dataclass
@@ -66,12 +73,8 @@ class PcaReducer:
         return cls(scaler.mean, axes * np.where(flip == 0, 1.0, flip), model.explainedVariance.toArray())
 
     def transform(self, df: DataFrame, col: str = "x", output_col: str | None = None) -> DataFrame:
-        centre = Scaler(self.mean, np.ones_like(self.mean))
-        axes = F.array(*[_literal(a) for a in self.components.T])
-        dot = lambda a: F.aggregate(F.zip_with(F.col("_c"), a, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-        centred = centre.transform(df, col, "_c")
-        return centred.withColumn(output_col or col, F.transform(axes, dot)).drop("_c")
-
+        mean, axes = self.mean, self.components
+        return df.withColumn(output_col or col, by_batch(lambda x: (x - mean) @ axes)(col))
 
     def save(self, spark, path: str) -> None:
         """One row per component."""
