@@ -24,7 +24,7 @@ SEED = 42
 LEX = S.LEXICAL
 MODELS = ["brevity", "density", "lexicon"]
 VOCAB = vectorize.TfidfParams(1000, 3, 0.9, (1, 1))
-POOLED_TERMS = vectorize.TfidfParams(500, 2, 0.9, (1, 1))
+POOLED_TERMS = vectorize.TfidfParams(None, 2, 0.9, (1, 1))
 
 
 def r6(col):
@@ -401,7 +401,7 @@ def normality_k2(spark, d):
 
 
 def class_densities(spark, d):
-    rows = select.class_densities(lexical_table(spark, d), ["char_count", "avg_word_len"], "toxic")
+    rows = select.class_densities(lexical_table(spark, d), LEX, "toxic")
     return rounded(rows, "at", "density").withColumn("i", F.col("i").cast("bigint"))
 
 
@@ -663,7 +663,7 @@ def stream_scoring(spark, d):
     """Train on the labelled documents, then score the document files as a stream."""
     model = models.logistic(feature_rows(spark, d), max_iter=50)
     schema = table(spark, d, "documents").schema
-    stream = scoring.read_documents(spark, d, schema, glob="documents.parquet")
+    stream = scoring.read_documents(spark, f"{d}/documents.parquet", schema)
     output = tables.scratch_path(spark, "stream-scores")
     scoring.start_scoring(stream, model, f"{output}/rows", f"{output}/checkpoint").awaitTermination()
     return spark.read.schema("doc_id bigint, p double, flagged int").parquet(f"{output}/rows")

@@ -445,7 +445,7 @@ def _oracle() -> dict[str, str]:
         f"SELECT word, {syllable_list('[word]')}[1]::BIGINT AS n_syllables FROM w"
     )
     o["mean_pooled_vectors"] = (
-        f"WITH {CLEAN}, {WORDS}, {frequency()}, {vocab(500, 2, 0.9)}, v AS (SELECT term, embedding::DOUBLE[] AS x FROM vocab JOIN embeddings ON idx = vec_id), "
+        f"WITH {CLEAN}, {WORDS}, {frequency()}, {vocab(10**9, 2, 0.9)}, v AS (SELECT term, embedding::DOUBLE[] AS x FROM vocab JOIN embeddings ON idx = vec_id), "
         f"{tf}, j AS (SELECT doc_id, c, unnest(x) AS val, unnest(range(64)) AS dim FROM tfs JOIN v USING (term)), "
         "m AS (SELECT doc_id, dim, sum(c * val) / sum(c) AS value FROM j GROUP BY ALL), "
         "g AS (SELECT doc_id, dim FROM documents, range(64) r(dim)) "
@@ -500,9 +500,9 @@ def _oracle() -> dict[str, str]:
         "CASE WHEN exp(-k2 / 2) > 0.05 THEN 'normally distributed' ELSE 'NOT normally distributed' END AS verdict FROM m5"
     )
     o["class_densities"] = (
-        f"{LEX_LONG}, f AS (SELECT feature, toxic AS label, value AS x FROM long WHERE feature IN ('char_count', 'avg_word_len')), "
+        f"{LEX_LONG}, f AS (SELECT feature, toxic AS label, value AS x FROM long), "
         "s AS (SELECT feature, label, count(*) AS n, stddev_samp(x) * pow(count(*)::DOUBLE, -0.2) AS bw, min(x) AS lo, max(x) AS hi FROM f GROUP BY ALL), "
-        "g AS (SELECT *, lo - 3 * bw + (hi + 3 * bw - (lo - 3 * bw)) * i / 199.0::DOUBLE AS \"at\" FROM s, range(200) r(i)) "
+        "g AS (SELECT *, lo - 3 * bw + (hi + 3 * bw - (lo - 3 * bw)) * i / 199.0::DOUBLE AS \"at\" FROM s, range(200) r(i) WHERE bw > 0) "
         f"SELECT g.feature, g.label, g.i, {r6('any_value(g.at)')} AS \"at\", "
         f"{r6('sum(exp(-0.5 * pow((g.at - x) / bw, 2))) / (any_value(n) * any_value(bw) * sqrt(2 * pi()))')} AS density "
         "FROM g JOIN f ON g.feature = f.feature AND g.label = f.label GROUP BY g.feature, g.label, g.i"
@@ -540,7 +540,8 @@ def _oracle() -> dict[str, str]:
         f"SELECT id, {r6('majority::DOUBLE / k')} AS share, {quota} AS quota FROM shares, sz"
     )
     o["tomek_links"] = (
-        f"WITH {VECTORS}, {nearest(1, 'TRUE')} SELECT a.query_id AS minority_id, a.neighbour_id AS majority_id FROM nn a JOIN nn b "
+        f"WITH {VECTORS}, {nearest(1, 'a.y = 1')}, {nearest(1, 'a.y = 0 AND a.id IN (SELECT neighbour_id FROM nn)', name='back')} "
+        "SELECT a.query_id AS minority_id, a.neighbour_id AS majority_id FROM nn a JOIN back b "
         "ON a.neighbour_id = b.query_id AND b.neighbour_id = a.query_id JOIN vec va ON va.id = a.query_id JOIN vec vb ON vb.id = a.neighbour_id "
         "WHERE va.y = 1 AND vb.y = 0"
     )

@@ -195,9 +195,9 @@ def _refit(name: str, params: dict) -> Callable[[DataFrame], object]:
 # Threshold job -----------------------------------------------------------------------------------------
 
 
-def tune_threshold(registry: ModelRegistry, data: DataFrame | None, id_col: str = "doc_id", rows: int = 5000,
+def tune_threshold(registry: ModelRegistry, data: DataFrame | None, id_col: str = "doc_id", rows: int | None = None,
                    custom: float | None = None) -> tuple[str, float]:
-    """Best model and threshold on the first rows of a table; a given threshold wins.
+    """Best model and threshold on a table, or on its first ``rows`` rows by id; a given threshold wins.
 
     Without data the model of the best stored F1 and the default threshold are used.
     """
@@ -205,7 +205,7 @@ def tune_threshold(registry: ModelRegistry, data: DataFrame | None, id_col: str
     best = evaluate.best_model(metrics.filter(F.col("model").isin(*fitted))).first()
     name, optimised = best["model"], None
     if data is not None:
-        first = materialise(data.orderBy(id_col).limit(rows), "threshold-rows")
+        first = materialise(data.orderBy(id_col).limit(rows) if rows else data, "threshold-rows")
         row = evaluate.best_overall(ensemble.member_scores(fitted, first, id_col)).first()
         name, optimised = row["model"], row["threshold"]
     return name, evaluate.effective_threshold(custom, optimised)
