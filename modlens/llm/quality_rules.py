@@ -14,6 +14,8 @@ and then nothing diverges; repeated rows are judged alike; other columns of the
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,18 +48,20 @@ def measured(docs: DataFrame) -> DataFrame:
         F.length("text").alias("n_chars"),
         F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).alias("n_symbols"),
-        F.regexp_count("text", F.lit(r"\p{Ll}")).alias("lower"),
-        F.regexp_count("text", F.lit(r"\p{Lu}")).alias("upper"),
-        F.regexp_count("text", F.lit(r"\p{Nd}")).alias("digit"),
+        (F.length("text") - F.length(F.regexp_replace("text", r"\p{Ll}+", ""))).alias("lower"),
+        (F.length("text") - F.length(F.regexp_replace("text", r"\p{Lu}+", ""))).alias("upper"),
+        (F.length("text") - F.length(F.regexp_replace("text", r"\p{Nd}+", ""))).alias("digit"),
     )
     n = F.size("words")
-    part = lambda start: F.slice("words", start, F.greatest(n - 2, F.lit(0)))
+    rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    heads = F.slice("hashes", 1, F.greatest(n - 2, F.lit(0)))
+    after = lambda i, k: F.get(F.col("hashes"), i + k)
     rows = rows.select(
         "*",
         n.cast("long").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.transform(F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("c")), lambda w: F.xxhash64(w)).alias("windows"),
-    ).drop("lines")
+        F.transform(heads, lambda h, i: F.xxhash64(h, after(i, 1), after(i, 2))).alias("windows"),
+    ).drop("lines", "hashes")
     # Windows in the order of their hash: those next to an equal one are repeated.
     numbered = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     rows = rows.withColumn(
@@ -74,17 +78,17 @@ def measured(docs: DataFrame) -> DataFrame:
         "repeated", lambda i, j: F.coalesce(F.least(F.get(F.col("repeated"), j + 1) - i, F.lit(3)), F.lit(3))
     )
     # Each common word becomes one letter of its own, so that bins are counted as letters of a string.
-    letters = [chr(0x4E00 + k) for k in range(len(COMMON_WORDS))]
+    letters = string.ascii_letters[: len(COMMON_WORDS)]
     lists = F.array(*map(F.lit, COMMON_WORDS))
     letter = lambda w: F.substring(
-        F.lit("-" + "".join(letters)), (F.array_position(lists, F.lower(w)) + 1).cast("int"), F.lit(1)
+        F.lit("-" + letters), (F.array_position(lists, F.lower(w)) + 1).cast("int"), F.lit(1)
     )
     known = F.array_join(F.transform(F.filter("words", lambda w: F.length(w) <= 4), letter), "")
-    known = F.translate(known, "-", "")
+    known = F.replace(known, F.lit("-"), F.lit(""))
     rows = rows.select(
         "*", F.aggregate(covered, F.lit(0), lambda s, x: s + x).cast("long").alias("n_repeat_words"), known.alias("known")
     ).drop("repeated", "words", "text")
-    common = [F.length("known") - F.length(F.translate("known", x, "")) for x in letters]
+    common = [F.length("known") - F.length(F.replace(F.col("known"), F.lit(x), F.lit(""))) for x in letters]
     blank = F.col("n_chars") - F.col("word_chars")
     other = F.col("word_chars") - F.col("lower") - F.col("upper") - F.col("digit") - F.col("n_symbols")
     return rows.select(
