@@ -44,7 +44,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
 def small(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop, written
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) of every end of the links (a, b): the smallest id reachable.
+    """(id, component) of every end of the links (a, b): the smallest id reachable; a written table.
 
     Each round takes the smallest label among the neighbours and then the label of that label, so rounds
     grow with the logarithm of a component's width. Labels are written to the shared folder every round.
@@ -37,6 +37,8 @@ def components(links: DataFrame) -> DataFrame:
             ),
             "labels",
         )
-        labels = new.select("id", "component")
+        drop(labels)
+        labels = new
         if not new.where("component <> old").limit(1).count():
-            return labels
+            drop(both)
+            return new

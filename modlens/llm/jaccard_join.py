@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import as_bytes, mixed, signed, small, spread, text_blocks, word_hashes, written
+from .common import as_bytes, drop, mixed, signed, small, spread, text_blocks, word_hashes, written
 from .components import components
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -92,11 +92,17 @@ class PartEnum:
     def plan(self, k: int) -> tuple[int, int, int]:
         """(n1, n2, k2): few differences enumerate subsets of one partition, many use a partition for each."""
         if k not in self._plans:
-            self._plans[k] = (1, k + 2, k) if k <= 4 else (k + 1, 1, 0)
+            self._plans[k] = (1, k + 2, k) if k <= 4 else (k + 1 + self.spare(k), 1, 0)
             n1, n2, k2 = self._plans[k]
             assert k // n1 <= k2 < n2 and comb(n2, k2) <= 15
         return self._plans[k]
 
+    @staticmethod
+    def spare(k: int) -> int:
+        """Partitions beyond k + 1. Of n1 partitions, spare + 1 are equal in two sets that link, so a set with at
+        most ``spare`` empty ones shares one that is not empty, and needs no signature for its empty ones."""
+        return 1 + k // 15
+
     def signatures(self, features: np.ndarray) -> np.ndarray:
         """Signatures of one set, for the groups of its own band and of the next."""
         if not len(features):
@@ -108,12 +114,17 @@ class PartEnum:
                 continue
             n1, n2, k2 = self.plan(k)
             sums = np.zeros(n1 * n2, dtype=np.uint64)
-            np.add.at(sums, (spread_bits >> np.uint64(20)) % np.uint64(n1 * n2), features)
+            part = (spread_bits >> np.uint64(20)) % np.uint64(n1 * n2)
+            np.add.at(sums, part, features)
             if k2:
                 subsets = list(combinations(range(n2), n2 - k2))
                 sums = np.array([mixed(sums[list(s)]).sum(dtype=np.uint64) for s in subsets])
             tag = np.arange(len(sums), dtype=np.uint64) + np.uint64(group << 32)
-            out.append(mixed(sums + mixed(tag + np.uint64(1))))
+            found = mixed(sums + mixed(tag + np.uint64(1)))
+            if not k2:
+                filled = np.bincount(part.astype(np.int64), minlength=n1) > 0
+                found = found[filled] if n1 - filled.sum() <= self.spare(k) else found
+            out.append(found)
         return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
@@ -162,8 +173,8 @@ def compared(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
         "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_tasks") - 1)).alias("task"),
         F.col("a").alias("id"), F.lit(0).alias("kind"),
     )
-    wanted = small(written(members.unionByName(pivots), "wanted"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id")
+    wanted = written(members.unionByName(pivots), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(wanted), "id")
 
     def to_sets(batches):
         for block in text_blocks(batches):
@@ -205,7 +216,10 @@ def compared(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
 
     sets = texts.mapInArrow(to_sets, "a long, task long, kind int, id long, features array<long>")
     dealt = sets.repartition("a", "task").sortWithinPartitions("a", "task", "kind")
-    return dealt.mapInArrow(verify, "a long, b long, sa long, sb long, linked boolean, differ array<long>")
+    done = dealt.mapInArrow(verify, "a long, b long, sa long, sb long, linked boolean, differ array<long>")
+    done = written(done, "compared")
+    drop(wanted)
+    return done
 
 
 def across_components(stars: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -216,9 +230,9 @@ def across_components(stars: DataFrame, found: DataFrame, percent: int) -> DataF
         "a", "b", "sb", "linked", "differ", F.coalesce("cb", "b").alias("component"), F.coalesce("ca", "a").alias("ca")
     )
     labelled = written(labelled, "labelled")
-    mixed_pivots = small(written(labelled.where("component <> ca").select("a").distinct(), "mixed"))
+    mixed_pivots = written(labelled.where("component <> ca").select("a").distinct(), "mixed")
     least, most = 100 - percent, 100 + percent
-    members = labelled.join(mixed_pivots, "a").select(
+    members = labelled.join(small(mixed_pivots), "a").select(
         "a", "b", "sb", "component", (~F.col("linked")).alias("far"), "differ",
         # differences of linked sets, if the other is as large as it can be
         F.floor(F.expr(f"{least} * (sb + floor(sb * 100 / {percent})) / {most}")).alias("k"),
@@ -235,12 +249,13 @@ def across_components(stars: DataFrame, found: DataFrame, percent: int) -> DataF
     )
     probes = probes.where("rarity > 1").select("a", "e", "b", "sb", "component", "far", "n", (F.col("n") - F.col("rank")).alias("rest"))
     probes = written(probes, "probes")
+    drop(labelled, mixed_pivots, elements, common)
     side = lambda t, b, x: t.select(
         "a", "e", F.col("b").alias(b), *(F.col(c).alias(f"{c}_{x}") for c in ("sb", "component", "n", "rest"))
     )
     # What both must share at least, against what their first common element leaves to share.
     most_apart = f"floor({least} * (sb_x + sb_y) / {most})"
-    return (
+    pairs = (
         side(probes.where("far"), "x", "x").join(side(probes, "y", "y"), ["a", "e"])
         .where("x <> y and component_x <> component_y")
         .where(f"n_x + n_y - 2 * (1 + least(rest_x, rest_y)) <= {most_apart}")
@@ -248,6 +263,9 @@ def across_components(stars: DataFrame, found: DataFrame, percent: int) -> DataF
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
     )
+    pairs = written(pairs, "across")
+    drop(probes)
+    return pairs
 
 
 def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -256,34 +274,44 @@ def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     base = written(described(docs, n, percent), "sets")
     classes = base.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     classes = written(classes, "classes")
-    owners = base.select("doc_id", "n_shingles", "d1", "d2", "signatures").where("size(signatures) > 0")
     keys = ["d1", "d2", "n_shingles"]
+    # Copies of a smaller id: their signatures are those of the representative.
+    copies = written(
+        base.select("doc_id", *keys).join(classes, keys).where("doc_id <> rep").select("doc_id", *keys).distinct(), "copies"
+    )
     entries = (
-        owners.join(classes, [*[owners[k] == classes[k] for k in keys], owners["doc_id"] == classes["rep"]], "left_semi")
-        .dropDuplicates(["doc_id", *keys])
+        base.where("size(signatures) > 0")
+        .join(small(copies), ["doc_id", *keys], "left_anti")
         .select(F.explode("signatures").alias("sig"), F.col("doc_id").alias("b"))
     )
     shared = entries.groupBy("sig").agg(F.count("*").alias("n"), F.min("b").alias("lo"), F.max("b").alias("hi"))
     shared = written(shared.where("n > 1"), "shared")
-    many = small(written(shared.where("n > 2").select("sig", F.col("lo").alias("a")), "many"))
+    many = written(shared.where("n > 2").select("sig", F.col("lo").alias("a")), "many")
     stars = (
         shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-        .union(entries.join(many, "sig").select("a", "b"))
+        .union(entries.join(small(many), "sig").select("a", "b"))
         .where("a <> b")
         .distinct()
     )
-    stars = written(compared(docs, written(stars, "stars"), n, percent), "compared")
-    links = stars.where("linked").select("a", "b")
+    pairs = written(stars, "stars")
+    members = written(base.select("doc_id", *keys), "members")
+    drop(base, copies, shared, many)
+    stars = compared(docs, pairs, n, percent)
+    links = written(stars.where("linked").select("a", "b"), "links")
     found = components(links)
-    across = written(across_components(stars, found, percent), "across")
-    more = written(compared(docs, across, n, percent).where("linked").select("a", "b"), "links")
-    found = components(links.union(more))
+    across = across_components(stars, found, percent)
+    drop(pairs, stars, found)
+    more = compared(docs, across, n, percent)
+    found = components(links.union(more.where("linked").select("a", "b")))
     reps = classes.join(found, classes["rep"] == found["id"], "left").select(
         *keys, F.coalesce("component", "rep").alias("component")
     )
-    return base.join(reps, keys, "left").select(
+    result = members.join(reps, keys, "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )
+    result = written(result, "joined")
+    drop(members, classes, links, more, across, found)
+    return result
 
 
 def one_per_group(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:

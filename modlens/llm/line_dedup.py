@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, powers, signed, small, spread, text_blocks, written
+from .common import drop, mixed, powers, signed, small, spread, text_blocks, written
 
 # Candidates of one line that a task compares; more are dealt to further tasks.
 PAIRS_PER_TASK = 5000
@@ -192,8 +192,8 @@ def near_lines(docs: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
         F.pmod(F.xxhash64("a", "task", "at.line"), F.lit(16)).alias("part"),
         F.struct(F.col("at.line").alias("line"), "a", "task", "kind").alias("w"),
     )
-    wanted = small(written(wanted.groupBy("doc_id", "part").agg(F.collect_list("w").alias("wanted")), "wanted"), 100_000)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+    wanted = written(wanted.groupBy("doc_id", "part").agg(F.collect_list("w").alias("wanted")), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(wanted, 100_000), "doc_id")
 
     def to_lines(batches):
         for block in text_blocks(batches):
@@ -230,13 +230,15 @@ def near_lines(docs: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
     dealt = dealt.sortWithinPartitions("a_doc", "a_line", "task", "kind")
     found = dealt.mapInArrow(verify, "a_doc long, a_line long, b_doc long, b_line long")
     position = lambda x: F.struct(F.col(f"{x}_doc").alias("doc_id"), F.col(f"{x}_line").alias("line"))
-    return found.select(position("a").alias("a"), position("b").alias("b")).distinct()
+    found = written(found.select(position("a").alias("a"), position("b").alias("b")).distinct(), "near")
+    drop(wanted)
+    return found
 
 
 def dropped_lines(
     docs: DataFrame, min_chars: int = 20, near_chars: int = 40, edits: int = 2
 ) -> DataFrame:
-    """(doc_id, line) of every line to drop."""
+    """(doc_id, line) of every line to drop, as a written table."""
     lines = written(line_table(docs, min_chars, near_chars, edits), "lines")
     at = F.struct("doc_id", "line")
     same = ["d1", "d2", "n"]
@@ -252,31 +254,41 @@ def dropped_lines(
         F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("n"), F.max("indexed").alias("useful")
     )
     shared = written(shared.where("n > 1 and useful and lo <> hi"), "shared")
-    many = small(written(shared.where("n > 2").select("key", "lo"), "many"))
-    members = written(entries.join(many, "key"), "members")
+    many = written(shared.where("n > 2").select("key", "lo"), "many")
+    members = written(entries.join(small(many), "key"), "members")
     first_pairs = (
         shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
         .union(members.select(F.col("lo").alias("a"), F.col("at").alias("b")))
         .where("a <> b").distinct()
     )
     first_pairs = written(first_pairs, "pairs")
-    decided = written(near_lines(docs, first_pairs, edits).select(F.col("b").alias("at")).distinct(), "decided")
-    open_ = members.join(small(decided), "at", "left_anti").where("at <> lo")
+    slim = written(lines.select("doc_id", "line", *same), "positions")
+    drop(lines, shared, many)
+    found = near_lines(docs, first_pairs, edits)
+    decided = written(found.select(F.col("b").alias("at")).distinct(), "decided")
+    open_ = written(
+        members.join(small(decided), "at", "left_anti").where("at <> lo")
+        .select("key", F.col("at").alias("b"), F.col("indexed").alias("b_indexed")),
+        "open",
+    )
     earlier = members.select("key", F.col("at").alias("a"), F.col("indexed").alias("a_indexed"))
-    later = open_.select("key", F.col("at").alias("b"), F.col("indexed").alias("b_indexed"))
-    rest = earlier.join(written(later, "open"), "key").where("a < b and (a_indexed or b_indexed)")
+    rest = earlier.join(open_, "key").where("a < b and (a_indexed or b_indexed)")
     rest = written(rest.select("a", "b").distinct().join(first_pairs, ["a", "b"], "left_anti"), "rest")
-    decided = written(decided.union(near_lines(docs, rest, edits).select(F.col("b").alias("at")).distinct()), "decided")
-    near = classes.join(decided.select(F.col("at").alias("first"), F.lit(True).alias("near")), "first", "left")
-    bad = small(written(near.where("near or copies > 1"), "bad"))
-    out = lines.select("doc_id", "line", *same).join(bad, same)
-    return out.where("near or struct(doc_id, line) <> first").select("doc_id", "line")
+    drop(members, open_, first_pairs)
+    more = near_lines(docs, rest, edits)
+    near = decided.union(more.select(F.col("b").alias("at"))).distinct().select(F.col("at").alias("first"), F.lit(True).alias("near"))
+    bad = written(classes.join(near, "first", "left").where("near or copies > 1"), "bad")
+    out = slim.join(small(bad), same)
+    out = written(out.where("near or struct(doc_id, line) <> first").select("doc_id", "line"), "repeated")
+    drop(found, decided, rest, more, bad, slim, classes)
+    return out
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 20, near_chars: int = 40, edits: int = 2) -> DataFrame:
     """The documents with shortened texts and two more columns, n_lines (non-blank lines before) and n_dropped."""
     dropped = dropped_lines(docs, min_chars, near_chars, edits)
     lists = written(dropped.groupBy("doc_id").agg(F.collect_set("line").alias("__dropped")), "dropped")
+    drop(dropped)
     ids = docs.withColumn("__line_id", F.col("doc_id").cast("long"))
     joined = ids.join(lists.select(F.col("doc_id").alias("__line_id"), "__dropped"), "__line_id", "left").drop("__line_id")
     fields = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_dropped")]
