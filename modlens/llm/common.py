@@ -49,10 +49,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
-def drop(*tables: DataFrame) -> None:
-    """Delete written tables that nothing will read again."""
+def drop(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again, and let Spark's cleaner find the shuffle files of
+    finished jobs: it deletes them once the JVM has collected the plans they belong to."""
+    spark.sparkContext._jvm.System.gc()
     for table in tables:
-        spark = table.sparkSession
         hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
         hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 

@@ -37,8 +37,8 @@ def components(links: DataFrame) -> DataFrame:
             ),
             "labels",
         )
-        drop(labels)
+        drop(links.sparkSession, labels)
         labels = new
         if not new.where("component <> old").limit(1).count():
-            drop(both)
+            drop(links.sparkSession, both)
             return new

@@ -176,23 +176,12 @@ def compared(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
     wanted = written(members.unionByName(pivots), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(wanted), "id")
 
-    def to_sets(batches):
-        for block in text_blocks(batches):
-            features = list(shingle_sets(as_bytes(block.column(block.schema.get_field_index("text"))), n))
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in features]))).astype(np.int32)
-            features = pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(np.concatenate(features))))
-            columns = [block.column(block.schema.get_field_index(c)) for c in ("a", "task", "kind", "id")]
-            yield pa.RecordBatch.from_arrays([*columns, features], ["a", "task", "kind", "id", "features"])
-
     def verify(batches):
         pivot, at = None, None
-        for batch in batches:
-            a, task, kind, ids = (batch.column(i).to_numpy() for i in range(4))
-            lists = batch.column(4)
-            values, offsets = lists.flatten().to_numpy(), np.asarray(lists.offsets)
-            offsets, rows, differ = offsets - offsets[0], [], []
-            for i in range(batch.num_rows):
-                own = values[offsets[i] : offsets[i + 1]].view(np.uint64)
+        for block in text_blocks(batches):
+            a, task, kind, ids = (block.column(i).to_numpy() for i in range(4))
+            rows, differ = [], []
+            for i, own in enumerate(shingle_sets(as_bytes(block.column(4)), n)):
                 if kind[i] == 0:
                     pivot, at = own, (a[i], task[i])
                     continue
@@ -214,11 +203,11 @@ def compared(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
                 ["a", "b", "sa", "sb", "linked", "differ"],
             )
 
-    sets = texts.mapInArrow(to_sets, "a long, task long, kind int, id long, features array<long>")
-    dealt = sets.repartition("a", "task").sortWithinPartitions("a", "task", "kind")
+    # Texts travel, since they are smaller than the hashes of their n-grams.
+    dealt = texts.select("a", "task", "kind", "id", "text").repartition("a", "task").sortWithinPartitions("a", "task", "kind")
     done = dealt.mapInArrow(verify, "a long, b long, sa long, sb long, linked boolean, differ array<long>")
     done = written(done, "compared")
-    drop(wanted)
+    drop(docs.sparkSession, wanted)
     return done
 
 
@@ -249,7 +238,7 @@ def across_components(stars: DataFrame, found: DataFrame, percent: int) -> DataF
     )
     probes = probes.where("rarity > 1").select("a", "e", "b", "sb", "component", "far", "n", (F.col("n") - F.col("rank")).alias("rest"))
     probes = written(probes, "probes")
-    drop(labelled, mixed_pivots, elements, common)
+    drop(stars.sparkSession, labelled, mixed_pivots, elements, common)
     side = lambda t, b, x: t.select(
         "a", "e", F.col("b").alias(b), *(F.col(c).alias(f"{c}_{x}") for c in ("sb", "component", "n", "rest"))
     )
@@ -264,7 +253,7 @@ def across_components(stars: DataFrame, found: DataFrame, percent: int) -> DataF
         .distinct()
     )
     pairs = written(pairs, "across")
-    drop(probes)
+    drop(stars.sparkSession, probes)
     return pairs
 
 
@@ -286,6 +275,7 @@ def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     )
     shared = entries.groupBy("sig").agg(F.count("*").alias("n"), F.min("b").alias("lo"), F.max("b").alias("hi"))
     shared = written(shared.where("n > 1"), "shared")
+    drop(docs.sparkSession)
     many = written(shared.where("n > 2").select("sig", F.col("lo").alias("a")), "many")
     stars = (
         shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
@@ -295,12 +285,12 @@ def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     )
     pairs = written(stars, "stars")
     members = written(base.select("doc_id", *keys), "members")
-    drop(base, copies, shared, many)
+    drop(docs.sparkSession, base, copies, shared, many)
     stars = compared(docs, pairs, n, percent)
     links = written(stars.where("linked").select("a", "b"), "links")
     found = components(links)
     across = across_components(stars, found, percent)
-    drop(pairs, stars, found)
+    drop(docs.sparkSession, pairs, stars, found)
     more = compared(docs, across, n, percent)
     found = components(links.union(more.where("linked").select("a", "b")))
     reps = classes.join(found, classes["rep"] == found["id"], "left").select(
@@ -310,7 +300,7 @@ def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )
     result = written(result, "joined")
-    drop(members, classes, links, more, across, found)
+    drop(docs.sparkSession, members, classes, links, more, across, found)
     return result
 
 

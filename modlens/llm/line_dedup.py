@@ -231,7 +231,7 @@ def near_lines(docs: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
     found = dealt.mapInArrow(verify, "a_doc long, a_line long, b_doc long, b_line long")
     position = lambda x: F.struct(F.col(f"{x}_doc").alias("doc_id"), F.col(f"{x}_line").alias("line"))
     found = written(found.select(position("a").alias("a"), position("b").alias("b")).distinct(), "near")
-    drop(wanted)
+    drop(docs.sparkSession, wanted)
     return found
 
 
@@ -263,7 +263,7 @@ def dropped_lines(
     )
     first_pairs = written(first_pairs, "pairs")
     slim = written(lines.select("doc_id", "line", *same), "positions")
-    drop(lines, shared, many)
+    drop(docs.sparkSession, lines, shared, many)
     found = near_lines(docs, first_pairs, edits)
     decided = written(found.select(F.col("b").alias("at")).distinct(), "decided")
     open_ = written(
@@ -274,13 +274,13 @@ def dropped_lines(
     earlier = members.select("key", F.col("at").alias("a"), F.col("indexed").alias("a_indexed"))
     rest = earlier.join(open_, "key").where("a < b and (a_indexed or b_indexed)")
     rest = written(rest.select("a", "b").distinct().join(first_pairs, ["a", "b"], "left_anti"), "rest")
-    drop(members, open_, first_pairs)
+    drop(docs.sparkSession, members, open_, first_pairs)
     more = near_lines(docs, rest, edits)
     near = decided.union(more.select(F.col("b").alias("at"))).distinct().select(F.col("at").alias("first"), F.lit(True).alias("near"))
     bad = written(classes.join(near, "first", "left").where("near or copies > 1"), "bad")
     out = slim.join(small(bad), same)
     out = written(out.where("near or struct(doc_id, line) <> first").select("doc_id", "line"), "repeated")
-    drop(found, decided, rest, more, bad, slim, classes)
+    drop(docs.sparkSession, found, decided, rest, more, bad, slim, classes)
     return out
 
 
@@ -288,7 +288,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, near_chars: int = 40, edits
     """The documents with shortened texts and two more columns, n_lines (non-blank lines before) and n_dropped."""
     dropped = dropped_lines(docs, min_chars, near_chars, edits)
     lists = written(dropped.groupBy("doc_id").agg(F.collect_set("line").alias("__dropped")), "dropped")
-    drop(dropped)
+    drop(docs.sparkSession, dropped)
     ids = docs.withColumn("__line_id", F.col("doc_id").cast("long"))
     joined = ids.join(lists.select(F.col("doc_id").alias("__line_id"), "__dropped"), "__line_id", "left").drop("__line_id")
     fields = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_dropped")]
