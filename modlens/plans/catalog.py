@@ -661,7 +661,10 @@ def performance_at_threshold(spark, d):
 
 def stream_scoring(spark, d):
     """Train on the labelled documents, then score the document files as a stream."""
-    model = models.logistic(feature_rows(spark, d), max_iter=50)
+    return _streamed(spark, d, models.logistic(feature_rows(spark, d), max_iter=50))
+
+
+def _streamed(spark, d, model):
     schema = table(spark, d, "documents").schema
     stream = scoring.read_documents(spark, f"{d}/documents.parquet", schema)
     output = tables.scratch_path(spark, "stream-scores")
@@ -669,6 +672,36 @@ def stream_scoring(spark, d):
     return spark.read.schema("doc_id bigint, p double, flagged int").parquet(f"{output}/rows")
 
 
+# Invariants of fitted models, which SQL can state although it cannot fit them -------------------------
+
+
+def topic_invariants(spark, d):
+    """Documents, and how many have non-negative topic shares that sum to one."""
+    total = F.aggregate("topics", F.lit(0.0), lambda a, x: a + x)
+    proper = (F.abs(total - 1) < 1e-6) & (F.array_min("topics") >= 0)
+    return lda_topics(spark, d).agg(F.count("*").alias("documents"), F.count_if(proper).alias("proper"))
+
+
+def stream_equals_batch(spark, d):
+    """Documents, and how many the stream scores as the batch does."""
+    model = models.logistic(feature_rows(spark, d), max_iter=50)
+    batch = scoring.score_documents(documents(spark, d), model).select("doc_id", F.col("p").alias("batch"))
+    both = _streamed(spark, d, model).join(batch, "doc_id")
+    return both.agg(F.count("*").alias("documents"), F.count_if(F.abs(F.col("p") - F.col("batch")) < 1e-9).alias("equal"))
+
+
+def pca_invariants(spark, d):
+    """Pairs of principal components, and whether the projected rows are uncorrelated in them."""
+    x = pca_project(spark, d).select(*[F.col("components")[i].alias(f"c{i}") for i in range(8)])
+    pairs = [(i, j) for j in range(8) for i in range(j)]
+    row = materialise(x, "projected").agg(*[F.corr(f"c{i}", f"c{j}").alias(f"r_{i}_{j}") for i, j in pairs])
+    values = F.array(*[
+        F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(j).cast("bigint").alias("j"), (F.abs(f"r_{i}_{j}") < 1e-6).alias("uncorrelated"))
+        for i, j in pairs
+    ])
+    return row.select(F.inline(values))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -685,7 +718,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         halving_search, stacking, forest_importances, halving_schedule, candidate_survivors, soft_vote, weighted_vote,
         eval_metrics, confusion, confusion_normalised, class_report, macro_scores, pr_curve, roc_curve,
         best_threshold, best_overall, errors_at_threshold, threshold_sweep, sweep_optima, best_model, metrics_long,
-        top_importances, sample_predictions, performance_at_threshold, stream_scoring,
+        top_importances, sample_predictions, performance_at_threshold, stream_scoring, topic_invariants, stream_equals_batch,
+        pca_invariants,
     )
 }
 QUERIES["clean_text"] = cleaned

@@ -632,6 +632,11 @@ def _oracle() -> dict[str, str]:
         f"{SCORES}, {counts('0.3')}, {counts(name='d')}, {report()} SELECT report.model, class, {rounded}, support::BIGINT AS support, "
         f"{r6(div('tp + tn', 'tp + fp + fn + tn'))} AS default_accuracy FROM report JOIN d ON report.model = d.model"
     )
+    # Invariants of fitted models
+    everything = "SELECT {} (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM documents) AS {}"
+    o["topic_invariants"] = everything.format("", "proper")
+    o["stream_equals_batch"] = everything.format("", '"equal"')
+    o["pca_invariants"] = "SELECT i, j, TRUE AS uncorrelated FROM range(8) a(i), range(8) b(j) WHERE i < j"
     return o
 
 
