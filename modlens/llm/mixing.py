@@ -2,8 +2,11 @@
 
 Tokens (words) are counted per cell of source, language and topic. The cells are raked: their weights are scaled to
 one marginal after the other until the weighted token shares of sources, languages and topics all are the targets.
-A document is then sampled with a probability proportional to its cell's weight, the largest being 1, so the
-sample has the target shares in expectation and no document is repeated.
+A document's rate is its cell's weight times ``size``, the wanted number of tokens as a share of the corpus's; the
+weights average 1 over the tokens, so no cell, however rare, sets what the others keep. A rate up to 1 is the
+probability of the document. A cell with a larger rate has too few tokens: all its documents stay (probability 1)
+and ``multiplicity`` is the rate; ``copies`` is the rate rounded down or up by the draw. Tokens times copies (as selected
+tokens times multiplicity) have the target shares and the wanted size in expectation.
 
 Targets are given as {value: weight} per dimension, or follow from the corpus as share ** ``temper`` (1: as it is, 0:
 all alike). Values without a target of their own (in tempered targets: those under ``MIN_SHARE`` of the tokens)
@@ -14,7 +17,7 @@ The topic is the column ``topic`` if there is one; else a stand-in: the longest
 binary order) hashed to one of ``TOPICS`` groups.
 
 Edge cases: null source, language or topic is a value of its own; null and empty texts count no token and are
-sampled like the rest of their cell (probability by weight 1 if the cell has no token); repeated rows are sampled
+sampled like the rest of their cell (by weight 1 if the cell has no token); repeated rows are sampled
 alike, since the draw depends on the doc_id alone; null ids draw 0 and stay; other columns of the input are kept.
 """
 
@@ -106,13 +109,19 @@ def group_of(value: Column, own: list[str]) -> Column:
     return F.when(value.isin(own), value).otherwise(F.lit(REST)) if own else F.lit(REST)
 
 
+def chances(rate: float) -> tuple[float, float]:
+    """Probability and multiplicity of a rate. Raking leaves rates of 1 off by rounding."""
+    return (1.0, rate if rate > 1 + 1e-9 else 1.0) if rate > 1 - 1e-9 else (rate, 1.0)
+
+
 def mixing(
     docs: DataFrame,
     temper: float = 0.9,
     targets: Mapping[str, Mapping[str, float]] | None = None,
     seed: int = 7,
+    size: float = 1.0,
 ) -> DataFrame:
-    """The documents with the columns topic, n_tokens, weight, probability and selected."""
+    """The documents with the columns topic, n_tokens, weight, probability, multiplicity, selected and copies."""
     spark = docs.sparkSession
     value = lambda c: F.coalesce(c.cast("string"), F.lit(NULL))
     topic = value(F.col("topic")) if "topic" in docs.columns else topic_of(F.col("text"))
@@ -120,16 +129,19 @@ def mixing(
     counted = written(docs.select(*(c.alias(d) for d, c in columns.items()), n_tokens(F.col("text")).alias("n_tokens"))
                       .groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n_tokens")), "cells")
     cells, own = cell_weights(counted, temper, targets)
-    largest = max((w for *_, w in cells), default=1.0) or 1.0
     names = [f"__mix_{d}" for d in DIMENSIONS]
     table = spark.createDataFrame(
-        [(*c[:3], c[3], min(1.0, c[3] / largest)) for c in cells],
-        ", ".join([*(f"{n} string" for n in names), "weight double", "probability double"]),
+        [(*c[:3], c[3], *chances(size * c[3])) for c in cells],
+        ", ".join([*(f"{n} string" for n in names), "weight double", "probability double", "multiplicity double"]),
     )
-    kept = [c for c in docs.columns if c not in ("topic", "n_tokens", "weight", "probability", "selected")]
+    added = ("topic", "n_tokens", "weight", "probability", "multiplicity", "selected", "copies")
+    kept = [c for c in docs.columns if c not in added]
     keyed = docs.select(
         *kept, topic.alias("topic"), n_tokens(F.col("text")).alias("n_tokens"),
         *(group_of(c, own[d]).alias(n) for (d, c), n in zip(columns.items(), names, strict=True)),
     )
     joined = keyed.join(F.broadcast(table), names).drop(*names)  # cells: few, see above
-    return joined.withColumn("selected", draw(F.col("doc_id"), seed) < F.col("probability"))
+    drawn, rate = draw(F.col("doc_id"), seed), F.col("probability") * F.col("multiplicity")
+    return joined.withColumn("selected", drawn < F.col("probability")).withColumn(
+        "copies", (F.floor(rate) + (drawn < rate - F.floor(rate)).cast("long")).cast("long")
+    )

@@ -125,6 +125,43 @@ def test_rake_by_hand():
     assert fitted[0] * fitted[3] / fitted[1] / fitted[2] == pytest.approx(6.0)
 
 
+def test_one_odd_row_leaves_the_other_cells(spark):
+    """A short document of an odd source and language: what the others keep stays, in the operator and the stage."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*corpus_pipeline.DOCUMENT)
+    odd = spark.createDataFrame([(10**6, "word " * 20, "xx", "odd", 100)], docs.schema)
+    before, after = (
+        {r["doc_id"]: r for r in mixing.mixing(d).drop("text").collect()} for d in (docs, docs.union(odd))
+    )
+    assert after[10**6]["probability"] == 1 and after[10**6]["multiplicity"] > 2
+    for i, r in before.items():
+        assert after[i]["probability"] == pytest.approx(r["probability"], rel=0.01)
+    rows = corpus_pipeline.mixed_sources(spark, docs.union(odd), "").collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter({i: r["copies"] for i, r in after.items() if r["copies"]})
+    assert sum(before[i]["n_tokens"] for i in {r["doc_id"] for r in rows} - {10**6}) > 0.9 * sum(
+        r["n_tokens"] for r in before.values()
+    )
+    # and the stage has the mix: languages within two standard errors or so of their weighted shares
+    kept, goal = Counter(), Counter()
+    for r in after.values():
+        kept[r["lang"]] += r["n_tokens"] * r["copies"]
+        goal[r["lang"]] += r["n_tokens"] * r["weight"]
+    for v in goal:
+        assert kept[v] / sum(kept.values()) == pytest.approx(goal[v] / sum(goal.values()), abs=0.01)
+
+
+def test_mixing_size(docs_of):
+    """Probability times multiplicity is the rate of the stated size, so weighted tokens have that size and the mix."""
+    text = "one two three four five"
+    rows = [(i, text, "en" if i < 90 else "fr", "s") for i in range(100)]
+    targets = {"source": {"s": 1}, "lang": {"en": 0.5, "fr": 0.5}}
+    got = {r["lang"]: r for r in mixing.mixing(docs_of(rows), targets=targets, size=0.6).collect()}
+    assert (got["en"]["probability"], got["en"]["multiplicity"]) == (pytest.approx(1 / 3), 1)
+    assert (got["fr"]["probability"], got["fr"]["multiplicity"]) == (1, pytest.approx(3))
+    assert got["fr"]["copies"] in (2, 3, 4)
+    whole = mixing.mixing(docs_of(rows), temper=1.0).collect()
+    assert {(r["probability"], r["selected"], r["copies"]) for r in whole} == {(1, True, 1)}
+
+
 def test_mixing_odd_rows(docs_of, odd):
     rows = mixing.mixing(docs_of(odd)).collect()
     assert len(rows) == len(odd) and all(0 <= r["probability"] <= 1 for r in rows)
