@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -171,3 +173,56 @@ def test_license_blocks_and_changes(docs_of, odd):
     assert found[100]["license"] == "MIT text" and found[100]["first_line"] == 1
     assert (found[101]["license"], found[101]["changes"]) == ("ISC text", ["-any", "+some"])
     assert license_scan.license_scan(docs_of([])).collect() == []
+
+
+def slow_licenses(scanner, text):
+    """(first line, last line, license) by brute force: every stretch of words against every template."""
+    lines = [license_scan.words_of(x) for x in text.split("\n")]
+    at = [k for k, line in enumerate(lines) for _ in line]
+    words, found = [w for line in lines for w in line], []
+    for name, template in scanner.words.items():
+        most = int(0.2 * len(template))
+        for a in range(len(words)):
+            for b in range(a + len(template) - most, min(len(words), a + len(template) + most) + 1):
+                # inside a line a changed first or last word is one missing and one added
+                low = a + (words[a] != template[0] and a > 0 and at[a - 1] == at[a])
+                high = b - (words[b - 1] != template[-1] and b < len(words) and at[b - 1] == at[b])
+                common = Counter(template) & Counter(words[low:high])
+                n = low - a + b - high
+                if len(template) + high - low - 2 * common.total() + n <= most:
+                    n += len(scanner.differences(name, words[low:high]))
+                    if n <= most:
+                        found.append((n - len(template), n, b - a, name, a, b))
+    chosen = []
+    for *_, name, a, b in sorted(found):
+        if all(b <= c or a >= d for c, d, _ in chosen):
+            chosen.append((a, b, name))
+    return [(at[a], at[b - 1], name) for a, b, name in sorted(chosen)]
+
+
+def test_license_layouts_equal_all_stretches():
+    """Paragraphs split by blank lines, stacked notices, notices inside prose, a changed first word."""
+    t = license_scan.TEMPLATES
+    cut = lambda name, *marks: reduce(lambda x, m: x.replace(m, f"\n\n{m}"), marks, t[name])
+    apache = cut("Apache-2.0 notice", "http://", "Unless")
+    gpl = cut("GPL-3.0 notice", "This program is distributed", "See the GNU")
+    mit = cut("MIT text", "The above", "THE SOFTWARE IS")
+    wrapped = "\n".join(t["ISC text"][i : i + 60] for i in range(0, len(t["ISC text"]), 60))
+    cases = {
+        f"Copyright 2020 A\n\n{mit}\n\nEnd.": [(2, 6, "MIT text")],
+        apache: [(0, 4, "Apache-2.0 notice")],
+        f"Some prose.\n{gpl}": [(1, 5, "GPL-3.0 notice")],
+        f"{wrapped}\n{t['MIT']}": [(0, wrapped.count("\n"), "ISC text"), (wrapped.count("\n") + 1,) * 2 + ("MIT",)],
+        f"{t['CC-BY-4.0']}\n{t['MIT']}": [(0, 0, "CC-BY-4.0"), (1, 1, "MIT")],
+        f"We wrote all of this long ago. {t['GPL-3.0']} You are welcome to read on and on.": [(0, 0, "GPL-3.0")],
+        f"{t['MIT']} and {t['CC-BY-SA-4.0']} are both named here.": [(0, 0, "MIT"), (0, 0, "CC-BY-SA-4.0")],
+        "Published under the MIT License.": [],
+        "Licensed under CC BY 3.0 since then.": [],
+        f"Permissions are granted{t['ISC text'][10:]}": [(0, 0, "ISC text")],
+        "Nothing of the kind is said in this text.": [],
+    }
+    scanner = license_scan.Scanner(t)
+    for text, want in cases.items():
+        got = [r[:3] for r in scanner.scan(text)]
+        assert got == want == slow_licenses(scanner, text)
+    assert scanner.scan(mit)[0][4] == [] and scanner.scan(apache)[0][4] == []
