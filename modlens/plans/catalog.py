@@ -320,22 +320,22 @@ def _token_docs(spark, d):
 
 def word2vec_docs(spark, d):
     docs = _token_docs(spark, d)
-    return embed.WordEmbedding.fit(docs, "tokens", embed.Word2VecParams(50, 5, 2)).transform(docs, "tokens")
+    return embed.WordEmbedding.fit(docs, "tokens", embed.Word2VecParams()).transform(docs, "tokens")
 
 
 def als_doc_embeddings(spark, d):
     docs = _token_docs(spark, d)
-    return embed.FactorEmbedding.fit(docs, "tokens", embed.FactorParams(16, 2, 3)).transform(docs, "tokens")
+    return embed.FactorEmbedding.fit(docs, "tokens", embed.FactorParams()).transform(docs, "tokens")
 
 
 def subword_embeddings(spark, d):
     docs = _token_docs(spark, d)
-    return embed.SubwordEmbedding.fit(docs, "tokens", embed.SubwordParams(16, 5, 2, 3, 4)).transform(docs, "tokens")
+    return embed.SubwordEmbedding.fit(docs, "tokens", embed.SubwordParams()).transform(docs, "tokens")
 
 
 def _topics(spark, d):
     docs = clean_table(spark, d)
-    return docs, TopicModel.fit(docs, "clean", TopicParams(5, 500, 5))
+    return docs, TopicModel.fit(docs, "clean", TopicParams())
 
 
 def lda_topics(spark, d):
@@ -364,11 +364,9 @@ def combined_scalar_features(spark, d):
 
 
 def fitted_features(spark, d):
-    """Every cheap family fitted on the training part and applied to the validation part."""
+    """Every family fitted on the training part and applied to the validation part."""
     parts = split.train_validation(documents(spark, d))
-    config = combine.FeatureConfig(tfidf=vectorize.TfidfParams(200, 3, 0.9, (1, 1)), topic=TopicParams(5, 200, 3))
-    include = ["tfidf", "lexical", "pos", "readability", "sentiment", "topic"]
-    model = combine.FeatureExtractor(config).fit(parts.filter("part = 'train'"), include=include)
+    model = combine.FeatureExtractor(combine.FeatureConfig()).fit(parts.filter("part = 'train'"))
     return model.transform(parts.filter("part = 'validation'")).select("doc_id", vector_to_array("features").alias("features"))
 
 
@@ -492,7 +490,7 @@ def pca_project(spark, d):
 
 def pca_component_search(spark, d):
     rows = split.add_folds(binary_vectors(spark, d), ["y"], id_col="id")
-    return reduction.find_components(rows, max_k=6).scores
+    return reduction.find_components(rows).scores
 
 
 def resampling_contest(spark, d):
@@ -523,17 +521,16 @@ def logreg_multilabel(spark, d):
 
 def halving_search(spark, d):
     rows = feature_rows(spark, d)
-    space = {**search.DEBUG_SPACES["random_forest"], "n_estimators": [5, 10], "max_depth": [3, 5]}
-    return search.halving_search(rows, "random_forest", space, folds=3).trace
+    return search.halving_search(rows, "random_forest", search.DEBUG_SPACES["random_forest"]).trace
 
 
 def stacking(spark, d):
     rows = feature_rows(spark, d)
     members = {
-        "logistic": partial(models.logistic, max_iter=50),
-        "random_forest": partial(models.random_forest, n_estimators=10, max_depth=5),
+        "logistic": models.logistic,
+        "random_forest": models.random_forest,
     }
-    return ensemble.stack(rows, members, folds=3).score(rows)
+    return ensemble.stack(rows, members).score(rows)
 
 
 def forest_importances(spark, d):
@@ -728,13 +725,13 @@ QUERIES["undersample_2_1"] = partial(_undersample, 0.5)
 QUERIES |= {
     name: partial(_fit_and_score, trainer, name)
     for name, trainer in {
-        "linear_svm_platt": partial(models.linear_svm, max_iter=30),
-        "rff_svm": partial(models.kernel_svm, dimension=64, max_iter=20),
-        "random_forest": partial(models.random_forest, n_estimators=20, max_depth=6, class_weight="balanced"),
-        "gbt": partial(models.gradient_boosting, n_estimators=10),
-        "xgb_style": partial(models.xgb_style, n_estimators=10, max_depth=3),
-        "lgbm_style": partial(models.lgbm_style, n_estimators=10, max_depth=3, min_child_samples=5),
-        "extra_trees": partial(models.extra_trees, n_estimators=20, max_depth=6),
-        "adaboost": partial(models.adaboost, n_estimators=5),
+        "linear_svm_platt": models.linear_svm,
+        "rff_svm": models.kernel_svm,
+        "random_forest": partial(models.random_forest, class_weight="balanced"),
+        "gbt": models.gradient_boosting,
+        "xgb_style": models.xgb_style,
+        "lgbm_style": models.lgbm_style,
+        "extra_trees": models.extra_trees,
+        "adaboost": models.adaboost,
     }.items()
 }

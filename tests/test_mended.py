@@ -94,3 +94,23 @@ def test_release_deletes_scratch_tables(spark, make):
     folder = df.inputFiles()[0].rpartition("/")[0]
     tables.release(spark, df)
     assert not tables.path_exists(spark, folder)
+
+
+def test_registered_queries_use_the_reference_parameters(monkeypatch):
+    """Nothing is fitted: the calls are caught. Dimensions, epochs, topics and terms as in the reference."""
+    from modlens.operators import embed, topics
+    from modlens.plans import catalog
+
+    seen = {}
+    monkeypatch.setattr(catalog, "_token_docs", lambda spark, d: None)
+    monkeypatch.setattr(catalog, "clean_table", lambda spark, d: None)
+    for kind in (embed.WordEmbedding, embed.FactorEmbedding, embed.SubwordEmbedding, topics.TopicModel):
+        model = type("Model", (), {"transform": lambda *a: None})()
+        monkeypatch.setattr(kind, "fit", lambda docs, col, params, kind=kind, model=model: seen.update({kind: params}) or model)
+    for name in ("word2vec_docs", "als_doc_embeddings", "subword_embeddings", "lda_topics"):
+        catalog.QUERIES[name](None, "")
+    word, factor, subword, topic = seen.values()
+    assert (word.vector_size, word.window, word.min_count) == (100, 5, 1)
+    assert (factor.vector_size, factor.min_count, factor.epochs) == (100, 2, 40)
+    assert (subword.vector_size, subword.min_gram, subword.max_gram) == (100, 3, 6)
+    assert (topic.n_topics, topic.max_features, topic.max_iter) == (10, 5000, 10)
