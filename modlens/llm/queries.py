@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
-from .common import read, remainder
+from .common import read, remainder, written
+from .id_files import read_ids, write_ids
 from .jaccard_join import jaccard_join
 from .language_id import language_id
 from .license_scan import license_scan
@@ -75,6 +76,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), TOKENIZER, 1024)
 
 
+def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_ids(written(write_ids(read(spark, sf_dir, "documents"), TOKENIZER, end_id=2), "ids"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_quality": op2_quality,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
+    "op11_token_ids": op11_token_ids,
 }
 
 ORACLE: dict[str, str] = {"op5_quality_rules": quality_rules_sql()}
