@@ -41,4 +41,6 @@ def components(links: DataFrame) -> DataFrame:
         labels = new
         if not new.where("component <> old").limit(1).count():
             drop(links.sparkSession, both)
-            return new
+            found = new.select("id", "component")
+            found.scratch_path = new.scratch_path
+            return found
