@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .common import read, remainder, written
+from .divergence import divergence, divergence_sql
+from .hard_negatives import HARD_NEGATIVES_SQL, hard_negatives
 from .id_files import read_ids, write_ids
 from .jaccard_join import jaccard_join
 from .language_id import language_id
@@ -80,6 +82,16 @@ def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(written(write_ids(read(spark, sf_dir, "documents"), TOKENIZER, end_id=2), "ids"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(read(spark, sf_dir, "documents"), min_docs=3, top=200)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_quality": op2_quality,
@@ -92,6 +104,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
     "op11_token_ids": op11_token_ids,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_divergence": op13_divergence,
 }
 
-ORACLE: dict[str, str] = {"op5_quality_rules": quality_rules_sql()}
+ORACLE: dict[str, str] = {
+    "op5_quality_rules": quality_rules_sql(),
+    "op12_hard_negatives": HARD_NEGATIVES_SQL,
+    "op13_divergence": divergence_sql(),
+}
