@@ -1,7 +1,7 @@
-"""Porter stems (M. F. Porter, 1980), computed once per distinct word.
+"""Porter stems (M. F. Porter, 1980).
 
-The stemmer is a small word helper.  Spark reduces the corpus to its vocabulary, stems that in Arrow
-batches, and joins the stems back.
+The stemmer is a small word helper that runs on Arrow batches: tokens are stemmed inside their rows, and a worker
+remembers the stems of words it has met, so a frequent word costs nothing and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Suffix tables of the published algorithm.
@@ -108,16 +108,30 @@ def stem_table(words: DataFrame, word_col: str = "word") -> DataFrame:
     return vocabulary.select("word", stem("word").alias("stem"))
 
 
+_STEMS: dict[str, str] = {}
+REMEMBERED = 500_000
+
+
+def _stem(word: str) -> str:
+    found = _STEMS.get(word)
+    if found is None:
+        if len(_STEMS) >= REMEMBERED:
+            _STEMS.clear()
+        found = _STEMS[word] = porter_stem(word)
+    return found
+
+
+def stemmed(tokens: Column) -> Column:
+    """Each token's stem, in the same order."""
+
+    @F.pandas_udf("array<string>")
+    def stems(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda ts: None if ts is None else [_stem(t) for t in ts])
+
+    return stems(tokens)
+
+
 def stem_tokens(df: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
-    """Replace each token by its stem, keeping the order; one row per document with tokens."""
-    words = df.select(id_col, F.posexplode(tokens_col).alias("pos", "word"))
-    stems = stem_table(words)
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "stem")))
-    rebuilt = (
-        words.join(stems, "word")
-        .groupBy(id_col)
-        .agg(F.transform(ordered, lambda s: s["stem"]).alias("stems"))
-    )
-    return df.select(id_col).join(rebuilt, id_col, "left").withColumn(
-        "stems", F.coalesce("stems", F.array().cast("array<string>"))
-    )
+    """``(id, stems)``; a document without tokens has an empty array."""
+    none = F.array().cast("array<string>")
+    return df.select(id_col, F.coalesce(stemmed(F.col(tokens_col)), none).alias("stems"))

@@ -1,4 +1,4 @@
-"""Text cleaning and tokenising as native column expressions (no Python per row)."""
+"""Text cleaning and tokenising as native column expressions (Arrow batches where a rule has no expression)."""
 
 from __future__ import annotations
 
@@ -7,13 +7,17 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modlens.functions import patterns as P
 from modlens.functions import wordlists as W
+from modlens.functions.lookup import map_words
+from modlens.functions.stemming import stemmed
+from modlens.sources.tables import materialise
 
-# A word list up to this size is compiled into the plan as a hash set; a longer one is joined.
+# A word list up to this size is compiled into the plan as a hash set; a longer one goes to the tasks or is joined.
 LITERAL_WORDS = 20_000
 
 
@@ -124,19 +128,35 @@ def noun_rule(nouns: Sequence[str]) -> str:
     return f"w -> CASE WHEN {may_change} THEN coalesce({', '.join(rules)}, w) ELSE w END"
 
 
+def noun_lemma(word: str, nouns: frozenset[str]) -> str:
+    """The rule of ``noun_rule`` for one word."""
+    candidates = (
+        word[:-2] if word.endswith(("ses", "xes", "zes", "ches", "shes")) else None,
+        word[:-3] + "f" if word.endswith("ves") else None,
+        word[:-3] + "y" if word.endswith("ies") else None,
+        word[:-1] if word.endswith("s") else None,
+        word[:-3] + "man" if word.endswith("men") else None,
+    )
+    found = next((c for c in candidates if c is not None and c in nouns), None)
+    return found if found is not None else W.NOUN_EXCEPTIONS.get(word, word)
+
+
 def lemmatise(tokens: Column, nouns: Sequence[str] = tuple(W.NOUNS)) -> Column:
-    if len(nouns) > LITERAL_WORDS:
-        raise ValueError("noun table too long for a literal; use lemmatise_with_table")
-    return apply_lambda("transform", tokens, noun_rule(nouns))
+    """Noun lemmas inside the row. A list beyond ``LITERAL_WORDS`` goes to the tasks as a set; for a table that the
+    driver should not hold, use ``lemmatise_with_table``."""
+    if len(nouns) <= LITERAL_WORDS:
+        return apply_lambda("transform", tokens, noun_rule(nouns))
+    known = frozenset(nouns)
+
+    @F.pandas_udf("array<string>")
+    def lemmas(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda ts: None if ts is None else [noun_lemma(t, known) for t in ts])
 
+    return lemmas(tokens)
 
-def lemmatise_with_table(df: DataFrame, id_col: str, tokens_col: str, nouns: DataFrame) -> DataFrame:
-    """Same rule with a noun table of any size, joined on the distinct vocabulary.
 
-    The corpus vocabulary is reduced first, so the noun join touches one row per distinct word and
-    the way back is an equi-join that Spark may broadcast or shuffle.
-    """
-    words = df.select(id_col, F.posexplode(tokens_col).alias("pos", "word"))
+def noun_lemmas_of(vocabulary: DataFrame, nouns: DataFrame) -> DataFrame:
+    """``(word, value)``: lemmas of the distinct words that a noun table of any size changes."""
     w, n = F.col("word"), F.length("word")
     cuts = F.array(
         F.when(w.rlike("(s|x|z|ch|sh)es$"), F.substring(w, F.lit(1), n - 2)),
@@ -145,23 +165,29 @@ def lemmatise_with_table(df: DataFrame, id_col: str, tokens_col: str, nouns: Dat
         F.when(w.endswith("s"), F.substring(w, F.lit(1), n - 1)),
         F.when(w.endswith("men"), F.concat(F.substring(w, F.lit(1), n - 3), F.lit("man"))),
     )
-    irregular = F.coalesce(*[F.when(w == k, F.lit(v)) for k, v in W.NOUN_EXCEPTIONS.items()])
-    vocabulary = words.filter(w.rlike("(s|men)$")).select("word").distinct()
-    lemmas = (
-        vocabulary.select("word", F.posexplode(cuts).alias("rule", "noun"))
+    return (
+        vocabulary.filter(w.rlike("(s|men)$"))
+        .select("word", F.posexplode(cuts).alias("rule", "noun"))
         .filter(F.col("noun").isNotNull())
         .join(nouns.select(F.col(nouns.columns[0]).alias("noun")).distinct(), "noun")
         .groupBy("word")
-        .agg(F.min_by("noun", "rule").alias("lemma"))
-    )
-    back = words.join(lemmas, "word", "left").withColumn("lemma", F.coalesce("lemma", irregular, "word"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "lemma")))
-    rebuilt = back.groupBy(id_col).agg(F.transform(ordered, lambda s: s["lemma"]).alias("lemmas"))
-    return df.join(rebuilt, id_col, "left").withColumn(
-        "lemmas", F.coalesce("lemmas", F.array().cast("array<string>"))
+        .agg(F.min_by("noun", "rule").alias("value"))
     )
 
 
+def lemmatise_with_table(df: DataFrame, id_col: str, tokens_col: str, nouns: DataFrame, output_col: str = "lemmas") -> DataFrame:
+    """Same rule with a noun table of any size: it meets the distinct words of the corpus, and the lemmas are put back
+    inside the rows."""
+    df = materialise(df, "tokens")
+    vocabulary = df.select(F.explode(F.array_distinct(tokens_col)).alias("word")).distinct()
+    lemmas = materialise(noun_lemmas_of(vocabulary, nouns), "lemmas")
+    irregular = "w -> CASE w " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in W.NOUN_EXCEPTIONS.items()) + " ELSE w END"
+    found = map_words(df, id_col, tokens_col, lemmas, "_found")
+    found = found.withColumn("_other", apply_lambda("transform", F.col(tokens_col), irregular))
+    value = F.zip_with("_found", "_other", lambda f, o: F.coalesce(f, o))
+    return found.withColumn(output_col, F.coalesce(value, F.array().cast("array<string>"))).drop("_found", "_other")
+
+
 @dataclass(frozen=True)
 class CleanOptions:
     """Switches of the cleaning step, in the order in which they act."""
@@ -172,11 +198,14 @@ class CleanOptions:
     remove_punctuation: bool = True
     remove_stopwords: bool = True
     lemmatization: bool = True
+    stemming: bool = False
     stop_words: tuple[str, ...] = field(default=tuple(W.STOP_WORDS), repr=False)
     nouns: tuple[str, ...] = field(default=tuple(W.NOUNS), repr=False)
+    noun_table: str | None = None  # path of a table of nouns, instead of ``nouns``; see ``clean_columns``
 
 
-def preprocess_tokens(col: Column, options: CleanOptions = CleanOptions()) -> Column:
+def _split(col: Column, options: CleanOptions) -> Column:
+    """Tokens before lemmas and stems."""
     col = fill_text(col)
     if options.lowercase:
         col = F.lower(col)
@@ -185,17 +214,32 @@ def preprocess_tokens(col: Column, options: CleanOptions = CleanOptions()) -> Co
     if options.remove_mentions:
         col = strip_mentions(col)
     tokens = clean_tokens(strip_punctuation(col)) if options.remove_punctuation else treebank_tokens(col)
-    if options.remove_stopwords:
-        tokens = drop_stopwords(tokens, options.stop_words)
+    return drop_stopwords(tokens, options.stop_words) if options.remove_stopwords else tokens
+
+
+def preprocess_tokens(col: Column, options: CleanOptions = CleanOptions()) -> Column:
+    if options.lemmatization and options.noun_table:
+        raise ValueError("a table of nouns needs a DataFrame; use clean_columns")
+    tokens = _split(col, options)
     if options.lemmatization:
         tokens = lemmatise(tokens, options.nouns)
-    return tokens
+    return stemmed(tokens) if options.stemming else tokens
 
 
 def preprocess(col: Column, options: CleanOptions = CleanOptions()) -> Column:
     return F.array_join(preprocess_tokens(col, options), " ")
 
 
+def clean_columns(df: DataFrame, input_col: str, output_col: str, id_col: str, options: CleanOptions = CleanOptions()) -> DataFrame:
+    """``df`` with its cleaned text, also with the nouns in a table (``options.noun_table``)."""
+    if not (options.lemmatization and options.noun_table):
+        return df.withColumn(output_col, preprocess(F.col(input_col), options))
+    nouns = df.sparkSession.read.parquet(options.noun_table)
+    rows = lemmatise_with_table(df.withColumn("_tokens", _split(F.col(input_col), options)), id_col, "_tokens", nouns, "_lemmas")
+    tokens = stemmed(F.col("_lemmas")) if options.stemming else F.col("_lemmas")
+    return rows.withColumn(output_col, F.array_join(tokens, " ")).drop("_tokens", "_lemmas")
+
+
 def preview(col: Column, width: int = 100) -> Column:
     """First ``width`` characters, with dots where something was cut off."""
     return F.when(F.length(col) > width, F.concat(F.left(col, F.lit(width)), F.lit("..."))).otherwise(col)

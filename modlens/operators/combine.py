@@ -6,35 +6,49 @@ projection, so the text is read once; the others are joined by id.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from modlens.functions import scores as S
-from modlens.functions.text import CleanOptions, preprocess
+from modlens.functions.text import CleanOptions, clean_columns
 from modlens.operators import embed as E
-from modlens.operators.pos import POS, pos_features
-from modlens.operators.sentiment import SENTIMENT, sentiment_features
+from modlens.operators.family_stages import (
+    CLEAN,
+    RAW,
+    SCALARS,
+    CleanText,
+    EmbeddingStage,
+    FamilyStage,
+    ScalarStage,
+    TfidfStage,
+    TopicStage,
+    split_tokens,
+)
 from modlens.operators.topics import TopicModel, TopicParams
 from modlens.operators.vectorize import TfidfModel, TfidfParams
 from modlens.sources.tables import local_table, materialise
 
-RAW, CLEAN = "_raw", "_clean"
-
 
 @dataclass
 class Fitted:
-    """A family ready to be applied: ``apply(df, id_col, keep)`` adds ``columns``."""
+    """A family ready to be applied: ``apply(df, id_col, keep)`` adds ``columns``. With a ``stage`` it can be saved."""
 
     columns: list[str]
     size: int
     apply: Callable[[DataFrame, str, Sequence[str]], DataFrame]
     row_local: bool = False
     input_col: str = CLEAN
+    stage: FamilyStage | None = None
+
+    @classmethod
+    def of(cls, stage: FamilyStage) -> Fitted:
+        return cls(stage.columns, stage.size, stage.apply, stage.row_local, stage.input_col, stage)
 
 
 @dataclass
@@ -64,32 +78,15 @@ class FeatureConfig:
 SCALAR_FAMILIES = ("lexical", "pos", "readability", "sentiment")
 
 
-def _scalar(columns, function, input_col, row_local) -> Family:
-    def fit(df: DataFrame, id_col: str) -> Fitted:
-        def apply(new, id_col, keep):
-            if row_local:
-                return function(new, input_col, id_col, keep)
-            return function(new, input_col, id_col)
-
-        return Fitted(list(columns), len(columns), apply, row_local, input_col)
-
-    return Family(fit, input_col)
-
-
-def _split_tokens(df: DataFrame, id_col: str) -> DataFrame:
-    return df.select(id_col, F.filter(F.split(CLEAN, " "), lambda t: t != "").alias("tokens"))
+def _scalar(name: str, input_col: str) -> Family:
+    return Family(lambda df, id_col: Fitted.of(ScalarStage(name, input_col, id_col)), input_col)
 
 
 def _embedding(cls, params, name) -> Family:
     def fit(df: DataFrame, id_col: str) -> Fitted:
-        tokens = _split_tokens(df, id_col)
+        tokens = split_tokens(df, CLEAN, id_col)
         model = cls.fit(tokens, "tokens", params) if cls is not E.FactorEmbedding else cls.fit(tokens, "tokens", params, id_col)
-
-        def apply(new, id_col, keep):
-            out = model.transform(_split_tokens(new, id_col), "tokens", id_col)
-            return out.select(id_col, array_to_vector("embedding").alias(name))
-
-        return Fitted([name], params.vector_size, apply)
+        return Fitted.of(EmbeddingStage.fitted(name, model, params, id_col))
 
     return Family(fit)
 
@@ -98,27 +95,21 @@ def default_families(config: FeatureConfig) -> dict[str, Family]:
     """All families in the order of the combined columns."""
 
     def tfidf(df: DataFrame, id_col: str) -> Fitted:
-        model = TfidfModel.fit(df, CLEAN, config.tfidf, id_col)
-        return Fitted(["tfidf"], model.size, lambda new, i, keep: model.transform(new, CLEAN, "tfidf", i, keep), True)
+        return Fitted.of(TfidfStage.of("tfidf", TfidfModel.fit(df, CLEAN, config.tfidf, id_col), id_col))
 
     def topic(df: DataFrame, id_col: str) -> Fitted:
         model = TopicModel.fit(df, CLEAN, config.topic, id_col)
-
-        def apply(new, i, keep):
-            out = model.transform(new, CLEAN, i, keep)
-            return out.select(i, *keep, array_to_vector("topics").alias("topic"))
-
-        return Fitted(["topic"], config.topic.n_topics, apply, True)
+        return Fitted.of(TopicStage.of("topic", model, id_col, json.dumps(asdict(config.topic))))
 
     return {
         "tfidf": Family(tfidf),
         "word2vec": _embedding(E.WordEmbedding, config.word2vec, "word2vec"),
         "doc2vec": _embedding(E.FactorEmbedding, config.doc2vec, "doc2vec"),
         "fasttext": _embedding(E.SubwordEmbedding, config.fasttext, "fasttext"),
-        "lexical": _scalar(S.LEXICAL, S.lexical_features, config.lexical_input, True),
-        "pos": _scalar([f"pos_{c}" for c in POS], pos_features, config.pos_input, False),
-        "readability": _scalar(S.READABILITY, S.readability_features, RAW, True),
-        "sentiment": _scalar(SENTIMENT, sentiment_features, RAW, False),
+        "lexical": _scalar("lexical", config.lexical_input),
+        "pos": _scalar("pos", config.pos_input),
+        "readability": _scalar("readability", RAW),
+        "sentiment": _scalar("sentiment", RAW),
         "topic": Family(topic),
     }
 
@@ -168,6 +159,37 @@ class FeatureModel:
         assembler = VectorAssembler(inputCols=inputs, outputCol=output_col)
         return assembler.transform(self.columns(df, text_col, id_col)).select(id_col, output_col)
 
+    def pipeline(self, text_col: str = "text", id_col: str = "doc_id", output_col: str = "features") -> PipelineModel:
+        """The same as a pipeline of stages, to be saved alone or with a classifier behind it."""
+        unsaved = [name for name, f in self.families.items() if f.stage is None]
+        if unsaved:
+            raise ValueError(f"families without a stage cannot be part of a pipeline: {unsaved}")
+        stages = [f.stage for f in self.families.values()]
+        # Row-local families first: they are one projection, which the joins of the others then read.
+        ordered = sorted(stages, key=lambda s: not s.row_local)
+        branches = sum(not s.row_local for s in stages)
+        options = json.dumps(asdict(self.config.clean))
+        inputs = [c for s in stages for c in s.columns]
+        return PipelineModel([
+            CleanText(text_col, id_col, options, store=branches > 0), *ordered,
+            VectorAssembler(inputCols=inputs, outputCol=output_col),
+        ])
+
+    def save(self, path: str, text_col: str = "text", id_col: str = "doc_id") -> None:
+        """Configuration, order of the families and their fitted state; ``load`` gives the same model back."""
+        spark = SparkSession.getActiveSession()
+        self.pipeline(text_col, id_col).write().overwrite().save(f"{path}/pipeline")
+        head = {"config": [config_json(self.config)], "families": [json.dumps(list(self.families))], "skipped": [json.dumps(self.skipped)]}
+        local_table(spark, head).write.mode("overwrite").parquet(f"{path}/head")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FeatureModel:
+        head = spark.read.parquet(f"{path}/head").first()
+        stages = PipelineModel.load(f"{path}/pipeline").stages
+        found = {s.family: Fitted.of(s) for s in stages if isinstance(s, FamilyStage)}
+        order = json.loads(head["families"])
+        return cls(config_of_json(head["config"]), {name: found[name] for name in order}, json.loads(head["skipped"]))
+
     def layout(self, spark: SparkSession) -> DataFrame:
         return layout(spark, [(name, f.size) for name, f in self.families.items()])
 
@@ -186,8 +208,28 @@ class FeatureModel:
         return table.withColumn("rows", F.lit(n)).withColumn("sample", sample)
 
 
+def config_json(config: FeatureConfig) -> str:
+    return json.dumps(asdict(config))
+
+
+def config_of_json(text: str) -> FeatureConfig:
+    kinds = {
+        "tfidf": TfidfParams, "word2vec": E.Word2VecParams, "doc2vec": E.FactorParams, "fasttext": E.SubwordParams,
+        "topic": TopicParams, "clean": CleanOptions,
+    }
+    whole = lambda v: tuple(v) if isinstance(v, list) else v
+    values = json.loads(text)
+    nested = {k: kind(**{n: whole(v) for n, v in values.pop(k).items()}) for k, kind in kinds.items()}
+    return FeatureConfig(**nested, **{k: whole(v) for k, v in values.items()})
+
+
+def scoring_pipeline(features: FeatureModel, classifier: PipelineModel, text_col: str = "text", id_col: str = "doc_id") -> PipelineModel:
+    """Cleaning, families and classifier in one pipeline: text in, score out."""
+    return PipelineModel([*features.pipeline(text_col, id_col).stages, *classifier.stages])
+
+
 def with_clean(df: DataFrame, text_col: str, id_col: str, options: CleanOptions = CleanOptions()) -> DataFrame:
-    return df.select(id_col, F.col(text_col).alias(RAW), preprocess(F.col(text_col), options).alias(CLEAN))
+    return clean_columns(df.select(id_col, F.col(text_col).alias(RAW)), RAW, CLEAN, id_col, options)
 
 
 class FeatureExtractor:
@@ -231,7 +273,4 @@ def scalar_features(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
 
 def scalar_columns(families: Sequence[str] = SCALAR_FAMILIES) -> list[str]:
-    names = {
-        "lexical": S.LEXICAL, "pos": [f"pos_{c}" for c in POS], "readability": S.READABILITY, "sentiment": SENTIMENT,
-    }
-    return [c for f in families for c in names[f]]
+    return [c for f in families for c in SCALARS[f][0]]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Word2Vec
@@ -11,6 +12,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from modlens.functions.lookup import split_join
 from modlens.operators.vectorize import TfidfParams, bag_of_words, vocabulary
 from modlens.sources.tables import materialise, numbered, scratch_folder
 
@@ -61,14 +63,13 @@ def mean_pool(df: DataFrame, tokens_col: str, vectors: DataFrame, size: int, id_
               weight_col: str | None = None) -> DataFrame:
     """``(id, embedding)``: mean vector of the known tokens of a document, zeros if there is none.
 
-    Repeats of a word are merged first, so the join carries one row per document and distinct word and
-    the mean is combined before the shuffle.
+    Repeats of a word are merged inside the document. The vectors of the most frequent words are broadcast, the
+    rest meets its words by a shuffle, and the mean is combined before the shuffle by document.
     """
-    counts = df.select(id_col, F.explode(tokens_col).alias("word")).groupBy(id_col, "word").agg(
-        F.count("*").cast("double").alias("n")
-    )
+    terms = df.select(id_col, F.col(tokens_col).alias("terms"))
+    counts = bag_of_words(terms, id_col).select(id_col, F.col("term").alias("word"), F.col("tf").cast("double").alias("n"))
     weight = F.col("n") * F.col(weight_col) if weight_col else F.col("n")
-    joined = counts.join(vectors, "word").withColumn("w", weight)
+    joined = split_join(counts, vectors, "word").withColumn("w", weight)
     pooled = joined.groupBy(id_col).agg(vector_to_array(Summarizer.mean(F.col("vector"), F.col("w"))).alias("m"))
     zeros = F.array_repeat(F.lit(0.0), size)
     return df.select(id_col).join(pooled, id_col, "left").select(id_col, F.coalesce("m", zeros).alias("embedding"))
@@ -88,6 +89,13 @@ class WordEmbedding:
     def transform(self, df: DataFrame, tokens_col: str, id_col: str = "doc_id") -> DataFrame:
         return mean_pool(df, tokens_col, self.vectors, self.size, id_col)
 
+    def tables(self) -> dict[str, DataFrame]:
+        return {"vectors": self.vectors}
+
+    @classmethod
+    def of_tables(cls, read: Callable[[str], DataFrame], params: Word2VecParams) -> WordEmbedding:
+        return cls(read("vectors"), params.vector_size)
+
 
 @dataclass
 class FactorEmbedding:
@@ -131,6 +139,13 @@ class FactorEmbedding:
     def transform(self, df: DataFrame, tokens_col: str, id_col: str = "doc_id") -> DataFrame:
         return mean_pool(df, tokens_col, self.terms, self.size, id_col, "idf")
 
+    def tables(self) -> dict[str, DataFrame]:
+        return {"terms": self.terms}
+
+    @classmethod
+    def of_tables(cls, read: Callable[[str], DataFrame], params: FactorParams) -> FactorEmbedding:
+        return cls(read("terms"), params.vector_size)
+
 
 def char_grams(word: Column, low: int, high: int) -> Column:
     """Character n-grams of ``<word>``."""
@@ -174,3 +189,10 @@ class SubwordEmbedding:
     def transform(self, df: DataFrame, tokens_col: str, id_col: str = "doc_id") -> DataFrame:
         words = df.select(F.explode(tokens_col).alias("word")).distinct()
         return mean_pool(df, tokens_col, self.vectors_for(words), self.params.vector_size, id_col)
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {"words": self.words, "grams": self.grams}
+
+    @classmethod
+    def of_tables(cls, read: Callable[[str], DataFrame], params: SubwordParams) -> SubwordEmbedding:
+        return cls(read("words"), read("grams"), params)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modlens.operators.models import assemble, logistic, score
@@ -43,11 +44,53 @@ def weighted_vote(scores: DataFrame, weights: DataFrame, id_col: str = "doc_id")
     return _vote(weighted, F.coalesce("weight", F.lit(1.0)), "weighted_voting", id_col)
 
 
+@dataclass
+class Voting:
+    """Mean or weighted mean of the members' probabilities."""
+
+    members: dict[str, PipelineModel]
+    weights: dict[str, float] | None = None
+
+    def score(self, df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+        scores = member_scores(self.members, df, id_col)
+        if self.weights is None:
+            return soft_vote(scores, list(self.members), id_col)
+        return weighted_vote(scores, weight_table(df.sparkSession, self.weights), id_col)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        _save_head(spark, path, {"members": list(self.members), "weights": self.weights})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, models: Mapping[str, PipelineModel]) -> Voting:
+        head = _load_head(spark, path)
+        return cls({m: models[m] for m in head["members"]}, head["weights"])
+
+
+def _save_head(spark: SparkSession, path: str, head: dict) -> None:
+    local_table(spark, {"head": [json.dumps(head)]}).write.mode("overwrite").parquet(f"{path}/head")
+
+
+def _load_head(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.parquet(f"{path}/head").first()["head"])
+
+
 @dataclass
 class Stack:
     members: dict[str, PipelineModel]
     meta: PipelineModel
-    out_of_fold: DataFrame
+    out_of_fold: DataFrame | None = None
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Meta-learner and members: these were fitted again for the stack, so they are models of their own."""
+        _save_head(spark, path, {"members": list(self.members)})
+        self.meta.write().overwrite().save(f"{path}/meta")
+        for name, model in self.members.items():
+            model.write().overwrite().save(f"{path}/members/{name}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, models: Mapping[str, PipelineModel]) -> Stack:
+        names = _load_head(spark, path)["members"]
+        return cls({m: PipelineModel.load(f"{path}/members/{m}") for m in names}, PipelineModel.load(f"{path}/meta"))
 
     def score(self, df: DataFrame, id_col: str = "doc_id") -> DataFrame:
         wide = widen(member_scores(self.members, df, id_col), list(self.members), id_col)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from modlens.functions import wordlists as W
-from modlens.functions.text import fill_text, treebank_tokens
+from modlens.functions.lookup import aligned, map_words
+from modlens.functions.text import apply_lambda, fill_text, sql_list, treebank_tokens
 from modlens.sources.tables import local_table
 
 POS = list(W.TAG_CATEGORIES)
@@ -65,18 +66,28 @@ def learn_tags(tagged_tokens: DataFrame) -> DataFrame:
 
 
 def pos_features(
-    df: DataFrame, input_col: str = "text", id_col: str = "doc_id", tag_table: DataFrame | None = None
+    df: DataFrame, input_col: str = "text", id_col: str = "doc_id", keep: Sequence[str] = (),
+    tag_table: DataFrame | None = None,
 ) -> DataFrame:
-    """Share of nine categories among all tokens; zeros for documents without tokens."""
-    spark = df.sparkSession
-    tags = tag_table if tag_table is not None else starter_tags(spark)
-    rows = tagged(token_rows(df, input_col, id_col), tags.select("word", "tag")).join(
-        category_table(spark), "tag", "left"
-    )
-    counted = rows.groupBy(id_col).agg(
-        F.count("word").alias("n"),
-        *[F.count(F.when((F.col("category") == c) & F.col("word").isNotNull(), 1)).alias(c) for c in POS],
-    )
-    return counted.select(
-        id_col, *[F.coalesce(F.try_divide(F.col(c).cast("double"), F.col("n")), F.lit(0.0)).alias(f"pos_{c}") for c in POS]
-    )
+    """Share of nine categories among all tokens; zeros for documents without tokens.
+
+    Tags are looked up inside the rows, whatever the size of the tag table, so no token is shuffled but the rare
+    ones of a very long table.
+    """
+    tokens = F.transform(treebank_tokens(fill_text(F.col(input_col))), F.lower)
+    rows = df.select(id_col, *keep, tokens.alias("_tokens"))
+    if tag_table is None:
+        known = " ".join(f"WHEN w IN {sql_list(words)} THEN '{tag}'" for tag, words in W.TAGS.items())
+        rows = rows.withColumn("_tags", apply_lambda("transform", F.col("_tokens"), f"w -> CASE {known} END"))
+    else:
+        rows = map_words(rows, id_col, "_tokens", tag_table.select("word", F.col("tag").alias("value")), "_tags")
+    category = " ".join(f"WHEN t IN {sql_list(tags)} THEN '{c}'" for c, tags in W.TAG_CATEGORIES.items())
+    rows = rows.withColumn("_tags", aligned(F.col("_tokens"), F.col("_tags"), suffix_tag))
+    rows = rows.withColumn("_categories", apply_lambda("transform", F.col("_tags"), f"t -> CASE {category} END"))
+    n = F.size("_tokens")
+
+    def share(c: str) -> Column:
+        own = F.size(F.filter("_categories", lambda x: x == c)).cast("double")
+        return F.coalesce(F.try_divide(own, n), F.lit(0.0)).alias(f"pos_{c}")
+
+    return rows.select(id_col, *keep, *[share(c) for c in POS])

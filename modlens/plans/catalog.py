@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial, reduce
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -193,6 +194,12 @@ def noun_lemmas(spark, d):
     return words.select("word", F.get(T.lemmatise(F.array("word")), F.lit(0)).alias("lemma")).filter("word <> lemma")
 
 
+def stemmed_text(spark, d):
+    """Cleaning with stems instead of the words."""
+    options = T.CleanOptions(stemming=True)
+    return documents(spark, d).select("doc_id", T.preprocess(F.col("text"), options).alias("stemmed"))
+
+
 def preview_text(spark, d):
     return documents(spark, d).select(
         "doc_id", T.preview(F.col("text"), 50).alias("short"), T.preview(F.col("text"), 100).alias("long")
@@ -669,6 +676,51 @@ def _streamed(spark, d, model):
     return spark.read.schema("doc_id bigint, p double, flagged int").parquet(f"{output}/rows")
 
 
+def saved_pipeline_scores(spark, d):
+    """Families of each kind of state and a classifier fitted on the labelled documents, saved as one pipeline and
+    loaded again: documents, and how many the loaded one scores as the first did, in a batch and in a stream."""
+    train = labelled(spark, d)
+    families = ["tfidf", "word2vec", *combine.SCALAR_FAMILIES, "topic"]
+    model = combine.FeatureExtractor(combine.FeatureConfig()).fit(train, include=families)
+    rows = materialise(model.transform(train), "train", even=True)
+    rows = rows.join(labels(spark, d).select("doc_id", F.col("toxic").cast("double").alias("label")), "doc_id")
+    fitted = combine.scoring_pipeline(model, models.logistic(materialise(rows, "train", even=True)))
+    path = tables.scratch_path(spark, "pipeline")
+    fitted.write().overwrite().save(path)
+    loaded = PipelineModel.load(path)
+    stream = scoring.read_documents(spark, f"{d}/documents.parquet", table(spark, d, "documents").schema)
+    out = tables.scratch_path(spark, "pipeline-scores")
+    scoring.start_pipeline_scoring(stream.select("doc_id", "text"), loaded, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    streamed = spark.read.parquet(f"{out}/rows").select("doc_id", F.col("p").alias("streamed"))
+    batch = models.score(loaded, documents(spark, d)).withColumnRenamed("p", "batch")
+    both = models.score(fitted, documents(spark, d)).join(batch, "doc_id").join(streamed, "doc_id")
+    near = lambda c: F.count_if(F.abs(F.col("p") - F.col(c)) < 1e-6)
+    return both.agg(F.count("*").alias("documents"), near("batch").alias("batch_equal"), near("streamed").alias("stream_equal"))
+
+
+def registry_roundtrip(spark, d):
+    """Models, votes and a stack saved and loaded again: labelled documents, and how many get the same score."""
+    rows = feature_rows(spark, d)
+    trainers = {"logistic": models.logistic, "random_forest": models.random_forest}
+    stack = ensemble.stack(rows, trainers)
+    fitted = stack.members
+    ensembles = {"voting": ensemble.Voting(fitted), "weighted_voting": ensemble.Voting(fitted, {"logistic": 0.7, "random_forest": 0.4}), "stacking": stack}
+
+    def scores(members, groups):
+        return ensemble.member_scores(members, rows).unionByName(
+            reduce(DataFrame.unionByName, [e.score(rows).select("model", "doc_id", "label", "p") for e in groups.values()])
+        )
+
+    before = materialise(scores(fitted, ensembles), "before")
+    registry = tables.ModelRegistry(spark, tables.scratch_path(spark, "registry"))
+    registry.save(fitted, evaluate.eval_metrics(before), ensembles, {"confusion": evaluate.confusion(before)})
+    loaded, _ = registry.load()
+    after = scores(loaded, registry.load_ensembles(loaded)).select("model", "doc_id", F.col("p").alias("again"))
+    return before.join(after, ["model", "doc_id"]).groupBy("model").agg(
+        F.count("*").alias("documents"), F.count_if(F.abs(F.col("p") - F.col("again")) < 1e-9).alias("equal")
+    )
+
+
 # Invariants of fitted models, which SQL can state although it cannot fit them -------------------------
 
 
@@ -704,7 +756,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         read_labelled, target_select, head_n, label_balance, stratified_split, any_label_split, stratified_sample,
         random_split, capped_sample, stratified_folds, examples_per_class, strip_urls, strip_mentions, tokens,
-        stopwords_removed, noun_lemmas, preview_text, porter_stems, clean_turns, bag_of_words, doc_frequency,
+        stopwords_removed, noun_lemmas, stemmed_text, preview_text, porter_stems, clean_turns, bag_of_words, doc_frequency,
         ngram_counts, vocabulary, tfidf, tfidf_transform_holdout, lexical_features, lexical_by_class, pos_shares,
         tag_lexicon, sentiment_scores, sentiment_turns, readability_scores, syllables, mean_pooled_vectors,
         word2vec_docs, als_doc_embeddings, subword_embeddings, lda_topics, topic_terms, feature_layout,
@@ -716,7 +768,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         eval_metrics, confusion, confusion_normalised, class_report, macro_scores, pr_curve, roc_curve,
         best_threshold, best_overall, errors_at_threshold, threshold_sweep, sweep_optima, best_model, metrics_long,
         top_importances, sample_predictions, performance_at_threshold, stream_scoring, topic_invariants, stream_equals_batch,
-        pca_invariants,
+        pca_invariants, saved_pipeline_scores, registry_roundtrip,
     )
 }
 QUERIES["clean_text"] = cleaned

@@ -359,6 +359,52 @@ m4 AS (SELECT *, asinh(y/sqrt(2/(w2-1)))/sqrt(0.5*ln(w2)) AS z1,
 m5 AS (SELECT feature, z1*z1+z2*z2 AS k2 FROM m4)"""
 
 
+def porter(source: str) -> str:
+    """Stems of the words of ``source (word)`` as a chain of steps ending in ``stems (word, stem)``."""
+    from modlens.functions.stemming import STEP2, STEP3, STEP4
+
+    vowel = "ch IN ('a','e','i','o','u') OR (ch = 'y' AND right(acc, 1) = 'c')"
+    shape = f"list_reduce(list_prepend('', string_split(w, '')), lambda acc, ch: acc || CASE WHEN {vowel} THEN 'v' ELSE 'c' END)"
+    cut = lambda k: f"left(w, length(w) - {k})"
+    part = lambda k: f"left(shape, length(shape) - {k})"
+    measure = lambda k: f"len(regexp_extract_all({part(k)}, 'v+c'))"
+    short = lambda k: f"({part(k)} LIKE '%cvc' AND right({cut(k)}, 1) NOT IN ('w', 'x', 'y'))"
+    ends = lambda *suffixes: "(" + " OR ".join(f"w LIKE '%{x}'" for x in suffixes) + ")"
+
+    def longest(table, then) -> str:
+        order = sorted(table, key=len, reverse=True)
+        return "CASE " + " ".join(f"WHEN {ends(x)} THEN {then(x)}" for x in order) + " ELSE w END"
+
+    def replaced(table):
+        return longest(table, lambda x: f"CASE WHEN {measure(len(x))} > 0 THEN {cut(len(x))} || '{table[x]}' ELSE w END")
+
+    def dropped(x: str) -> str:
+        k = 3 if x in ("sion", "tion") else len(x)
+        return f"CASE WHEN {measure(k)} > 1 THEN {cut(k)} ELSE w END"
+
+    verbal = lambda x: f"{ends(x)} AND contains({part(len(x))}, 'v')"
+    double = "length(w) > 1 AND right(w, 1) = left(right(w, 2), 1) AND right(shape, 1) = 'c' AND right(w, 1) NOT IN ('l', 's', 'z')"
+    restored = (
+        f"CASE WHEN w = before OR before LIKE '%eed' THEN w WHEN {ends('at', 'bl', 'iz')} THEN w || 'e' WHEN {double} THEN {cut(1)} "
+        f"WHEN {measure(0)} = 1 AND {short(0)} THEN w || 'e' ELSE w END"
+    )
+    steps = [
+        f"CASE WHEN {ends('sses', 'ies')} THEN {cut(2)} WHEN {ends('s')} AND NOT {ends('ss')} THEN {cut(1)} ELSE w END",
+        f"CASE WHEN {ends('eed')} THEN CASE WHEN {measure(3)} > 0 THEN {cut(1)} ELSE w END "
+        f"WHEN {verbal('ed')} THEN {cut(2)} WHEN {verbal('ing')} THEN {cut(3)} ELSE w END",
+        restored,
+        f"CASE WHEN {verbal('y')} THEN {cut(1)} || 'i' ELSE w END",
+        replaced(STEP2), replaced(STEP3), longest(STEP4, dropped),
+        f"CASE WHEN {ends('e')} AND ({measure(1)} > 1 OR ({measure(1)} = 1 AND NOT {short(1)})) THEN {cut(1)} ELSE w END",
+        f"CASE WHEN {ends('ll')} AND {measure(1)} > 1 THEN {cut(1)} ELSE w END",
+    ]
+    chain, last = [f"s0 AS (SELECT word, word AS w, '' AS before FROM {source} WHERE length(word) > 2)"], "s0"
+    for i, step in enumerate(steps, 1):
+        chain.append(f"s{i} AS (SELECT word, {step} AS w, w AS before FROM (SELECT *, {shape} AS shape FROM {last}))")
+        last = f"s{i}"
+    return ", ".join([*chain, f"stems AS (SELECT word, w AS stem FROM {last} UNION ALL SELECT word, word FROM {source} WHERE length(word) <= 2)"])
+
+
 def _oracle() -> dict[str, str]:
     o: dict[str, str] = {}
     o["read_labelled"] = "SELECT doc_id, lang, n_chars, toxic, quality FROM documents JOIN labels USING (doc_id)"
@@ -388,6 +434,21 @@ def _oracle() -> dict[str, str]:
     )
     # Text
     o["clean_text"] = f"WITH {CLEAN} SELECT doc_id, clean FROM cleaned"
+    o["stemmed_text"] = (
+        f"WITH {CLEAN}, u AS (SELECT doc_id, unnest(ts) AS word, generate_subscripts(ts, 1) AS pos FROM "
+        "(SELECT doc_id, string_split(clean, ' ') AS ts FROM cleaned) ), d AS (SELECT DISTINCT word FROM u), "
+        f"{porter('d')} SELECT doc_id, string_agg(stem, ' ' ORDER BY pos) AS stemmed FROM u JOIN stems USING (word) GROUP BY doc_id"
+    )
+    o["porter_stems"] = (
+        f"WITH d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{P.WORD2}')) AS word FROM documents), {porter('d')} "
+        "SELECT word, stem FROM stems"
+    )
+    n_docs = "(SELECT count(*) FROM documents)"
+    o["saved_pipeline_scores"] = f"SELECT {n_docs} AS documents, {n_docs} AS batch_equal, {n_docs} AS stream_equal"
+    o["registry_roundtrip"] = (
+        "SELECT model, n AS documents, n AS equal FROM (SELECT count(*) AS n FROM labels JOIN documents USING (doc_id)), "
+        "(VALUES ('logistic'), ('random_forest'), ('voting'), ('weighted_voting'), ('stacking')) AS m(model)"
+    )
     o["clean_turns"] = f"SELECT conv_id, turn, role, {clean()} AS clean FROM conversations"
     o["strip_urls"] = f"SELECT page_id, {rx('html', P.URL)} AS html FROM pages"
     o["strip_mentions"] = f"SELECT doc_id, {rx('lower(text)', P.MENTION)} AS text FROM documents"

@@ -169,7 +169,7 @@ def train_and_evaluate(features: DataFrame, config: JobConfig = JobConfig(), id_
         raise ValueError(f"no model could be trained: {status}")
     members = materialise(ensemble.member_scores(fitted, test, id_col), "member-scores")
     columns = members.columns
-    scores = [members]
+    scores, ensembles = [members], {}
     if len(fitted) >= 2:
         weights = ensemble.weight_table(spark, validation)
         stack = ensemble.stack(
@@ -180,11 +180,17 @@ def train_and_evaluate(features: DataFrame, config: JobConfig = JobConfig(), id_
             ensemble.weighted_vote(members, weights, id_col).select(columns),
             stack.score(test, id_col).select(columns),
         ]
+        ensembles = {
+            "voting": ensemble.Voting(fitted), "weighted_voting": ensemble.Voting(fitted, validation), "stacking": stack,
+        }
     all_scores = materialise(reduce(DataFrame.unionByName, scores), "scores")
     metrics = materialise(evaluate.eval_metrics(all_scores), "metrics")
-    if config.save_path:
-        ModelRegistry(spark, config.save_path).save(fitted, metrics)
     table = local_table(spark, {k: [s[i] for s in status] for i, k in enumerate(("model", "state", "detail"))})
+    if config.save_path:
+        reports = {
+            "status": table, "confusion": evaluate.confusion(all_scores), "class_report": evaluate.class_report(all_scores),
+        }
+        ModelRegistry(spark, config.save_path).save(fitted, metrics, ensembles, reports)
     return TrainingResult(fitted, all_scores, metrics, table, validation, method)
 
 

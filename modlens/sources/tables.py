@@ -191,22 +191,49 @@ class ModelRegistry:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def save(self, models: Mapping[str, object], metrics: DataFrame) -> None:
-        kinds = {}
+    def save(self, models: Mapping[str, object], metrics: DataFrame, ensembles: Mapping[str, object] | None = None,
+             reports: Mapping[str, DataFrame] | None = None) -> None:
+        """Fitted pipelines, ensembles over them (voting, stacking), metrics, and tables of reports."""
+        names, kinds, parts = [], [], []
         for name, model in models.items():
             model.write().overwrite().save(f"{self.root}/models/{name}")
-            kinds[name] = f"{type(model).__module__}.{type(model).__name__}"
-        local_table(self.spark, {"model": list(kinds), "kind": list(kinds.values())}).write.mode(
-            "overwrite"
-        ).parquet(f"{self.root}/index")
+            names, kinds, parts = [*names, name], [*kinds, _kind(model)], [*parts, "model"]
+        for name, ensemble in (ensembles or {}).items():
+            ensemble.save(self.spark, f"{self.root}/ensembles/{name}")
+            names, kinds, parts = [*names, name], [*kinds, _kind(ensemble)], [*parts, "ensemble"]
+        local_table(self.spark, {"model": names, "kind": kinds, "part": parts}).write.mode("overwrite").parquet(
+            f"{self.root}/index"
+        )
         metrics.write.mode("overwrite").parquet(f"{self.root}/metrics")
+        for name, report in (reports or {}).items():
+            report.write.mode("overwrite").parquet(f"{self.root}/reports/{name}")
 
-    def load(self) -> tuple[dict[str, object], DataFrame]:
+    def _index(self, part: str) -> dict[str, type]:
         if not path_exists(self.spark, f"{self.root}/index"):
             raise FileNotFoundError(f"no saved models under {self.root}")
-        models = {}
-        for row in self.spark.read.parquet(f"{self.root}/index").collect():
+        found = {}
+        for row in self.spark.read.parquet(f"{self.root}/index").where(f"part = '{part}'").orderBy("model").collect():
             module, _, cls = row["kind"].rpartition(".")
-            loader = getattr(__import__(module, fromlist=[cls]), cls)
-            models[row["model"]] = loader.load(f"{self.root}/models/{row['model']}")
+            found[row["model"]] = getattr(__import__(module, fromlist=[cls]), cls)
+        return found
+
+    def load(self) -> tuple[dict[str, object], DataFrame]:
+        models = {name: loader.load(f"{self.root}/models/{name}") for name, loader in self._index("model").items()}
         return models, self.spark.read.parquet(f"{self.root}/metrics")
+
+    def load_ensembles(self, models: Mapping[str, object]) -> dict[str, object]:
+        """Ensembles, over the given loaded models."""
+        return {
+            name: kind.load(self.spark, f"{self.root}/ensembles/{name}", models)
+            for name, kind in self._index("ensemble").items()
+        }
+
+    def report(self, name: str) -> DataFrame:
+        path = f"{self.root}/reports/{name}"
+        if not path_exists(self.spark, path):
+            raise FileNotFoundError(f"no report {name!r} under {self.root}")
+        return self.spark.read.parquet(path)
+
+
+def _kind(thing: object) -> str:
+    return f"{type(thing).__module__}.{type(thing).__name__}"

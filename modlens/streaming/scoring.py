@@ -1,6 +1,8 @@
 """Scoring of a stream of documents: the batch expressions on ``readStream``.
 
-Only row-local features are used, so the query keeps no state and needs no watermark.
+``start_scoring`` uses row-local features only, so the query keeps no state and needs no watermark.
+``start_pipeline_scoring`` scores with a fitted pipeline whose families look words up in tables: every micro-batch is
+joined with the static tables and written to a folder of its own, so a batch that is run again replaces itself.
 """
 
 from __future__ import annotations
@@ -54,3 +56,14 @@ def start_scoring(stream: DataFrame, model: PipelineModel, output: str, checkpoi
         .outputMode("append")
     )
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
+
+
+def start_pipeline_scoring(stream: DataFrame, pipeline: PipelineModel, output: str, checkpoint: str, id_col: str = "doc_id",
+                           once: bool = True) -> StreamingQuery:
+    """Score documents with cleaning, fitted families and classifier into ``output/batch=N``."""
+
+    def scored(batch: DataFrame, number: int) -> None:
+        score(pipeline, batch, id_col).write.mode("overwrite").parquet(f"{output}/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(scored).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
