@@ -23,7 +23,7 @@ alike, since the draw depends on the doc_id alone; null ids draw 0 and stay; oth
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -39,12 +39,16 @@ NULL, REST = "\x00null", "\x00rest"
 _BREAKS = r"[\x20\x09-\x0D]+"
 
 
-def n_tokens(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+def words_of(text: Column) -> Column:
+    """Lower-case words of a text; the pieces at its ends may be empty."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), _BREAKS)
 
 
-def topic_of(text: Column) -> Column:
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), _BREAKS)
+def n_tokens(words: Column) -> Column:
+    return (F.size(words) - F.size(F.filter(words, lambda w: w == ""))).cast("long")
+
+
+def topic_of(words: Column) -> Column:
     longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     return (F.conv(F.substring(F.md5(longest.cast("binary")), 1, 4), 16, 10).cast("int") % TOPICS).cast("string")
 
@@ -120,25 +124,36 @@ def mixing(
     targets: Mapping[str, Mapping[str, float]] | None = None,
     seed: int = 7,
     size: float = 1.0,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The documents with the columns topic, n_tokens, weight, probability, multiplicity, selected and copies."""
+    """The documents with the columns topic, n_tokens, weight, probability, multiplicity, selected and copies.
+
+    ``keep`` names the columns of the documents that the result has (all). The text is read once: they are written
+    with topic and count, and cells and draw read that table.
+    """
     spark = docs.sparkSession
     value = lambda c: F.coalesce(c.cast("string"), F.lit(NULL))
-    topic = value(F.col("topic")) if "topic" in docs.columns else topic_of(F.col("text"))
-    columns = {"source": value(F.col("source")), "lang": value(F.col("lang")), "topic": topic}
-    counted = written(docs.select(*(c.alias(d) for d, c in columns.items()), n_tokens(F.col("text")).alias("n_tokens"))
-                      .groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n_tokens")), "cells")
-    cells, own = cell_weights(counted, temper, targets)
-    names = [f"__mix_{d}" for d in DIMENSIONS]
+    added = ("topic", "n_tokens", "weight", "probability", "multiplicity", "selected", "copies")
+    kept = [c for c in docs.columns if c not in added and (keep is None or c in keep)]
+    split = docs.select(
+        *kept, *(value(F.col(d)).alias(f"__mix_{d}") for d in DIMENSIONS[:2]),
+        *([value(F.col("topic")).alias("__mix_topic")] if "topic" in docs.columns else []),
+        words_of(F.col("text")).alias("__mix_words"),
+    )
+    topic = F.col("__mix_topic") if "topic" in docs.columns else topic_of(F.col("__mix_words"))
+    counted = written(split.select(
+        *kept, *(F.col(f"__mix_{d}") for d in DIMENSIONS[:2]), topic.alias("topic"), n_tokens(F.col("__mix_words")).alias("n_tokens")
+    ), "counted")
+    columns = {"source": F.col("__mix_source"), "lang": F.col("__mix_lang"), "topic": F.col("topic")}
+    sums = counted.select(*(c.alias(d) for d, c in columns.items()), "n_tokens").groupBy(*DIMENSIONS)
+    cells, own = cell_weights(written(sums.agg(F.sum("n_tokens").alias("n_tokens")), "cells"), temper, targets)
+    names = [f"__cell_{d}" for d in DIMENSIONS]
     table = spark.createDataFrame(
         [(*c[:3], c[3], *chances(size * c[3])) for c in cells],
         ", ".join([*(f"{n} string" for n in names), "weight double", "probability double", "multiplicity double"]),
     )
-    added = ("topic", "n_tokens", "weight", "probability", "multiplicity", "selected", "copies")
-    kept = [c for c in docs.columns if c not in added]
-    keyed = docs.select(
-        *kept, topic.alias("topic"), n_tokens(F.col("text")).alias("n_tokens"),
-        *(group_of(c, own[d]).alias(n) for (d, c), n in zip(columns.items(), names, strict=True)),
+    keyed = counted.select(
+        *kept, "topic", "n_tokens", *(group_of(c, own[d]).alias(n) for (d, c), n in zip(columns.items(), names, strict=True)),
     )
     joined = keyed.join(F.broadcast(table), names).drop(*names)  # cells: few, see above
     drawn, rate = draw(F.col("doc_id"), seed), F.col("probability") * F.col("multiplicity")

@@ -51,7 +51,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing(read(spark, sf_dir, "documents"), temper=0.9)
+    found = mixing(read(spark, sf_dir, "documents"), temper=0.9, keep=["doc_id", "source", "lang"])
     return found.select(
         "doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "multiplicity", "selected", "copies"
     )
