@@ -98,6 +98,13 @@ def test_attention_gradient():
     assert np.median([attention[f : f + b].argmax() == 0 for f, b, t in zip(first, bags, y, strict=True) if t]) == 1
 
 
+def test_letters_are_letters():
+    from modlens.llm.language_id import words_of
+
+    assert words_of("½ ² ① _ 12") == [] and words_of(None) == []
+    assert words_of("Été a½b x²") == ["été", "a", "b", "x"]
+
+
 def test_language_held_out(spark):
     found = QUERIES["op9_language_id"](spark, SF).collect()
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
