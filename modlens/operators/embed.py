@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.stat import Summarizer
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modlens.functions.lookup import split_join
+from modlens.operators.skipgram import SkipGramParams, skip_gram
 from modlens.operators.vectorize import TfidfParams, bag_of_words, vocabulary
 from modlens.sources.tables import materialise, numbered, scratch_folder
 
@@ -24,7 +24,7 @@ class Word2VecParams:
     min_count: int = 1
     max_iter: int = 5
     seed: int = 42
-    partitions: int | None = None  # None: one per slot
+    blocks: int | None = None  # None: by the number of distinct words
 
 
 @dataclass(frozen=True)
@@ -50,13 +50,10 @@ FULL_JOB_WORD2VEC = Word2VecParams(300, 5, 5)
 
 
 def word_vectors(df: DataFrame, tokens_col: str, params: Word2VecParams = Word2VecParams()) -> DataFrame:
-    """``(word, vector)`` learned with skip-gram on several partitions at once."""
-    partitions = params.partitions or df.sparkSession.sparkContext.defaultParallelism
-    model = Word2Vec(
-        vectorSize=params.vector_size, windowSize=params.window, minCount=params.min_count, maxIter=params.max_iter,
-        seed=params.seed, numPartitions=partitions, inputCol=tokens_col, outputCol="_v",
-    ).fit(df.select(tokens_col))
-    return model.getVectors()
+    """``(word, vector)`` learned with skip-gram on blocks of words; vocabulary and weights stay distributed."""
+    return skip_gram(df, tokens_col, SkipGramParams(
+        params.vector_size, params.window, params.min_count, params.max_iter, seed=params.seed, blocks=params.blocks,
+    ))
 
 
 def mean_pool(df: DataFrame, tokens_col: str, vectors: DataFrame, size: int, id_col: str = "doc_id",

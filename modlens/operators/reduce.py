@@ -48,8 +48,9 @@ class Scaler:
         return cls(row["mean"].toArray(), std)
 
     def transform(self, df: DataFrame, col: str = "x", output_col: str | None = None) -> DataFrame:
-        mean, std = self.mean, self.std
-        return df.withColumn(output_col or col, by_batch(lambda x: (x - mean) / std)(col))
+        mean, std = F.lit(self.mean.tolist()), F.lit(self.std.tolist())
+        centred = F.zip_with(F.col(col), mean, lambda x, m: x - m)
+        return df.withColumn(output_col or col, F.zip_with(centred, std, lambda x, s: x / s))
 
 
 @dataclass

@@ -676,6 +676,15 @@ def _streamed(spark, d, model):
     return spark.read.schema("doc_id bigint, p double, flagged int").parquet(f"{output}/rows")
 
 
+def word_vector_invariants(spark, d):
+    """Distinct words of the cleaned documents, and how many have a vector of the asked size without a hole."""
+    docs = _token_docs(spark, d)
+    vectors = embed.word_vectors(docs, "tokens").withColumn("v", vector_to_array("vector"))
+    whole = (F.size("v") == 100) & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    words = docs.select(F.explode("tokens").alias("word")).distinct().join(vectors, "word", "left")
+    return words.agg(F.count("*").alias("words"), F.count_if(F.coalesce(whole, F.lit(False))).alias("with_vector"))
+
+
 def saved_pipeline_scores(spark, d):
     """Families of each kind of state and a classifier fitted on the labelled documents, saved as one pipeline and
     loaded again: documents, and how many the loaded one scores as the first did, in a batch and in a stream."""
@@ -768,7 +777,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         eval_metrics, confusion, confusion_normalised, class_report, macro_scores, pr_curve, roc_curve,
         best_threshold, best_overall, errors_at_threshold, threshold_sweep, sweep_optima, best_model, metrics_long,
         top_importances, sample_predictions, performance_at_threshold, stream_scoring, topic_invariants, stream_equals_batch,
-        pca_invariants, saved_pipeline_scores, registry_roundtrip,
+        pca_invariants, word_vector_invariants, saved_pipeline_scores, registry_roundtrip,
     )
 }
 QUERIES["clean_text"] = cleaned

@@ -443,6 +443,10 @@ def _oracle() -> dict[str, str]:
         f"WITH d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{P.WORD2}')) AS word FROM documents), {porter('d')} "
         "SELECT word, stem FROM stems"
     )
+    o["word_vector_invariants"] = (
+        f"WITH {CLEAN}, w AS (SELECT DISTINCT unnest(string_split(clean, ' ')) AS word FROM cleaned) "
+        "SELECT count(*) AS words, count(*) AS with_vector FROM w WHERE word <> ''"
+    )
     n_docs = "(SELECT count(*) FROM documents)"
     o["saved_pipeline_scores"] = f"SELECT {n_docs} AS documents, {n_docs} AS batch_equal, {n_docs} AS stream_equal"
     o["registry_roundtrip"] = (

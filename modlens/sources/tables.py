@@ -11,7 +11,8 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LABELS = ["toxic", "severe_toxic", "obscene", "threat", "insult", "identity_hate"]
@@ -136,22 +137,28 @@ def release(spark: SparkSession, df: DataFrame) -> None:
             hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
-def materialise(df: DataFrame, name: str = "table", even: bool = False) -> DataFrame:
+def materialise(df: DataFrame, name: str = "table", even: bool = False, row_group: int | None = None) -> DataFrame:
     """Write an intermediate result once and read it back: iterative jobs then rescan columns
     instead of recomputing text features, and lost executors cost a file read.
 
     ``even`` lets Spark rebalance the files to its advisory size first, which suits tables that are
-    scanned many times.
+    scanned many times. ``row_group`` bounds the bytes that a reader holds at once, for tables of long rows.
     """
     path = scratch_path(df.sparkSession, name)
-    (df.hint("rebalance") if even else df).write.parquet(path)
+    writer = (df.hint("rebalance") if even else df).write
+    (writer.option("parquet.block.size", row_group) if row_group else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, output_col: str) -> DataFrame:
     """Rows with a number from zero without gaps, in the order of the partitions."""
-    schema = T.StructType([*df.schema.fields, T.StructField(output_col, T.LongType())])
-    return df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])).toDF(schema)
+    stored = materialise(df.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftrightunsigned("_at", 33)  # the id's high bits name the partition, the others count its rows
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = stored.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    first = settle(counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")))
+    row = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return stored.join(first, part == F.col("_part")).select(*df.columns, (F.col("_first") + row).alias(output_col))
 
 
 class FeatureStore:
