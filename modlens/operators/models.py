@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modlens.operators.stages import BoostedStumps, FourierFeatures
+from modlens.operators.trees import BoostParams, RandomParams, boost, random_trees
 from modlens.sources.tables import local_table, materialise, release
 
 SEED = 42
@@ -128,9 +129,16 @@ def random_forest(df: DataFrame, n_estimators: int = 100, max_depth: int | None
     return Pipeline(stages=[RandomForestClassifier(**params)]).fit(balanced_weight(df) if class_weight else df)
 
 
-def extra_trees(df: DataFrame, bootstrap: bool = False, **params) -> PipelineModel:
-    """Trees on all rows with coarse bins, which stand in for random split points."""
-    return random_forest(df, bootstrap=bootstrap, max_bins=8, **params)
+def extra_trees(df: DataFrame, n_estimators: int = 100, max_depth: int | None = None, min_samples_leaf: int = 1,
+                max_features="sqrt", bootstrap: bool = False, class_weight: str | None = None) -> PipelineModel:
+    """Trees with random split points, on all rows unless ``bootstrap``."""
+    weight = None
+    if class_weight:
+        weights = class_weights(df)
+        weight = F.lit(1.0)
+        for c, w in weights.items():
+            weight = F.when(F.col("label") == c, w / max(weights.values())).otherwise(weight)
+    return random_trees(df, RandomParams(n_estimators, _depth(max_depth), min_samples_leaf, max_features, bootstrap, seed=SEED), weight)
 
 
 def gradient_boosting(df: DataFrame, n_estimators: int = 100, learning_rate: float = 0.1, max_depth: int = 3,
@@ -144,22 +152,22 @@ def gradient_boosting(df: DataFrame, n_estimators: int = 100, learning_rate: flo
 
 
 def xgb_style(df: DataFrame, n_estimators=100, max_depth=6, learning_rate=0.3, subsample=1.0, colsample_bytree=1.0,
-              gamma=0.0, min_child_weight=1) -> PipelineModel:
-    """Gradient-boosting preset that takes the other library's parameter names."""
-    return gradient_boosting(
-        df, n_estimators, learning_rate, max_depth, min_child_weight, subsample,
-        None if colsample_bytree >= 1 else float(colsample_bytree), gamma / max(df.count(), 1),
-    )
+              gamma=0.0, min_child_weight=1, reg_lambda=1.0) -> PipelineModel:
+    """Boosting by second-order gains with a penalty on leaf values, level by level; splits under ``gamma`` are pruned."""
+    return boost(df, BoostParams(
+        rounds=n_estimators, learning_rate=learning_rate, max_depth=_depth(max_depth), subsample=subsample, colsample=colsample_bytree,
+        gamma=gamma, min_child_weight=min_child_weight, reg_lambda=reg_lambda, seed=SEED,
+    ))
 
 
 def lgbm_style(df: DataFrame, n_estimators=100, max_depth=6, learning_rate=0.1, subsample=1.0, colsample_bytree=1.0,
-               num_leaves=31, min_child_samples=20) -> PipelineModel:
-    """Gradient-boosting preset; the leaf limit caps the depth."""
-    depth = min(max_depth, math.ceil(math.log2(num_leaves)))
-    return gradient_boosting(
-        df, n_estimators, learning_rate, depth, min_child_samples, subsample,
-        None if colsample_bytree >= 1 else float(colsample_bytree),
-    )
+               num_leaves=31, min_child_samples=20, reg_lambda=0.0) -> PipelineModel:
+    """Boosting that always splits the leaf with the largest gain, up to ``num_leaves``; starts at the log odds."""
+    return boost(df, BoostParams(
+        rounds=n_estimators, learning_rate=learning_rate, max_depth=_depth(max_depth), max_leaves=num_leaves, subsample=subsample,
+        colsample=colsample_bytree, min_child_rows=min_child_samples, min_child_weight=1e-3, reg_lambda=reg_lambda,
+        average_start=True, seed=SEED,
+    ))
 
 
 def weighted_errors(df: DataFrame, vote: Column, weight: Column) -> tuple[float, float]:

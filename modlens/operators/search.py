@@ -135,7 +135,7 @@ DROPPED = {
     "extra_trees": ["min_samples_split", "balanced_subsample"],
     "gradient_boosting": ["min_samples_split"],
     "svm": ["probability"],
-    "lightgbm": ["reg_alpha", "reg_lambda"],
+    "lightgbm": ["reg_alpha"],
     "adaboost": ["algorithm"],
 }
 
