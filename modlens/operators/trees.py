@@ -200,10 +200,12 @@ def sums(batches: Iterator[pa.RecordBatch], size: int, wanted: Sequence[int], su
                 part = rows[i : i + step]
                 where = at[part]
                 cell = ((where[:, None] * k + np.arange(k)) * BINS + bins[part[:, None], subsets[where]]).ravel()
+                first, end = cell.min(), cell.max() + 1  # nodes of one tree lie next to each other
+                cell -= first
                 # Sums of a step stay below 2^53, so they are exact in doubles too.
-                total[0] += np.bincount(cell, minlength=total.shape[1])
+                total[0, first:end] += np.bincount(cell)
                 for j, values in ((1, g), (2, h)):
-                    total[j] += np.bincount(cell, np.repeat(values[part], k), total.shape[1]).astype(np.int64)
+                    total[j, first:end] += np.bincount(cell, np.repeat(values[part], k)).astype(np.int64)
     cell = np.flatnonzero(total[0])
     which, feature = np.divmod(cell // BINS, k)
     yield pa.RecordBatch.from_arrays(
@@ -415,6 +417,15 @@ def _grow(table: DataFrame, since: Sequence[Tree], cuts, p: BoostParams, number:
     return _finished(best, children, splits, cuts, p)
 
 
+def root_gains(df: DataFrame, cuts: Sequence[Sequence[float]], params: BoostParams = BoostParams()) -> DataFrame:
+    """Gains of all cuts before the first split (see ``split_gains``)."""
+    cuts = _cuts(df, params.max_bins, cuts)
+    size, subsets = len(cuts), np.arange(len(cuts))[None, :]
+    placed = _gradients([], None, params, 0)
+    cells = binned(df, cuts).mapInArrow(lambda batches: sums(batches, size, [0], subsets, placed), CELL_SCHEMA)
+    return split_gains(siblings(cells), params).select("feature", "bin", "nl", "gl", "hl", "n", "g", "h", "gain")
+
+
 def boost(df: DataFrame, params: BoostParams = BoostParams(), cuts: Sequence[Sequence[float]] | None = None) -> PipelineModel:
     """Boosted trees on (features, label in {0, 1}); ``cuts`` overrides the quantiles."""
     spark = df.sparkSession

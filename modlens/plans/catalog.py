@@ -14,7 +14,7 @@ from modlens.functions import scores as S
 from modlens.functions import text as T
 from modlens.functions.stemming import stem_table
 from modlens.operators import combine, embed, ensemble, evaluate, models, pos, reduce as reduction, resample, search
-from modlens.operators import select, split, vectorize
+from modlens.operators import select, split, trees, vectorize
 from modlens.operators.sentiment import lexicon_hits, sentiment_features
 from modlens.operators.topics import TopicModel, TopicParams
 from modlens.sources import tables
@@ -526,6 +526,53 @@ def logreg_multilabel(spark, d):
     return scored(wide)
 
 
+# Cuts of the one-tree queries: (feature, width, number of cuts), a cut at every multiple of the width.
+GRID = (("chars", 100, 200), ("spaces", 20, 200), ("commas", 2, 100), ("letter_a", 1, 200))
+
+
+def grid_rows(spark, d):
+    """Vectors of counts of the labelled documents."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    count = lambda mark: F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+    rows = labelled(spark, d).select(
+        "doc_id", "quality", F.length(text).cast("double").alias("chars"), count(" ").cast("double").alias("spaces"),
+        count(",").cast("double").alias("commas"), count("a").cast("double").alias("letter_a"),
+    )
+    return models.assemble(rows, [name for name, *_ in GRID], "quality")
+
+
+def _grid_tree(params, spark, d):
+    """One regularised tree over a fixed grid of cuts, as the scores of all labelled documents."""
+    rows = materialise(grid_rows(spark, d), "grid-rows", even=True)
+    cuts = [[float(width * i) for i in range(n)] for _, width, n in GRID]
+    return rounded(models.score(trees.boost(rows, params, cuts), rows), "p").select("doc_id", "label", "p")
+
+
+def boosted_tree(spark, d):
+    return _grid_tree(trees.BoostParams(rounds=1, max_depth=2), spark, d)
+
+
+def leafwise_tree(spark, d):
+    """Three leaves, best first, with counted rows instead of curvature as the limit."""
+    params = trees.BoostParams(
+        rounds=1, learning_rate=0.1, max_depth=6, max_leaves=3, reg_lambda=0.0, min_child_weight=1e-3, min_child_rows=20
+    )
+    return _grid_tree(params, spark, d)
+
+
+def split_gains(spark, d):
+    """Gain of every cut of the grid at the root."""
+    cuts = [[float(width * i) for i in range(n)] for _, width, n in GRID]
+    gains = trees.root_gains(grid_rows(spark, d), cuts, trees.BoostParams())
+    names = F.array(*[F.lit(name) for name, *_ in GRID])
+    steps = F.array(*[F.lit(width) for _, width, _ in GRID])
+    named = gains.where("gain IS NOT NULL").select(
+        F.get(names, F.col("feature")).alias("feature"), (F.get(steps, F.col("feature")) * F.col("bin")).cast("bigint").alias("cut"),
+        F.col("nl").alias("n_left"), F.round("gain", 6).alias("gain"),
+    )
+    return rounded(named, "gain")
+
+
 def halving_search(spark, d):
     rows = feature_rows(spark, d)
     return search.halving_search(rows, "random_forest", search.DEBUG_SPACES["random_forest"]).trace
@@ -773,7 +820,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         top_chi2_features, correlated_pairs, normality_k2, class_densities, coef_cull, elasticnet_select, l1_select,
         holdout_mse, standardise, balanced_weights, knn_minority, borderline_danger, adasyn_quota, tomek_links,
         smote_points, resampled_sizes, pca_project, pca_component_search, resampling_contest, logreg_multilabel,
-        halving_search, stacking, forest_importances, halving_schedule, candidate_survivors, soft_vote, weighted_vote,
+        boosted_tree, leafwise_tree, split_gains, halving_search, stacking, forest_importances, halving_schedule, candidate_survivors, soft_vote, weighted_vote,
         eval_metrics, confusion, confusion_normalised, class_report, macro_scores, pr_curve, roc_curve,
         best_threshold, best_overall, errors_at_threshold, threshold_sweep, sweep_optima, best_model, metrics_long,
         top_importances, sample_predictions, performance_at_threshold, stream_scoring, topic_invariants, stream_equals_batch,

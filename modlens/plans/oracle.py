@@ -405,6 +405,53 @@ def porter(source: str) -> str:
     return ", ".join([*chain, f"stems AS (SELECT word, w AS stem FROM {last} UNION ALL SELECT word, word FROM {source} WHERE length(word) <= 2)"])
 
 
+def _grid_trees() -> dict[str, str]:
+    """One boosted tree written out: gains of all cuts, the best cut of each node, leaf values."""
+
+    def tree(lam: float, weight: float, least: int, rate: float, leaves: int) -> str:
+        score = lambda g, h: f"(({g}) * ({g}) / (({h}) + {lam}::DOUBLE))"
+        gains = (
+            "count(*) FILTER (x <= cut) AS nl, count(*) AS n, sum(g) AS sg, count(*) * 0.25::DOUBLE AS sh, "
+            "coalesce(sum(g) FILTER (x <= cut), 0) AS gl, count(*) FILTER (x <= cut) * 0.25::DOUBLE AS hl"
+        )
+        enough = f"nl >= {least} AND n - nl >= {least} AND hl >= {weight} AND sh - hl >= {weight}"
+        gain = f"{score('gl', 'hl')} + {score('sg - gl', 'sh - hl')} - {score('sg', 'sh')} AS gain"
+        pick = "row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, i) AS place"
+        counts = ", ".join(
+            f"({f}, {q(name)}, {value})" for f, (name, value) in enumerate((
+                ("chars", "length(t)"), ("spaces", "length(t) - length(replace(t, ' ', ''))"),
+                ("commas", "length(t) - length(replace(t, ',', ''))"), ("letter_a", "length(t) - length(replace(t, 'a', ''))"),
+            ))
+        )
+        return (
+            "WITH docs AS (SELECT doc_id, quality AS label, 0.5::DOUBLE - quality AS g, coalesce(text, '') AS t FROM documents JOIN labels USING (doc_id)), "
+            f"vals AS (SELECT doc_id, label, g, f, feature, x FROM docs, LATERAL (VALUES {counts}) v(f, feature, x)), "
+            "grid AS (SELECT f, i, width, i * width AS cut FROM (VALUES (0, 100, 200), (1, 20, 200), (2, 2, 100), (3, 1, 200)) w(f, width, n), "
+            "LATERAL (SELECT unnest(range(n)) AS i)), "
+            f"g0 AS (SELECT 0 AS node, f, feature, i, cut, {gains} FROM vals JOIN grid USING (f) GROUP BY ALL), "
+            f"s0 AS (SELECT *, {gain} FROM g0 WHERE {enough}), "
+            f"b0 AS (SELECT * FROM (SELECT *, {pick} FROM s0) WHERE place = 1 AND gain > 1e-6), "
+            "side AS (SELECT doc_id, CASE WHEN x <= cut THEN 1 ELSE 2 END AS node FROM vals JOIN b0 USING (f)), "
+            f"g1 AS (SELECT node, f, i, cut, {gains} FROM vals JOIN side USING (doc_id) JOIN grid USING (f) GROUP BY ALL), "
+            f"s1 AS (SELECT *, {gain} FROM g1 WHERE {enough}), "
+            f"b1 AS (SELECT * FROM (SELECT *, {pick} FROM s1) WHERE place = 1 AND gain > 1e-6 "
+            f"ORDER BY gain DESC, node LIMIT {leaves - 2}), "
+            "leaf AS (SELECT vals.doc_id, side.node * 10 + CASE WHEN x <= cut THEN 1 ELSE 2 END AS leaf FROM vals JOIN side USING (doc_id) "
+            "JOIN b1 USING (node, f)), "
+            "ends AS (SELECT doc_id, label, g, coalesce(leaf, node, 0) AS leaf FROM docs LEFT JOIN side USING (doc_id) LEFT JOIN leaf USING (doc_id)), "
+            f"v AS (SELECT leaf, -{rate} * sum(g) / (count(*) * 0.25::DOUBLE + {lam}) AS value FROM ends GROUP BY leaf) "
+        )
+
+    level = tree(1.0, 1.0, 1, 0.3, 4)
+    scores = f"SELECT doc_id, label, {r6('1 / (1 + exp(-value))')} AS p FROM ends JOIN v USING (leaf)"
+    return {
+        "boosted_tree": level + scores,
+        "leafwise_tree": tree(0.0, 1e-3, 20, 0.1, 3) + scores,
+        "split_gains": f"{level} SELECT feature, cut::BIGINT AS cut, nl AS n_left, {r6('gain')} AS gain FROM s0 "
+        "WHERE (f, i) IN (SELECT (f, ceil(x / width)::BIGINT) FROM vals JOIN grid USING (f))",
+    }
+
+
 def _oracle() -> dict[str, str]:
     o: dict[str, str] = {}
     o["read_labelled"] = "SELECT doc_id, lang, n_chars, toxic, quality FROM documents JOIN labels USING (doc_id)"
@@ -533,6 +580,7 @@ def _oracle() -> dict[str, str]:
         f"{LEX_LONG}, {sums}, e AS (SELECT *, sum(s) OVER (PARTITION BY feature) * n / sum(n) OVER (PARTITION BY feature) AS e FROM g), "
         f"sc AS (SELECT feature, {r6('sum((s - e) * (s - e) / e)')} AS score FROM e GROUP BY feature)"
     )
+    o |= _grid_trees()
     o["chi2_scores"] = f"{chi2} SELECT * FROM sc"
     o["top_chi2_features"] = f"{chi2} SELECT * FROM sc ORDER BY score DESC, feature LIMIT 5"
     o["anova_f_scores"] = (
