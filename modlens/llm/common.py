@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 1 << 21
 # Rows up to which an intermediate table may be broadcast; beyond, the join is shuffled.
 BROADCAST_ROWS = 300_000
+# Spark's switch that deletes the shuffle files of a query when it has ended.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,12 +39,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Queries run inside leave no shuffle files behind; the session's own setting comes back afterwards."""
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder, read again: lineage ends here and a lost executor costs a
-    read. The table goes when the session's JVM ends."""
+    read. Shuffle files of the write go with its end, the table when the session's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     table = spark.read.schema(df.schema).parquet(path)
@@ -50,9 +68,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete written tables that nothing will read again, and let Spark's cleaner find the shuffle files of
-    finished jobs: it deletes them once the JVM has collected the plans they belong to."""
-    spark.sparkContext._jvm.System.gc()
+    """Delete written tables that nothing will read again."""
     for table in tables:
         hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
         hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)

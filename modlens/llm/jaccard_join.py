@@ -275,7 +275,6 @@ def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     )
     shared = entries.groupBy("sig").agg(F.count("*").alias("n"), F.min("b").alias("lo"), F.max("b").alias("hi"))
     shared = written(shared.where("n > 1"), "shared")
-    drop(docs.sparkSession)
     many = written(shared.where("n > 2").select("sig", F.col("lo").alias("a")), "many")
     stars = (
         shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
@@ -305,6 +304,16 @@ def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """The documents without the near copies of another: of each component the smallest doc_id stays."""
-    kept = jaccard_join(docs, n, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The documents without the near copies of another: of each component the smallest doc_id stays.
+
+    Of rows that repeat an id and a text one stays (its other columns are those of any of them); rows that share an id
+    but not their text stay or go together. A row without an id cannot be named by a component: such rows stay, one of
+    each text.
+    """
+    known = docs.where("doc_id IS NOT NULL")
+    kept = written(jaccard_join(known, n, percent).where("doc_id = component_id").select("doc_id").distinct(), "kept")
+    again = written(known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    stay, repeated = known.join(kept, "doc_id", "left_semi"), small(again)
+    # Only rows of repeated or missing ids are grouped; the key holds the text, so that missing ids are not one group.
+    several = stay.join(repeated, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL")).dropDuplicates(["doc_id", "text"])
+    return stay.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(several.select(docs.columns))

@@ -100,3 +100,24 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101)], "a long, b long")
     got = dict(components(links).collect())
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_one_per_group_keeps_one_row_of_repeats_and_rows_without_id(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, long, 1), (None, long, 2), (None, "other words stay here", 3), (1, long, 4), (1, long, 5), (2, "two rows of one id", 6),
+            (2, "with quite different texts inside", 7), (3, long + " end", 8), (4, None, 9), (4, None, 10), (5, "", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    kept = one_per_group(docs, 5, 80)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    want = [(None, long), (None, "other words stay here"), (1, long), (2, rows[5][1]), (2, rows[6][1]), (4, None), (5, "")]
+    assert got == sorted(want, key=str)
+    assert one_per_group(docs.where("false")).count() == 0
+
+
+def test_a_write_leaves_no_shuffle_setting_behind(spark):
+    from modlens.llm.common import FREE_SHUFFLES, written
+
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    table = written(spark.range(100).groupBy("id").count(), "t")
+    assert table.count() == 100 and spark.conf.get(FREE_SHUFFLES, None) == before
