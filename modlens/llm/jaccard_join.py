@@ -162,12 +162,16 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, schema)
 
 
-def compared(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+def compared(docs: DataFrame, pairs: DataFrame, n: int, percent: int, differences: bool = True) -> DataFrame:
     """The pairs (a, b) with their sizes, whether they link, and the elements that only one of them has. A pivot
-    ``a`` with many partners is compared in several tasks, each with its own copy of the pivot's set."""
-    tasks = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_PER_TASK).cast("long").alias("n_tasks"))
+    ``a`` with many partners is compared in several tasks, each with its own copy of the pivot's set. Elements are
+    left out without ``differences``, and where the pivot has one partner, for which there is no other to link with."""
+    tasks = pairs.groupBy("a").agg(
+        F.ceil(F.count("*") / PAIRS_PER_TASK).cast("long").alias("n_tasks"),
+        F.when((F.count("*") > 1) & F.lit(differences), 1).otherwise(2).alias("kind"),
+    )
     members = pairs.join(tasks, "a").select(
-        "a", F.pmod(F.xxhash64("b"), "n_tasks").alias("task"), F.col("b").alias("id"), F.lit(1).alias("kind")
+        "a", F.pmod(F.xxhash64("b"), "n_tasks").alias("task"), F.col("b").alias("id"), "kind"
     )
     pivots = tasks.select(
         "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_tasks") - 1)).alias("task"),
@@ -190,7 +194,7 @@ def compared(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
                 union = (len(pivot) + len(own) + len(only_one)) // 2
                 linked = 100 * (union - len(only_one)) >= percent * union
                 rows.append((a[i], ids[i], len(pivot), len(own), linked))
-                differ.append(only_one)
+                differ.append(only_one if kind[i] == 1 else only_one[:0])
             ends = np.concatenate(([0], np.cumsum([len(x) for x in differ]))).astype(np.int32)
             flat = signed(np.concatenate(differ)) if differ else np.zeros(0, np.int64)
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
@@ -212,16 +216,19 @@ def compared(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
 
 
 def across_components(stars: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that can still link, from what they differ in from a pivot."""
+    """Pairs (a, b) of different components that can still link, from what they differ in from a pivot. The table
+    ``stars`` is deleted as soon as its elements are unfolded."""
     own = found.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     pivot = found.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-    labelled = stars.join(own, "b", "left").join(pivot, "a", "left").select(
-        "a", "b", "sb", "linked", "differ", F.coalesce("cb", "b").alias("component"), F.coalesce("ca", "a").alias("ca")
+    labelled = stars.select("a", "b").join(own, "b", "left").join(pivot, "a", "left").select(
+        "a", "b", F.coalesce("cb", "b").alias("component"), F.coalesce("ca", "a").alias("ca")
     )
     labelled = written(labelled, "labelled")
     mixed_pivots = written(labelled.where("component <> ca").select("a").distinct(), "mixed")
+    # Only members of these pivots carry their elements on.
+    named = written(labelled.join(small(mixed_pivots), "a").select("a", "b", "component"), "named")
     least, most = 100 - percent, 100 + percent
-    members = labelled.join(small(mixed_pivots), "a").select(
+    members = stars.where("size(differ) > 0").join(small(named), ["a", "b"]).select(
         "a", "b", "sb", "component", (~F.col("linked")).alias("far"), "differ",
         # differences of linked sets, if the other is as large as it can be
         F.floor(F.expr(f"{least} * (sb + floor(sb * 100 / {percent})) / {most}")).alias("k"),
@@ -230,6 +237,7 @@ def across_components(stars: DataFrame, found: DataFrame, percent: int) -> DataF
         members.select("a", "b", "sb", "component", "far", "k", F.size("differ").alias("n"), F.explode("differ").alias("e")),
         "elements",
     )
+    drop(stars.sparkSession, stars, labelled, mixed_pivots, named)
     common = written(elements.groupBy("a", "e").agg(F.count("*").alias("rarity")).where("rarity > 1"), "common")
     ranked = elements.join(common, ["a", "e"], "left").withColumn("rarity", F.coalesce("rarity", F.lit(1)))
     rank = F.row_number().over(W.partitionBy("a", "b").orderBy("rarity", "e"))
@@ -238,7 +246,7 @@ def across_components(stars: DataFrame, found: DataFrame, percent: int) -> DataF
     )
     probes = probes.where("rarity > 1").select("a", "e", "b", "sb", "component", "far", "n", (F.col("n") - F.col("rank")).alias("rest"))
     probes = written(probes, "probes")
-    drop(stars.sparkSession, labelled, mixed_pivots, elements, common)
+    drop(stars.sparkSession, elements, common)
     side = lambda t, b, x: t.select(
         "a", "e", F.col("b").alias(b), *(F.col(c).alias(f"{c}_{x}") for c in ("sb", "component", "n", "rest"))
     )
@@ -289,8 +297,8 @@ def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     links = written(stars.where("linked").select("a", "b"), "links")
     found = components(links)
     across = across_components(stars, found, percent)
-    drop(docs.sparkSession, pairs, stars, found)
-    more = compared(docs, across, n, percent)
+    drop(docs.sparkSession, pairs, found)
+    more = compared(docs, across, n, percent, differences=False)
     found = components(links.union(more.where("linked").select("a", "b")))
     reps = classes.join(found, classes["rep"] == found["id"], "left").select(
         *keys, F.coalesce("component", "rep").alias("component")
