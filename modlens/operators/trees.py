@@ -38,6 +38,7 @@ SCALE = 1 << 30
 STORE_EVERY = 8  # rounds between two writes of the margins
 CELLS = 1 << 22  # cells that a task holds at once; larger frontiers take several passes
 ENTRIES = 1 << 21  # row-feature entries counted at once
+MERGED = 1 << 18  # merged cells aimed at in a task
 LEAST_GAIN = 1e-6
 CELL_SCHEMA = "node int, feature int, bin int, n bigint, g bigint, h bigint"
 
@@ -220,7 +221,12 @@ def sums(batches: Iterator[pa.RecordBatch], size: int, wanted: Sequence[int], su
 SIBLING = "if(node % 2 = 1, node + 1, node - 1)"  # left children have odd numbers; the root's sibling is -1
 
 
-def siblings(fresh: DataFrame, parents: Sequence[DataFrame] = (), small: dict[int, int] | None = None) -> DataFrame:
+def dealt(cells: DataFrame, nodes: int, k: int) -> DataFrame:
+    """Cells by node and feature, in tasks of a bounded number of cells; that number does not depend on the rows."""
+    return cells.repartition(-(-nodes * k * BINS // MERGED), "node", "feature")
+
+
+def siblings(fresh: DataFrame, k: int, parents: Sequence[DataFrame] = (), small: dict[int, int] | None = None) -> DataFrame:
     """Merged cells of pairs of children: (node, feature, bin, n, g, h) of the one that was counted, next to its
     parent's (pn, pg, ph); the other child's are the difference. ``small`` names the counted child of each parent.
 
@@ -237,7 +243,7 @@ def siblings(fresh: DataFrame, parents: Sequence[DataFrame] = (), small: dict[in
             both = both.unionAll(above.where("node >= 0"))
     else:
         both = fresh.selectExpr("*", "n AS pn", "g AS pg", "h AS ph")
-    return both.repartition("node", "feature").groupBy("node", "feature", "bin").agg(
+    return dealt(both, len(small or [0]), k).groupBy("node", "feature", "bin").agg(
         *[F.expr(f"sum({c}) AS {c}") for c in ("n", "g", "h", "pn", "pg", "ph")]
     )
 
@@ -383,7 +389,7 @@ def _grow(table: DataFrame, since: Sequence[Tree], cuts, p: BoostParams, number:
         placed, subsets = _gradients(since, at, p, number), np.tile(subset, (len(wanted), 1))
         return table.mapInArrow(lambda batches: sums(batches, size, wanted, subsets, placed), CELL_SCHEMA)
 
-    kept = [siblings(counted([0], None)).persist()]
+    kept = [siblings(counted([0], None), k).persist()]
     best, held = best_splits(split_gains(kept[0], p)), {0: 0}
     children: dict[int, int] = {}
     depth, total = {0: 0}, 1
@@ -408,7 +414,7 @@ def _grow(table: DataFrame, since: Sequence[Tree], cuts, p: BoostParams, number:
             for node, child in children.items():
                 feature[node], limit[node], left[node] = best[node]["feature"], best[node]["bin"], child
             above = [kept[i] for i in sorted({held[n] for n in nodes})]
-            cells = siblings(counted(small, (feature, limit, left)), above, dict(zip(nodes, small, strict=True))).persist()
+            cells = siblings(counted(small, (feature, limit, left)), k, above, dict(zip(nodes, small, strict=True))).persist()
             best |= best_splits(split_gains(cells, p))
             held |= {children[n] + side: len(kept) for n in nodes for side in (0, 1)}
             kept.append(cells)
@@ -423,7 +429,7 @@ def root_gains(df: DataFrame, cuts: Sequence[Sequence[float]], params: BoostPara
     size, subsets = len(cuts), np.arange(len(cuts))[None, :]
     placed = _gradients([], None, params, 0)
     cells = binned(df, cuts).mapInArrow(lambda batches: sums(batches, size, [0], subsets, placed), CELL_SCHEMA)
-    return split_gains(siblings(cells), params).select("feature", "bin", "nl", "gl", "hl", "n", "g", "h", "gain")
+    return split_gains(siblings(cells, size), params).select("feature", "bin", "nl", "gl", "hl", "n", "g", "h", "gain")
 
 
 def boost(df: DataFrame, params: BoostParams = BoostParams(), cuts: Sequence[Sequence[float]] | None = None) -> PipelineModel:
@@ -603,7 +609,7 @@ def _random_level(table: DataFrame, nodes: list[dict], wanted: Sequence[int], ed
             yield node, _whole(w * times * y), _whole(w * times)
 
     cells = table.mapInArrow(lambda batches: sums(batches, size, wanted, subsets, placed), CELL_SCHEMA)
-    merged = cells.repartition("node", "feature").groupBy("node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in "ngh"])
+    merged = dealt(cells, len(wanted), k).groupBy("node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in "ngh"])
     return random_splits(merged, drawn, edges, max(p.min_child_rows, 1))
 
 
