@@ -12,8 +12,11 @@ group of thousands of copies costs one comparison each. Links among the others a
 differ, and by what sets differ in from p: let D(x) be the difference of x and p, so that the difference of x and y
 is that of D(x) and D(y). With c = (1-t)/(1+t), sets link if they differ in at most c * (sum of sizes) elements. If x
 is not linked with p but with y, D(x) and D(y) share more than (1-c)/2 * |D(y)| elements, and all but k of D(x). By
-prefix filtering they share one among the k + 1 rarest elements of D(x) and the |D(y)| - (1-c)/2 * |D(y)| rarest of
-D(y) (k + 1, if y is not linked with p either). Copies that were each edited at other places share none, and no pair of them is ever made. All comparisons are exact on whole sets.
+prefix filtering they share one among the first k + 1 elements of D(x) and the first |D(y)| - (1-c)/2 * |D(y)| of D(y)
+(k + 1, if y is not linked with p either), in any order that is the same for all members of p. Tasks take elements that
+p lacks before those it has, so only such prefixes are stored. Where many members share such elements (a second
+passage, say), the prefixes of that pivot's members are taken again with the rarest elements first. Copies that were
+each edited at other places share none, and no pair of them is ever made. All comparisons are exact on whole sets.
 
 Edge cases: null, empty and blank texts have size 0 and link with nothing, not even with each other; rows that
 repeat a doc_id count as copies of each other if their text is equal; other columns of the input are ignored.
@@ -39,6 +42,8 @@ from .components import components
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 # Candidates of one pivot that a task compares; more are dealt to further tasks.
 PAIRS_PER_TASK = 2000
+# Pairs a member may add, on average, before its pivot's elements are ordered by rarity.
+PAIRS_PER_MEMBER = 16
 
 
 def shingle_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
@@ -162,13 +167,27 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, schema)
 
 
-def compared(docs: DataFrame, pairs: DataFrame, n: int, percent: int, differences: bool = True) -> DataFrame:
-    """The pairs (a, b) with their sizes, whether they link, and the elements that only one of them has. A pivot
-    ``a`` with many partners is compared in several tasks, each with its own copy of the pivot's set. Elements are
-    left out without ``differences``, and where the pivot has one partner, for which there is no other to link with."""
+def prefix(pivot: np.ndarray, own: np.ndarray, linked: bool, percent: int, whole: bool) -> tuple[int, np.ndarray]:
+    """How many elements two sets differ in, and the first of them: those that the pivot lacks come before those it
+    has, each by value; ``whole`` gives all."""
+    extra, missing = (np.setdiff1d(x, y, assume_unique=True) for x, y in ((own, pivot), (pivot, own)))
+    apart, least, most = len(extra) + len(missing), 100 - percent, 100 + percent
+    if whole:
+        take = apart
+    elif linked:
+        take = apart - apart * percent // most
+    else:  # differences of linked sets, if the other is as large as it can be
+        take = least * (len(own) + len(own) * 100 // percent) // most + 1
+    return apart, np.concatenate([extra[:take], missing[: max(0, take - len(extra))]])
+
+
+def compared(docs: DataFrame, pairs: DataFrame, n: int, percent: int, elements: str = "prefix") -> DataFrame:
+    """The pairs (a, b) with their sizes, whether they link, in how many elements they differ, and these elements: the
+    ``prefix`` that can decide, ``all`` or ``none``. A pivot ``a`` with many partners is compared in several tasks, each
+    with its own copy of the pivot's set. A pivot with one partner has no elements: there is no other to link with."""
     tasks = pairs.groupBy("a").agg(
         F.ceil(F.count("*") / PAIRS_PER_TASK).cast("long").alias("n_tasks"),
-        F.when((F.count("*") > 1) & F.lit(differences), 1).otherwise(2).alias("kind"),
+        F.when((F.count("*") > 1) & F.lit(elements != "none"), 1).otherwise(2).alias("kind"),
     )
     members = pairs.join(tasks, "a").select(
         "a", F.pmod(F.xxhash64("b"), "n_tasks").alias("task"), F.col("b").alias("id"), "kind"
@@ -190,34 +209,52 @@ def compared(docs: DataFrame, pairs: DataFrame, n: int, percent: int, difference
                     pivot, at = own, (a[i], task[i])
                     continue
                 assert at == (a[i], task[i])
-                only_one = np.setxor1d(pivot, own, assume_unique=True)
-                union = (len(pivot) + len(own) + len(only_one)) // 2
-                linked = 100 * (union - len(only_one)) >= percent * union
-                rows.append((a[i], ids[i], len(pivot), len(own), linked))
-                differ.append(only_one if kind[i] == 1 else only_one[:0])
+                shared = len(np.intersect1d(pivot, own, assume_unique=True))
+                linked = 100 * shared >= percent * (len(pivot) + len(own) - shared)
+                apart, first = len(pivot) + len(own) - 2 * shared, own[:0]
+                if kind[i] == 1:
+                    apart, first = prefix(pivot, own, linked, percent, elements == "all")
+                rows.append((a[i], ids[i], len(pivot), len(own), linked, apart))
+                differ.append(first)
             ends = np.concatenate(([0], np.cumsum([len(x) for x in differ]))).astype(np.int32)
             flat = signed(np.concatenate(differ)) if differ else np.zeros(0, np.int64)
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-            kinds = [pa.int64()] * 4 + [pa.bool_()]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            kinds = [pa.int64()] * 4 + [pa.bool_(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [
                     *(pa.array([x for x in c], t) for c, t in zip(columns, kinds, strict=True)),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 ],
-                ["a", "b", "sa", "sb", "linked", "differ"],
+                ["a", "b", "sa", "sb", "linked", "apart", "differ"],
             )
 
     # Texts travel, since they are smaller than the hashes of their n-grams.
     dealt = texts.select("a", "task", "kind", "id", "text").repartition("a", "task").sortWithinPartitions("a", "task", "kind")
-    done = dealt.mapInArrow(verify, "a long, b long, sa long, sb long, linked boolean, differ array<long>")
+    done = dealt.mapInArrow(verify, "a long, b long, sa long, sb long, linked boolean, apart long, differ array<long>")
     done = written(done, "compared")
     drop(docs.sparkSession, wanted)
     return done
 
 
-def across_components(stars: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def _rarest_first(docs: DataFrame, pairs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
+    """Probes (a, b, e, rank) of the members, the rarest elements of their pivot first."""
+    spark = docs.sparkSession
+    stars = compared(docs, pairs, n, percent, "all")
+    elements = written(stars.select("a", "b", F.explode("differ").alias("e")), "elements")
+    drop(spark, stars)
+    common = written(elements.groupBy("a", "e").agg(F.count("*").alias("rarity")).where("rarity > 1"), "common")
+    ranked = elements.join(common, ["a", "e"], "left").withColumn("rarity", F.coalesce("rarity", F.lit(1)))
+    rank = F.row_number().over(W.partitionBy("a", "b").orderBy("rarity", "e"))
+    taken = ranked.withColumn("rank", rank).where("rarity > 1").join(members.select("a", "b", "take"), ["a", "b"])
+    probes = written(taken.where("rank <= take").select("a", "b", "e", "rank"), "rarest")
+    drop(spark, elements, common)
+    return probes
+
+
+def across_components(docs: DataFrame, stars: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that can still link, from what they differ in from a pivot. The table
     ``stars`` is deleted as soon as its elements are unfolded."""
+    spark = docs.sparkSession
     own = found.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     pivot = found.select(F.col("id").alias("a"), F.col("component").alias("ca"))
     labelled = stars.select("a", "b").join(own, "b", "left").join(pivot, "a", "left").select(
@@ -228,25 +265,45 @@ def across_components(stars: DataFrame, found: DataFrame, percent: int) -> DataF
     # Only members of these pivots carry their elements on.
     named = written(labelled.join(small(mixed_pivots), "a").select("a", "b", "component"), "named")
     least, most = 100 - percent, 100 + percent
-    members = stars.where("size(differ) > 0").join(small(named), ["a", "b"]).select(
-        "a", "b", "sb", "component", (~F.col("linked")).alias("far"), "differ",
-        # differences of linked sets, if the other is as large as it can be
-        F.floor(F.expr(f"{least} * (sb + floor(sb * 100 / {percent})) / {most}")).alias("k"),
+    carried = stars.where("size(differ) > 0").join(small(named), ["a", "b"])
+    members = written(
+        carried.select(
+            "a", "b", "sb", "component", (~F.col("linked")).alias("far"), F.col("apart").alias("n"),
+            F.expr(
+                f"if(linked, apart - floor(apart * {percent} / {most}),"
+                f" floor({least} * (sb + floor(sb * 100 / {percent})) / {most}) + 1)"
+            ).alias("take"),
+        ),
+        "members",
     )
-    elements = written(
-        members.select("a", "b", "sb", "component", "far", "k", F.size("differ").alias("n"), F.explode("differ").alias("e")),
-        "elements",
+    first = written(
+        carried.select("a", "b", (~F.col("linked")).alias("far"), F.posexplode("differ").alias("at", "e")), "first"
     )
-    drop(stars.sparkSession, stars, labelled, mixed_pivots, named)
-    common = written(elements.groupBy("a", "e").agg(F.count("*").alias("rarity")).where("rarity > 1"), "common")
-    ranked = elements.join(common, ["a", "e"], "left").withColumn("rarity", F.coalesce("rarity", F.lit(1)))
-    rank = F.row_number().over(W.partitionBy("a", "b").orderBy("rarity", "e"))
-    probes = ranked.withColumn("rank", rank).where(
-        F.col("rank") <= F.when(F.col("far"), F.col("k") + 1).otherwise(F.col("n") - F.floor(F.expr(f"n * {percent} / {most}")))
+    drop(spark, stars, labelled, mixed_pivots, named)
+    common = written(
+        first.groupBy("a", "e").agg(F.count("*").alias("n"), F.count(F.when(F.col("far"), 1)).alias("far"))
+        .where("n > 1 and far > 0"),
+        "common",
+    )
+    sizes = members.groupBy("a").agg(F.count("*").alias("members"))
+    heavy = common.groupBy("a").agg(F.sum(F.col("n").cast("double") * F.col("far")).alias("pairs")).join(sizes, "a")
+    heavy = written(heavy.where(F.col("pairs") > PAIRS_PER_MEMBER * F.col("members")).select("a"), "heavy")
+    probes = (
+        first.select("a", "b", "e", (F.col("at") + 1).alias("rank"))
+        .join(small(heavy), "a", "left_anti").join(small(common.select("a", "e")), ["a", "e"], "left_semi")
+    )
+    probes = probes.select("a", "b", "e", "rank")
+    rarest = []
+    if heavy.limit(1).count():
+        again = written(members.join(small(heavy), "a", "left_semi").select("a", "b"), "again")
+        rarest = [_rarest_first(docs, again, members, n, percent)]
+        drop(spark, again)
+        probes = probes.unionByName(rarest[0])
+    probes = probes.join(members, ["a", "b"]).select(
+        "a", "e", "b", "sb", "component", "far", "n", (F.col("n") - F.col("rank")).alias("rest")
     )
-    probes = probes.where("rarity > 1").select("a", "e", "b", "sb", "component", "far", "n", (F.col("n") - F.col("rank")).alias("rest"))
     probes = written(probes, "probes")
-    drop(stars.sparkSession, elements, common)
+    drop(spark, first, common, heavy, members, *rarest)
     side = lambda t, b, x: t.select(
         "a", "e", F.col("b").alias(b), *(F.col(c).alias(f"{c}_{x}") for c in ("sb", "component", "n", "rest"))
     )
@@ -261,7 +318,7 @@ def across_components(stars: DataFrame, found: DataFrame, percent: int) -> DataF
         .distinct()
     )
     pairs = written(pairs, "across")
-    drop(stars.sparkSession, probes)
+    drop(spark, probes)
     return pairs
 
 
@@ -296,9 +353,9 @@ def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     stars = compared(docs, pairs, n, percent)
     links = written(stars.where("linked").select("a", "b"), "links")
     found = components(links)
-    across = across_components(stars, found, percent)
+    across = across_components(docs, stars, found, n, percent)
     drop(docs.sparkSession, pairs, found)
-    more = compared(docs, across, n, percent, differences=False)
+    more = compared(docs, across, n, percent, "none")
     found = components(links.union(more.where("linked").select("a", "b")))
     reps = classes.join(found, classes["rep"] == found["id"], "left").select(
         *keys, F.coalesce("component", "rep").alias("component")

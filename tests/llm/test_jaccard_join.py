@@ -63,6 +63,24 @@ def test_equals_all_pairs(docs_of, copies, n, percent):
     assert len({c for _, c in got.values()}) < len(copies) - 40
 
 
+@pytest.mark.parametrize("limit", [-1.0, 16])
+def test_members_that_share_a_second_passage(docs_of, monkeypatch, limit):
+    """Documents of one passage, some of which share another: by prefixes, and by the rarest elements."""
+    from modlens.llm import jaccard_join as module
+
+    monkeypatch.setattr(module, "PAIRS_PER_MEMBER", limit)
+    rng = random.Random(8)
+    word = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    one, two, rows = word(30), word(30), []
+    for i in range(40):
+        rows.append([*one, *(two if i % 2 else []), *word(25)])
+        if i % 4 == 0:
+            rows += [edited(rng, rows[-1], 2), edited(rng, rows[-1], 3)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    got = {r[0]: (r[1], r[2]) for r in jaccard_join(docs_of(rows), 5, 80).collect()}
+    assert got == exact(rows, 5, 80)
+
+
 def test_odd_rows(docs_of, odd):
     got = {r[0]: (r[1], r[2]) for r in jaccard_join(docs_of(odd), 3, 90).collect()}
     assert got == exact([r[:2] for r in odd], 3, 90)
