@@ -10,8 +10,12 @@ segment number, text of the segment) for its own segments and for those of its s
 or of up to ``edits`` characters less could have there (only the positions that an alignment can reach). Lines
 that share a key are verified with a banded bit-parallel edit distance.
 
-Members of a key are first held against its earliest line. Only those that this does not drop are then held against
-all earlier ones, so a key that thousands of copies share costs one comparison each.
+Members of a key are first held against its earliest line; those that this does not drop are open. A key with few
+open lines holds them against all its earlier ones. A key with more than HOT of them is a stretch that unlike lines have
+in common. Its members get finer keys: a line is cut into 8 pieces, later 16; a line within the edits leaves all but
+``edits`` of them unchanged, so a key is all pieces but these, and lines must agree in most of their text to share one.
+Keys of the last level hold their open lines against all earlier ones whatever their number: those lines agree in
+14 of 16 pieces. No pair within the edits is lost at any level.
 
 Edge cases: a null text stays null, an empty text has no line to drop; ties go by doc_id, then line number; rows
 that repeat a doc_id count as one document, so they do not drop each other's equal lines of the same number;
@@ -20,7 +24,8 @@ other columns of the input are kept.
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +36,14 @@ from .common import drop, mixed, powers, signed, small, spread, text_blocks, wri
 
 # Candidates of one line that a task compares; more are dealt to further tasks.
 PAIRS_PER_TASK = 5000
+# Open lines of a key up to which they are held against all its earlier lines.
+HOT = 16
+# Pieces of a line at the finer levels.
+FINER = (8, 16)
+# Parts in which keys are counted, one after another, so that one part's shuffle files are there at a time.
+PASSES = 4
+# Shared keys (one long each) up to which they may be broadcast.
+KEYS = 2_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE_BASE = pow(0xD6E8FEB86659FD93, -1, 1 << 64)
 
@@ -76,41 +89,99 @@ def probes(length: int, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return tuple(columns[:, k] for k in range(1, 5))
 
 
+@cache
+def finer_probes(length: int, edits: int, pieces: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For lines of this length: starts and ends of the edits + 1 runs of each key, its tag, and whether it is one of
+    the line's own. A key is the pieces of a line of the length or of up to ``edits`` characters less but for ``edits``
+    of them; the runs between these are shifted by what was edited before."""
+    out: dict[tuple, bool] = {}
+    for shorter in range(edits + 1):
+        indexed = length - shorter
+        if indexed <= edits:
+            continue
+        cut = [indexed * i // pieces for i in range(pieces + 1)]
+        inner = product(range(-edits, edits + 1), repeat=max(0, edits - 1))
+        steps = [(0, *x, shorter) for x in inner] if edits else [(0,)]
+        steps = [x for x in steps if sum(abs(q - p) for p, q in zip(x, x[1:])) <= edits]
+        for number, gone in enumerate(combinations(range(pieces), edits)):
+            first, last = (0, *(cut[g + 1] for g in gone)), (*(cut[g] for g in gone), indexed)
+            for shifts in steps:
+                runs = [(p + x, q + x) if p < q else (0, 0) for p, q, x in zip(first, last, shifts, strict=True)]
+                if all(0 <= p and q <= length for p, q in runs):
+                    key = (indexed << 20 | number, *(p for p, _ in runs), *(q for _, q in runs))
+                    out[key] = out.get(key, False) or not (shorter or any(shifts))
+    table = np.array(list(out), dtype=np.int64).reshape(-1, 2 * edits + 3)
+    own = np.fromiter(out.values(), bool, len(out))
+    return table[:, 1 : edits + 2], table[:, edits + 2 :], mixed(table[:, 0].astype(np.uint64) + _STEP), own
+
+
+class _Hasher:
+    """Hashes of stretches of lines that are put one after another."""
+
+    def __init__(self, lines: list[str]):
+        self.length = np.fromiter(map(len, lines), np.int64, len(lines))
+        self.start = np.cumsum(self.length) - self.length
+        codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.value = _code_values()[codes]
+        self.inverse = _Inverse.upto(len(codes) + 2)
+        self.sums = self.summed(self.value)
+
+    @staticmethod
+    def summed(value: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(value) + 1, dtype=np.uint64)
+        np.cumsum(value * powers(len(value) + 1)[: len(value)], out=sums[1:])
+        return sums
+
+    def __call__(self, start, end, sums=None):
+        sums = self.sums if sums is None else sums
+        return mixed((sums[end] - sums[start]) * self.inverse[start])
+
+
+def by_length(length: np.ndarray):
+    """Each length and the indices of the lines that have it."""
+    order = np.argsort(length, kind="stable")
+    sizes, first = np.unique(length[order], return_index=True)
+    return zip(sizes.tolist(), np.split(order, first[1:]), strict=True) if len(order) else ()
+
+
 def line_records(texts: list[str], min_chars: int, near_chars: int, edits: int):
-    """Per line of at least min_chars: text index, line number, length, two digests, keys (0 of them below
-    near_chars)."""
+    """Per line of at least min_chars: text index, line number, length, two digests, number of keys (0 below
+    near_chars); then the keys of all lines."""
     lines = [t.split("\n") for t in texts]
     owner = np.repeat(np.arange(len(texts)), [len(x) for x in lines])
     number = np.concatenate([np.arange(len(x)) for x in lines]) if lines else np.zeros(0, np.int64)
-    flat = [line for x in lines for line in x]
-    length = np.fromiter(map(len, flat), np.int64, len(flat))
-    codes = np.frombuffer("".join(flat).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    value = _code_values()[codes]
-    n = len(value) + 1
-    inverse = _Inverse.upto(n + 1)
-    sums = np.zeros(n, dtype=np.uint64)
-    np.cumsum(value * powers(n)[: n - 1], out=sums[1:])
-
-    def hashed(start, end):
-        return mixed((sums[end] - sums[start]) * inverse[start])
-
-    end = np.cumsum(length)
-    start = end - length
-    kept = np.flatnonzero(length >= min_chars)
-    d1 = hashed(start[kept], end[kept]) + length[kept].astype(np.uint64)
+    hashed = _Hasher([line for x in lines for line in x])
+    kept = np.flatnonzero(hashed.length >= min_chars)
+    length, start = hashed.length[kept], hashed.start[kept]
+    d1 = hashed(start, start + length) + length.astype(np.uint64)
     # A second digest from another weighting of the characters.
-    other = np.zeros(n, dtype=np.uint64)
-    np.cumsum(mixed(value ^ _STEP) * powers(n)[: n - 1], out=other[1:])
-    d2 = mixed((other[end[kept]] - other[start[kept]]) * inverse[start[kept]])
-    keys = []
-    for k in kept.tolist():
-        size = int(length[k])
-        if size < near_chars:
-            keys.append(np.zeros(0, np.uint64))
-            continue
+    d2 = hashed(start, start + length, hashed.summed(mixed(hashed.value ^ _STEP)))
+    near = np.flatnonzero(length >= near_chars)
+    groups = [(size, near[rows]) for size, rows in by_length(length[near])]
+    counts = np.zeros(len(kept), dtype=np.int64)
+    for size, rows in groups:
+        counts[rows] = len(probes(size, edits)[0])
+    ends = np.cumsum(counts)
+    keys = np.zeros(ends[-1] if len(ends) else 0, dtype=np.uint64)
+    for size, rows in groups:
         a, b, indexed, segment = probes(size, edits)
-        keys.append(hashed(start[k] + a, start[k] + b) + mixed((indexed * 64 + segment).astype(np.uint64) + _STEP))
-    return owner[kept], number[kept], length[kept], signed(d1), signed(d2), keys
+        at, tag = start[rows][:, None], mixed((indexed * 64 + segment).astype(np.uint64) + _STEP)
+        keys[(ends - counts)[rows][:, None] + np.arange(len(a))] = hashed(at + a, at + b) + tag
+    return owner[kept], number[kept], length, signed(d1), signed(d2), counts, signed(keys)
+
+
+def finer_keys(lines: list[str], edits: int, pieces: int):
+    """Index of the line, key, and whether it is one of the line's own, for blocks of the lines."""
+    salt = np.arange(1, edits + 2, dtype=np.uint64) * _STEP
+    for low in range(0, len(lines), 1024):
+        hashed = _Hasher(lines[low : low + 1024])
+        for size, rows in by_length(hashed.length):
+            starts, ends, tag, own = finer_probes(size, edits, pieces)
+            at, total = hashed.start[rows][:, None], np.zeros((len(rows), len(tag)), dtype=np.uint64)
+            for r in range(edits + 1):
+                total += mixed(hashed(at + starts[:, r], at + ends[:, r]) + salt[r])
+            keys = mixed(total) + tag
+            yield np.repeat(rows + low, len(tag)), signed(keys.ravel()), np.tile(own, len(rows))
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -163,10 +234,9 @@ def line_table(docs: DataFrame, min_chars: int, near_chars: int, edits: int) ->
         for block in text_blocks(batches):
             ids = np.asarray(block.column(0).to_numpy(zero_copy_only=False))
             texts = ["" if t is None else t for t in block.column(1).to_pylist()]
-            owner, number, length, d1, d2, keys = line_records(texts, min_chars, near_chars, edits)
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
-            flat = signed(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            owner, number, length, d1, d2, counts, keys = line_records(texts, min_chars, near_chars, edits)
+            offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))
             columns = [ids[owner], number.astype(np.int64), length, d1, d2]
             yield pa.RecordBatch.from_arrays(
                 [*map(pa.array, columns), keys], ["doc_id", "line", "n", "d1", "d2", "keys"]
@@ -235,52 +305,101 @@ def near_lines(docs: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
     return found
 
 
+def finer_entries(docs: DataFrame, positions: DataFrame, edits: int, pieces: int) -> DataFrame:
+    """(key, at, indexed) of the lines at the positions ``at``, with the keys of a finer cut."""
+    wanted = positions.groupBy(
+        F.col("at.doc_id").alias("doc_id"), F.pmod(F.xxhash64("at.line"), F.lit(16)).alias("part")
+    ).agg(F.collect_list("at.line").alias("wanted"))
+    wanted = written(wanted, "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(wanted, 100_000), "doc_id")
+
+    def run(batches):
+        for block in text_blocks(batches):
+            get = lambda name: block.column(block.schema.get_field_index(name)).to_pylist()
+            ids, numbers, lines = [], [], []
+            for doc_id, text, wanted in zip(get("doc_id"), get("text"), get("wanted"), strict=True):
+                split = (text or "").split("\n")
+                inside = [w for w in wanted if w < len(split)]
+                ids += [doc_id] * len(inside)
+                numbers += inside
+                lines += [split[w] for w in inside]
+            ids, numbers = np.array(ids, dtype=np.int64), np.array(numbers, dtype=np.int64)
+            for rows, keys, own in finer_keys(lines, edits, pieces):
+                columns = [ids[rows], numbers[rows], keys, own]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["doc_id", "line", "key", "indexed"])
+
+    found = texts.mapInArrow(run, "doc_id long, line long, key long, indexed boolean")
+    return found.select("key", F.struct("doc_id", "line").alias("at"), "indexed").distinct()
+
+
+def near_firsts(docs: DataFrame, entries: DataFrame, edits: int) -> DataFrame:
+    """The positions ``at`` of entries (key, at, indexed) whose line is near an earlier one that shares a key. The
+    written table ``entries`` is deleted."""
+    spark, decided = docs.sparkSession, []
+    known = lambda: reduce(DataFrame.union, decided)
+    for pieces in (*FINER, None):
+        groups = entries.groupBy("key").agg(
+            F.min("at").alias("lo"), F.max("at").alias("hi"), F.max("indexed").alias("useful")
+        )
+        groups = written(groups.where("useful and lo <> hi").select("key", "lo"), "groups")
+        members = written(entries.join(small(groups), "key"), "members")
+        later = members.where("at <> lo")
+        if decided:
+            later = later.join(known(), "at", "left_anti")
+        pairs = written(later.select(F.col("lo").alias("a"), F.col("at").alias("b")).distinct(), "pairs")
+        drop(spark, entries, groups)
+        found = near_lines(docs, pairs, edits)
+        decided.append(written(found.select(F.col("b").alias("at")).distinct(), "decided"))
+        open_ = members.where("at <> lo").join(known(), "at", "left_anti")
+        open_ = written(open_.select("key", F.col("at").alias("b"), F.col("indexed").alias("b_indexed")), "open")
+        hot = open_.groupBy("key").agg(F.countDistinct("b").alias("n")).where(F.col("n") > HOT).select("key")
+        hot = written(hot if pieces else hot.where("false"), "hot")
+        earlier = members.select("key", F.col("at").alias("a"), F.col("indexed").alias("a_indexed"))
+        rest = open_.join(small(hot), "key", "left_anti").join(earlier, "key").where("a < b and (a_indexed or b_indexed)")
+        rest = written(rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
+        more = near_lines(docs, rest, edits)
+        decided.append(written(more.select(F.col("b").alias("at")).distinct(), "decided"))
+        done = not hot.limit(1).count()
+        if not done:
+            positions = members.join(small(hot), "key", "left_semi").select("at").distinct()
+            entries = written(finer_entries(docs, positions, edits, pieces), "entries")
+        drop(spark, members, pairs, found, open_, hot, rest, more)
+        if done:
+            break
+    out = written(known().distinct(), "near_lines")
+    drop(spark, *decided)
+    return out
+
+
 def dropped_lines(
     docs: DataFrame, min_chars: int = 20, near_chars: int = 40, edits: int = 2
 ) -> DataFrame:
     """(doc_id, line) of every line to drop, as a written table."""
+    spark = docs.sparkSession
     lines = written(line_table(docs, min_chars, near_chars, edits), "lines")
     at = F.struct("doc_id", "line")
     same = ["d1", "d2", "n"]
     classes = written(lines.groupBy(*same).agg(F.min(at).alias("first"), F.count("*").alias("copies")), "classes")
-    firsts = lines.where("size(keys) > 0").join(
-        classes.select(*same, F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")),
-        [*same, "doc_id", "line"], "left_semi",
-    )
-    entries = firsts.select(F.posexplode("keys").alias("slot", "key"), at.alias("at")).select(
-        "key", "at", (F.col("slot") <= edits).alias("indexed")
-    )
-    shared = entries.groupBy("key").agg(
-        F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("n"), F.max("indexed").alias("useful")
-    )
-    shared = written(shared.where("n > 1 and useful and lo <> hi"), "shared")
-    many = written(shared.where("n > 2").select("key", "lo"), "many")
-    members = written(entries.join(small(many), "key"), "members")
-    first_pairs = (
-        shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-        .union(members.select(F.col("lo").alias("a"), F.col("at").alias("b")))
-        .where("a <> b").distinct()
-    )
-    first_pairs = written(first_pairs, "pairs")
-    slim = written(lines.select("doc_id", "line", *same), "positions")
-    drop(docs.sparkSession, lines, shared, many)
-    found = near_lines(docs, first_pairs, edits)
-    decided = written(found.select(F.col("b").alias("at")).distinct(), "decided")
-    open_ = written(
-        members.join(small(decided), "at", "left_anti").where("at <> lo")
-        .select("key", F.col("at").alias("b"), F.col("indexed").alias("b_indexed")),
-        "open",
-    )
-    earlier = members.select("key", F.col("at").alias("a"), F.col("indexed").alias("a_indexed"))
-    rest = earlier.join(open_, "key").where("a < b and (a_indexed or b_indexed)")
-    rest = written(rest.select("a", "b").distinct().join(first_pairs, ["a", "b"], "left_anti"), "rest")
-    drop(docs.sparkSession, members, open_, first_pairs)
-    more = near_lines(docs, rest, edits)
-    near = decided.union(more.select(F.col("b").alias("at"))).distinct().select(F.col("at").alias("first"), F.lit(True).alias("near"))
-    bad = written(classes.join(near, "first", "left").where("near or copies > 1"), "bad")
-    out = slim.join(small(bad), same)
+    # Keys that unlike lines share. Only these are carried on with the lines that have them.
+    parts = []
+    for part in range(PASSES):
+        keys = lines.select("d1", F.posexplode("keys").alias("slot", "key")).where(F.pmod("key", F.lit(PASSES)) == part)
+        shared = keys.groupBy("key").agg(
+            F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.max((F.col("slot") <= edits).cast("int")).alias("useful")
+        )
+        parts.append(written(shared.where("lo <> hi and useful = 1").select("key"), "shared"))
+    shared = reduce(DataFrame.union, parts)
+    entries = lines.select(*same, at.alias("first"), F.posexplode("keys").alias("slot", "key")).join(small(shared, KEYS), "key")
+    entries = entries.join(classes.select(*same, "first"), [*same, "first"], "left_semi")
+    entries = entries.select("key", F.col("first").alias("at"), (F.col("slot") <= edits).alias("indexed"))
+    entries = written(entries, "entries")
+    drop(spark, *parts)
+    near = near_firsts(docs, entries, edits)
+    firsts = near.select(F.col("at").alias("first"), F.lit(True).alias("near"))
+    bad = written(classes.join(firsts, "first", "left").where("near or copies > 1"), "bad")
+    out = lines.select("doc_id", "line", *same).join(small(bad), same)
     out = written(out.where("near or struct(doc_id, line) <> first").select("doc_id", "line"), "repeated")
-    drop(docs.sparkSession, found, decided, rest, more, bad, slim, classes)
+    drop(spark, lines, classes, near, bad)
     return out
 
 

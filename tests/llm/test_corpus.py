@@ -80,6 +80,47 @@ def test_line_dedup_equals_all_pairs(docs_of, line_rows):
     assert got == drops and len(drops) > 20
 
 
+def test_finer_cuts_equal_all_pairs(docs_of, line_rows, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 0)
+    got = {tuple(r) for r in line_dedup.dropped_lines(docs_of(line_rows)).collect()}
+    assert got == slow_drops(line_rows)
+
+
+def test_finer_cuts_share_a_key():
+    """Lines within the edits share a key that is one of the shorter line's own."""
+    rng = random.Random(9)
+    for edits, pieces, size in [(1, 4, 40), (2, 8, 40), (2, 16, 55), (3, 8, 47)]:
+        for _ in range(60):
+            a = "".join(rng.choice("abcd") for _ in range(size))
+            b = list(a)
+            for _ in range(edits):
+                at = rng.randrange(len(b) + 1)
+                b[at : at + rng.randrange(2)] = rng.choice("xyz") * rng.randrange(2)
+            a, b = sorted((a, "".join(b)), key=len)
+            if distance(a, b) > edits:
+                continue
+            keys = {0: set(), 1: set()}
+            for rows, found, own in line_dedup.finer_keys([a, b], edits, pieces):
+                for row, key, is_own in zip(rows.tolist(), found.tolist(), own.tolist(), strict=True):
+                    if is_own or row:
+                        keys[row].add(key)
+            assert keys[0] & keys[1], (a, b)
+
+
+def test_lines_that_share_a_third_are_not_paired(docs_of, monkeypatch):
+    rng = random.Random(12)
+    head = "every page of this site starts with these words "
+    rows = [(i, head + "".join(rng.choice("abcdefghij ") for _ in range(100))) for i in range(400)]
+    rows.append((400, rows[7][1][:90] + "#" + rows[7][1][90:]))
+    compared = []
+    verify = line_dedup.near_lines
+    monkeypatch.setattr(
+        line_dedup, "near_lines", lambda docs, pairs, edits: compared.append(pairs.count()) or verify(docs, pairs, edits)
+    )
+    got = {tuple(r) for r in line_dedup.dropped_lines(docs_of(rows)).collect()}
+    assert got == {(400, 0)} and sum(compared) < 3 * len(rows)
+
+
 def test_line_dedup_odd_rows(docs_of, odd):
     out = line_dedup.line_dedup(docs_of(odd))
     drops = slow_drops([r[:2] for r in odd])
