@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
 from math import comb
 
@@ -44,6 +44,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 PAIRS_PER_TASK = 2000
 # Pairs a member may add, on average, before its pivot's elements are ordered by rarity.
 PAIRS_PER_MEMBER = 16
+# Parts in which elements are counted, one after another, so that one part's shuffle files are there at a time.
+PASSES = 4
 
 
 def shingle_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
@@ -167,23 +169,21 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, schema)
 
 
-def prefix(pivot: np.ndarray, own: np.ndarray, linked: bool, percent: int, whole: bool) -> tuple[int, np.ndarray]:
-    """How many elements two sets differ in, and the first of them: those that the pivot lacks come before those it
-    has, each by value; ``whole`` gives all."""
+def prefix(pivot: np.ndarray, own: np.ndarray, linked: bool, percent: int, whole: bool) -> tuple[int, int, np.ndarray]:
+    """How many elements two sets differ in, how many of them the pivot lacks, and the first of all: those that the
+    pivot lacks come before those it has, each by value. ``whole`` gives all that the pivot lacks."""
     extra, missing = (np.setdiff1d(x, y, assume_unique=True) for x, y in ((own, pivot), (pivot, own)))
     apart, least, most = len(extra) + len(missing), 100 - percent, 100 + percent
-    if whole:
-        take = apart
-    elif linked:
+    if linked:
         take = apart - apart * percent // most
     else:  # differences of linked sets, if the other is as large as it can be
         take = least * (len(own) + len(own) * 100 // percent) // most + 1
-    return apart, np.concatenate([extra[:take], missing[: max(0, take - len(extra))]])
+    return apart, len(extra), np.concatenate([extra if whole else extra[:take], missing[: max(0, take - len(extra))]])
 
 
 def compared(docs: DataFrame, pairs: DataFrame, n: int, percent: int, elements: str = "prefix") -> DataFrame:
     """The pairs (a, b) with their sizes, whether they link, in how many elements they differ, and these elements: the
-    ``prefix`` that can decide, ``all`` or ``none``. A pivot ``a`` with many partners is compared in several tasks, each
+    ``prefix`` that can decide, with ``all`` that the pivot lacks, or ``none``. A pivot ``a`` with many partners is compared in several tasks, each
     with its own copy of the pivot's set. A pivot with one partner has no elements: there is no other to link with."""
     tasks = pairs.groupBy("a").agg(
         F.ceil(F.count("*") / PAIRS_PER_TASK).cast("long").alias("n_tasks"),
@@ -211,43 +211,56 @@ def compared(docs: DataFrame, pairs: DataFrame, n: int, percent: int, elements:
                 assert at == (a[i], task[i])
                 shared = len(np.intersect1d(pivot, own, assume_unique=True))
                 linked = 100 * shared >= percent * (len(pivot) + len(own) - shared)
-                apart, first = len(pivot) + len(own) - 2 * shared, own[:0]
+                apart, extra, first = len(pivot) + len(own) - 2 * shared, len(own) - shared, own[:0]
                 if kind[i] == 1:
-                    apart, first = prefix(pivot, own, linked, percent, elements == "all")
-                rows.append((a[i], ids[i], len(pivot), len(own), linked, apart))
+                    apart, extra, first = prefix(pivot, own, linked, percent, elements == "all")
+                rows.append((a[i], ids[i], len(pivot), len(own), linked, apart, extra))
                 differ.append(first)
             ends = np.concatenate(([0], np.cumsum([len(x) for x in differ]))).astype(np.int32)
             flat = signed(np.concatenate(differ)) if differ else np.zeros(0, np.int64)
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = [pa.int64()] * 4 + [pa.bool_(), pa.int64()]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+            kinds = [pa.int64()] * 4 + [pa.bool_(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [
                     *(pa.array([x for x in c], t) for c, t in zip(columns, kinds, strict=True)),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 ],
-                ["a", "b", "sa", "sb", "linked", "apart", "differ"],
+                ["a", "b", "sa", "sb", "linked", "apart", "extra", "differ"],
             )
 
     # Texts travel, since they are smaller than the hashes of their n-grams.
     dealt = texts.select("a", "task", "kind", "id", "text").repartition("a", "task").sortWithinPartitions("a", "task", "kind")
-    done = dealt.mapInArrow(verify, "a long, b long, sa long, sb long, linked boolean, apart long, differ array<long>")
+    done = dealt.mapInArrow(verify, "a long, b long, sa long, sb long, linked boolean, apart long, extra long, differ array<long>")
     done = written(done, "compared")
     drop(docs.sparkSession, wanted)
     return done
 
 
-def _rarest_first(docs: DataFrame, pairs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
-    """Probes (a, b, e, rank) of the members, the rarest elements of their pivot first."""
-    spark = docs.sparkSession
+def _shared_elements(carried: DataFrame) -> DataFrame:
+    """(a, e, n, far): elements that a pivot's members share, one of them not linked with it; a written table."""
+    parts = []
+    for part in range(PASSES):
+        elements = carried.select("a", "linked", F.explode("differ").alias("e")).where(F.pmod("e", F.lit(PASSES)) == part)
+        counted = elements.groupBy("a", "e").agg(F.count("*").alias("n"), F.count(F.when(~F.col("linked"), 1)).alias("far"))
+        parts.append(written(counted.where("n > 1 and far > 0"), "part"))
+    found = written(reduce(DataFrame.union, parts), "common")
+    drop(carried.sparkSession, *parts)
+    return found
+
+
+def _rarest_first(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Probes (a, b, e, rank) of the members of these pairs. Elements that the pivot lacks come first, the rarest of them
+    before others; then those it has, by value."""
     stars = compared(docs, pairs, n, percent, "all")
-    elements = written(stars.select("a", "b", F.explode("differ").alias("e")), "elements")
-    drop(spark, stars)
-    common = written(elements.groupBy("a", "e").agg(F.count("*").alias("rarity")).where("rarity > 1"), "common")
-    ranked = elements.join(common, ["a", "e"], "left").withColumn("rarity", F.coalesce("rarity", F.lit(1)))
-    rank = F.row_number().over(W.partitionBy("a", "b").orderBy("rarity", "e"))
-    taken = ranked.withColumn("rank", rank).where("rarity > 1").join(members.select("a", "b", "take"), ["a", "b"])
-    probes = written(taken.where("rank <= take").select("a", "b", "e", "rank"), "rarest")
-    drop(spark, elements, common)
+    common = _shared_elements(stars)
+    elements = stars.select("a", "b", "extra", F.posexplode("differ").alias("at", "e")).join(small(common), ["a", "e"])
+    lacked = F.col("at") < F.col("extra")
+    member = W.partitionBy("a", "b", lacked)
+    among = F.row_number().over(member.orderBy("n", "e"))
+    # What no other member has counts before what is shared.
+    rank = F.when(lacked, F.col("extra") - F.count("*").over(member) + among).otherwise(F.col("at") + 1)
+    probes = written(elements.select("a", "b", "e", rank.alias("rank")), "rarest")
+    drop(docs.sparkSession, stars, common)
     return probes
 
 
@@ -276,34 +289,25 @@ def across_components(docs: DataFrame, stars: DataFrame, found: DataFrame, n: in
         ),
         "members",
     )
-    first = written(
-        carried.select("a", "b", (~F.col("linked")).alias("far"), F.posexplode("differ").alias("at", "e")), "first"
-    )
-    drop(spark, stars, labelled, mixed_pivots, named)
-    common = written(
-        first.groupBy("a", "e").agg(F.count("*").alias("n"), F.count(F.when(F.col("far"), 1)).alias("far"))
-        .where("n > 1 and far > 0"),
-        "common",
-    )
+    common = _shared_elements(carried)
     sizes = members.groupBy("a").agg(F.count("*").alias("members"))
     heavy = common.groupBy("a").agg(F.sum(F.col("n").cast("double") * F.col("far")).alias("pairs")).join(sizes, "a")
     heavy = written(heavy.where(F.col("pairs") > PAIRS_PER_MEMBER * F.col("members")).select("a"), "heavy")
-    probes = (
-        first.select("a", "b", "e", (F.col("at") + 1).alias("rank"))
-        .join(small(heavy), "a", "left_anti").join(small(common.select("a", "e")), ["a", "e"], "left_semi")
-    )
-    probes = probes.select("a", "b", "e", "rank")
-    rarest = []
+    elements = carried.join(small(heavy), "a", "left_anti").select("a", "b", F.posexplode("differ").alias("at", "e"))
+    elements = elements.join(small(common.select("a", "e")), ["a", "e"], "left_semi")
+    probes = written(elements.select("a", "b", "e", (F.col("at") + 1).alias("rank")), "first")
+    drop(spark, stars, labelled, mixed_pivots, named, common)
+    rarest = [probes]
     if heavy.limit(1).count():
         again = written(members.join(small(heavy), "a", "left_semi").select("a", "b"), "again")
-        rarest = [_rarest_first(docs, again, members, n, percent)]
+        rarest.append(_rarest_first(docs, again, n, percent))
         drop(spark, again)
-        probes = probes.unionByName(rarest[0])
-    probes = probes.join(members, ["a", "b"]).select(
+        probes = probes.unionByName(rarest[1])
+    probes = probes.join(members, ["a", "b"]).where("rank <= take").select(
         "a", "e", "b", "sb", "component", "far", "n", (F.col("n") - F.col("rank")).alias("rest")
     )
     probes = written(probes, "probes")
-    drop(spark, first, common, heavy, members, *rarest)
+    drop(spark, heavy, members, *rarest)
     side = lambda t, b, x: t.select(
         "a", "e", F.col("b").alias(b), *(F.col(c).alias(f"{c}_{x}") for c in ("sb", "component", "n", "rest"))
     )
