@@ -96,3 +96,24 @@ def test_blocks_follow_the_vocabulary(spark):
     assert sg.n_blocks(10**9, 1000) == -(-(10**9) // sg.MOST_WORDS)
     none = spark.createDataFrame([], "tokens array<string>")
     assert sg.skip_gram(none, "tokens", sg.SkipGramParams(4)).collect() == []
+
+
+def test_blocks_are_gathered_and_steps_read_their_own_pairs(spark, corpus):
+    # An epoch moves all vectors once per block: no more blocks than slots, unless a task would hold too much.
+    assert sg.gathered(31, 8) == 8 and sg.gathered(7, 8) == 7 and sg.gathered(1, 8) == 1 and sg.gathered(800, 8) == 100
+    pairs = sg._stored_pairs(sg._pair_groups(corpus, "tokens", {}, 3, sg.SkipGramParams()))
+    files = [set(pairs.where(f"step = {s}").inputFiles()) for s in range(3)]
+    read = [pairs.where(f"step = {s}")._jdf.queryExecution().executedPlan().toString() for s in range(3)]
+    assert all("PartitionFilters: [isnotnull(step" in plan for plan in read) and files
+    assert pairs.select("step").distinct().count() == 3
+    tasks = spark.createDataFrame([(k,) for k in sg.spread_keys(spark, 8)], "k int").repartition(8, "k")
+    assert sorted(len(p) for p in tasks.rdd.glom().collect()) == [1] * 8
+
+
+def test_repeated_places_are_summed():
+    rng = np.random.default_rng(2)
+    table, at, rows = rng.normal(size=(9, 3)), np.array([4, 1, 4, 7, 4, 1, 0]), rng.normal(size=(7, 3))
+    want = table.copy()
+    np.add.at(want, at, rows)
+    sg._add(table, at, rows)
+    assert table == pytest.approx(want)
