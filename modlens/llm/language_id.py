@@ -9,10 +9,9 @@ of a block at once. The language with the lowest cross-entropy per letter is the
 Pruning bounds the model: an n-gram or context with under ``MIN_SHARE`` of a language's counts is left out of the
 arrays (at most 1 / MIN_SHARE of each order can stay), and then costs a back-off; counts and discounts come from all.
 
-Calibrated rejection: per language the cross-entropies of a bounded sample of learning documents (at most
-``CALIBRATION`` of a language, chosen by hash of the id, of at most ``CALIBRATION_CHARS`` characters) give a mean and a
-deviation that narrows with the number of letters; a text that is further off than ``TOLERANCE`` deviations in its best
-language is marked ``rejected``. The contract's lang_pred stays the best language; score is its share against the
+Calibrated rejection: per language the cross-entropies of all learning documents give a median and a deviation that
+narrows with the number of letters; a text that is further off than ``TOLERANCE`` deviations in its best language is
+marked ``rejected``. Medians are those of values rounded to 1 / ``GRID``, so that Spark counts a bounded number of them. The contract's lang_pred stays the best language; score is its share against the
 other languages and falls with that distance.
 
 Edge cases: null texts and texts without letters are ``und`` with score 0 and rejected; without a learning row
@@ -34,9 +33,8 @@ from .common import mixed, spread, text_blocks, written
 
 ORDER = 4
 MIN_SHARE = 1e-6
-CALIBRATION = 400
-CALIBRATION_CHARS = 20_000
 TOLERANCE = 6.0
+GRID = 10_000
 LETTERS = re.compile(r"[^\W\d_]+")
 START, END = "\ue000", "\ue001"
 # Distinct words that a task counts before it hands the n-grams on, and whose scores a worker remembers.
@@ -100,8 +98,6 @@ class LanguageModels:
     languages: list[str]
     orders: list[list[Order]]  # by language, from order 1 up
     unseen: list[float]  # log probability of an unseen letter
-    centre: np.ndarray | None = None
-    spread: np.ndarray | None = None
 
 
 def hashes(codes: np.ndarray, n: int, ends: np.ndarray) -> np.ndarray:
@@ -246,54 +242,71 @@ class Scorer:
         return -sums[:, :-1] / np.maximum(symbols, 1)[:, None], symbols
 
 
-def calibrate(models: LanguageModels, sample: list[tuple[str, str]]) -> None:
-    """Mean and scaled deviation of cross-entropy per language, from (text, lang) rows."""
-    entropy, symbols = Scorer(models).entropies([t for t, _ in sample])
-    langs = np.array([lang for _, lang in sample])
-    models.centre, models.spread = np.zeros(len(models.languages)), np.ones(len(models.languages))
-    for k, lang in enumerate(models.languages):
-        own = (langs == lang) & (symbols > 0)
-        if own.any():
-            models.centre[k] = np.median(entropy[own, k])
-            off = np.abs(entropy[own, k] - models.centre[k]) / (0.02 + 1 / np.sqrt(symbols[own]))
-            models.spread[k] = max(float(np.median(off) * 1.4826), 0.05)
+def medians(rows: DataFrame, value: Column) -> dict[int, float]:
+    """The median of each language, over values rounded to the grid; few of them reach a task."""
+    cells = rows.groupBy("own", F.round(value * GRID).cast("long").alias("cell")).agg(F.count("*").alias("c"))
+    return {r["own"]: r["m"] / GRID for r in cells.groupBy("own").agg(F.expr("percentile(cell, 0.5D, c) AS m")).collect()}
+
+
+def _of(values: list, index: Column) -> Column:
+    return F.get(F.array(*map(F.lit, values)), index)
+
+
+def _width() -> Column:
+    return F.expr("0.02D + 1 / sqrt(greatest(symbols, 1))")
+
+
+def calibrate(scored: DataFrame, n: int) -> tuple[list[float], list[float]]:
+    """Median and scaled deviation of cross-entropy of n languages, from all learning documents with a letter."""
+    rows = scored.where("own is not null and symbols > 0")
+    centre = medians(rows, F.col("own_entropy"))
+    centres = [centre.get(k, 0.0) for k in range(n)]
+    off = F.abs(F.col("own_entropy") - _of(centres, F.col("own"))) / _width()
+    found = medians(rows, off)
+    return centres, [max(found[k] * 1.4826, 0.05) if k in found else 1.0 for k in range(n)]
+
+
+SCORED = "doc_id long, best int, symbols long, lowest double, share double, own int, own_entropy double"
 
 
 def language_id(docs: DataFrame, learning: Column) -> DataFrame:
     """doc_id, lang_pred, score, rejected, cross_entropy of every document; learns from the rows for which
     ``learning`` holds."""
     models = learn_models(docs.where(learning))
-    if models.languages:
-        short = docs.where(learning).where(f"lang is not null and length(text) <= {CALIBRATION_CHARS}")
-        chosen = []
-        for lang in models.languages:
-            own = short.where(F.col("lang") == lang)
-            chosen += own.orderBy(F.xxhash64("doc_id", "text")).limit(CALIBRATION).select("text", "lang").collect()
-        calibrate(models, [tuple(r) for r in chosen])
+    if not models.languages:
+        return docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"),
+            F.lit(True).alias("rejected"), F.lit(0.0).alias("cross_entropy"),
+        )
+    place = {lang: k for k, lang in enumerate(models.languages)}
 
     def run(batches):
         scorer = Scorer(models)
         for block in text_blocks(batches):
-            texts = block.column(1).to_pylist()
-            if models.languages:
-                entropy, symbols = scorer.entropies(texts)
-                best = entropy.argmin(1)
-                lowest = entropy[np.arange(len(texts)), best]
-                scale = np.minimum(symbols, 200)[:, None]
-                share = 1 / np.exp(np.minimum((lowest[:, None] - entropy) * scale, 0)).sum(1)
-                off = (lowest - models.centre[best]) / (0.02 + 1 / np.sqrt(np.maximum(symbols, 1))) / models.spread[best]
-                far = np.maximum(off - TOLERANCE, 0)
-                score = np.where(symbols > 0, share / (1 + far), 0.0)
-                pred = [models.languages[b] if s else "und" for b, s in zip(best.tolist(), symbols, strict=True)]
-                rejected = (symbols == 0) | (far > 0)
-            else:
-                score, lowest, rejected = np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool)
-                pred = ["und"] * len(texts)
+            entropy, symbols = scorer.entropies(block.column(1).to_pylist())
+            rows = np.arange(len(symbols))
+            best = entropy.argmin(1)
+            lowest = entropy[rows, best]
+            scale = np.minimum(symbols, 200)[:, None]
+            share = 1 / np.exp(np.minimum((lowest[:, None] - entropy) * scale, 0)).sum(1)
+            own = np.array([place.get(x, -1) for x in block.column(2).to_pylist()], dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [block.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(rejected), pa.array(lowest)],
-                ["doc_id", "lang_pred", "score", "rejected", "cross_entropy"],
+                [
+                    block.column(0), pa.array(best, pa.int32()), pa.array(symbols.astype(np.int64)), pa.array(lowest), pa.array(share),
+                    pa.array(own, pa.int32(), mask=own < 0), pa.array(entropy[rows, np.maximum(own, 0)], mask=own < 0),
+                ],
+                [c.split()[0] for c in SCORED.split(", ")],
             )
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, lang_pred string, score double, rejected boolean, cross_entropy double"
-    return spread(slim).mapInArrow(run, schema)
+    # The language of a learning document calibrates; no prediction sees it.
+    known = F.when(learning, F.col("lang")).alias("lang")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", known)
+    scored = written(spread(slim).mapInArrow(run, SCORED), "entropies")
+    centres, spreads = calibrate(scored, len(models.languages))
+    off = (F.col("lowest") - _of(centres, F.col("best"))) / _width() / _of(spreads, F.col("best"))
+    far, lettered = F.greatest(off - TOLERANCE, F.lit(0.0)), F.col("symbols") > 0
+    return scored.select(
+        "doc_id", F.when(lettered, _of(models.languages, F.col("best"))).otherwise("und").alias("lang_pred"),
+        F.when(lettered, F.col("share") / (1 + far)).otherwise(0.0).alias("score"),
+        (~lettered | (far > 0)).alias("rejected"), F.col("lowest").alias("cross_entropy"),
+    )

@@ -233,3 +233,20 @@ def test_license_layouts_equal_all_stretches():
         got = [r[:3] for r in scanner.scan(text)]
         assert got == want == slow_licenses(scanner, text)
     assert scanner.scan(mit)[0][4] == [] and scanner.scan(apache)[0][4] == []
+
+
+def test_language_limits_come_from_all_learning_documents(docs_of):
+    """More learning documents than any sample held, some long: medians are those of all of them."""
+    words = ["the", "house", "river", "stone", "green", "walks"]
+    texts = [" ".join(words[(i * j) % 6] for j in range(1, 4 + i % 9)) for i in range(900)]
+    texts += [" ".join(["qzx", "xqz", "zzq"] * 3000)] * 901  # over 20,000 characters
+    docs = docs_of([(i, t, "en", "web") for i, t in enumerate(texts)])
+    found = language_id.language_id(docs, F.lit(True)).collect()
+    entropy = np.array([r["cross_entropy"] for r in found])
+    size = np.array([sum(len(w) + 1 for w in language_id.words_of(texts[r["doc_id"]])) for r in found])
+    centre = np.median(entropy)
+    off = np.abs(entropy - centre) / (0.02 + 1 / np.sqrt(size))
+    far = (entropy - centre) / (0.02 + 1 / np.sqrt(size)) / max(np.median(off) * 1.4826, 0.05) - language_id.TOLERANCE
+    assert len(found) == 1801
+    assert all(r["rejected"] == (f > 0) for r, f in zip(found, far, strict=True) if abs(f) > 0.05)
+    assert [r["score"] for r in found] == pytest.approx(1 / (1 + np.maximum(far, 0)), rel=0.02)
