@@ -250,3 +250,32 @@ def test_language_limits_come_from_all_learning_documents(docs_of):
     assert len(found) == 1801
     assert all(r["rejected"] == (f > 0) for r, f in zip(found, far, strict=True) if abs(f) > 0.05)
     assert [r["score"] for r in found] == pytest.approx(1 / (1 + np.maximum(far, 0)), rel=0.02)
+
+
+def test_support_counts_documents_and_neighbourhoods():
+    from collections import defaultdict
+
+    rng = np.random.default_rng(6)
+    documents = [[f"{'.' * (i % 3)}w{rng.integers(0, 30)}".encode() for i in range(rng.integers(0, 40))] for _ in range(50)]
+    documents += [[b"..."], [], [b"copy", b"of", b"copy"], [b"copy", b"of", b"copy"]]
+    around, within = defaultdict(set), Counter()
+    for words in documents:
+        bare = [w.strip(toxicity._EDGES) for w in words]
+        within.update(set(bare))
+        for i, w in enumerate(bare):
+            around[w].add((bare[i - 1] if i else b"", bare[i + 1] if i + 1 < len(bare) else b""))
+    assert toxicity._support(documents) == {w: min(within[w], len(s)) for w, s in around.items() if w}
+    assert toxicity._support([]) == toxicity._support([[]]) == {}
+
+
+def test_support_holds_little_more_than_the_words():
+    import tracemalloc
+
+    rng = np.random.default_rng(7)
+    names = [f"word{i}".encode() for i in range(5000)]
+    documents = [[names[j] for j in rng.integers(0, 5000, 400)] for _ in range(500)]
+    tracemalloc.start()
+    toxicity._support(documents)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 75 * 200_000  # sets of neighbours took 115 bytes a word
