@@ -218,3 +218,28 @@ def test_many_distinct_values_become_quantiles(spark):
     )
     cuts = trees.cut_points(df, 1)[0]
     assert len(cuts) == 255 and max(np.diff([-1.0, *cuts, 4999.0])) <= 22
+
+
+def test_binned_rows_are_dealt_to_all_slots(spark, data):
+    x, _, frame = data
+    one = trees.binned(frame.coalesce(1), [sorted(set(c)) for c in x.T.tolist()])
+    assert one.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert one.select("row").distinct().count() == len(x)
+
+
+@pytest.mark.parametrize("params", [BoostParams(), BoostParams(min_child_rows=9, min_child_weight=2.0, reg_lambda=0.0)])
+def test_best_cuts_are_those_of_the_gains_in_sql(spark, params, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(int(node), int(f), int(b), int(n), int(rng.integers(-3, 4)) * SCALE, int(n) * SCALE // 4)
+            for node in (1, 2, 7) for f in (0, 3, 4) for b in range(6) for n in rng.integers(1, 6, size=2)]
+    rows += [(9, f, 2, 4, SCALE, SCALE) for f in (3, 4)]  # a single value: no cut
+    rows += [(r[0], 5, *r[2:]) for r in rows if r[1] == 4]  # features 4 and 5 tie
+    cells = spark.createDataFrame(rows, trees.CELL_SCHEMA).repartition(3)
+    monkeypatch.setattr(trees, "MERGED", 64)
+    merged = cells.groupBy("node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in "ngh"])
+    want = trees.best_splits(trees.split_gains(merged, params))
+    got = trees.best_cuts(cells, params, 4, 4)
+    assert got.keys() == want.keys() == {1, 2, 7, 9} and want[9]["gain"] is None
+    for node, s in want.items():
+        assert got[node]["gain"] == s["gain"]
+        assert s["gain"] is None or all(got[node][c] == s[c] for c in ("feature", "bin", "nl", "gl", "hl", "n", "g", "h"))
