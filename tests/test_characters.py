@@ -10,7 +10,7 @@ import pytest
 
 from modlens.functions import characters as C
 from modlens.functions import scores as S
-from modlens.operators import pos
+from modlens.operators import pos, sentiment
 
 TEXTS = [
     "e", "ed ed", "the made me", "bed hated passes boxes horses sees less ies es ed e d s", "ee eed ped led ted ded ale l'e",
@@ -71,3 +71,15 @@ def test_text_features_run_no_function_for_every_character(spark, make):
     for frame in (S.readability_features(df), pos.pos_features(df), S.lexical_features(df)):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "ArrowEvalPython" in plan and "regexp_extract_all" not in plan and "regexp_count" not in plan
+
+
+def test_sentiment_context_of_batches():
+    tokens = pa.array([["skipped"], ["NOT", "very", "\"Good\"", "but", "((", "good!", "But"], [], ["so", "bad"]]).slice(1)
+    got = sentiment.reader(frozenset({"good", "bad"}))(tokens).to_pylist()
+    hit = lambda pos, *words: dict(zip(("pos", "token", "p1", "p2", "p3"), (pos, *words), strict=True))
+    assert got == [
+        {"n_caps": 1, "but_at": 3, "hits": [hit(2, "Good", "very", "NOT", None), hit(5, "good", "((", "but", "Good")]},
+        {"n_caps": 0, "but_at": -1, "hits": []},
+        {"n_caps": 0, "but_at": -1, "hits": [hit(1, "bad", "so", None, None)]},
+    ]
+    assert [len(r["hits"]) for r in sentiment.reader(None)(tokens).to_pylist()] == [7, 0, 2]
