@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import as_bytes, drop, mixed, signed, small, spread, text_blocks, word_hashes, written
+from .common import as_bytes, drop, mixed, signed, small, spread, text_blocks, word_hashes, written, written_parts
 from .components import components
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -46,6 +46,8 @@ PAIRS_PER_TASK = 2000
 PAIRS_PER_MEMBER = 16
 # Parts in which elements are counted, one after another, so that one part's shuffle files are there at a time.
 PASSES = 4
+# Pairs up to which all texts travel at once; of more, the pivots are compared in up to PASSES parts.
+PAIRS_PER_PASS = 100_000
 
 
 def shingle_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
@@ -185,19 +187,26 @@ def compared(docs: DataFrame, pairs: DataFrame, n: int, percent: int, elements:
     """The pairs (a, b) with their sizes, whether they link, in how many elements they differ, and these elements: the
     ``prefix`` that can decide, with ``all`` that the pivot lacks, or ``none``. A pivot ``a`` with many partners is compared in several tasks, each
     with its own copy of the pivot's set. A pivot with one partner has no elements: there is no other to link with."""
-    tasks = pairs.groupBy("a").agg(
-        F.ceil(F.count("*") / PAIRS_PER_TASK).cast("long").alias("n_tasks"),
-        F.when((F.count("*") > 1) & F.lit(elements != "none"), 1).otherwise(2).alias("kind"),
-    )
-    members = pairs.join(tasks, "a").select(
-        "a", F.pmod(F.xxhash64("b"), "n_tasks").alias("task"), F.col("b").alias("id"), "kind"
-    )
-    pivots = tasks.select(
-        "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_tasks") - 1)).alias("task"),
-        F.col("a").alias("id"), F.lit(0).alias("kind"),
-    )
-    wanted = written(members.unionByName(pivots), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(wanted), "id")
+    def compared_part(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        tasks = pairs.groupBy("a").agg(
+            F.ceil(F.count("*") / PAIRS_PER_TASK).cast("long").alias("n_tasks"),
+            F.when((F.count("*") > 1) & F.lit(elements != "none"), 1).otherwise(2).alias("kind"),
+        )
+        members = pairs.join(tasks, "a").select(
+            "a", F.pmod(F.xxhash64("b"), "n_tasks").alias("task"), F.col("b").alias("id"), "kind"
+        )
+        pivots = tasks.select(
+            "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_tasks") - 1)).alias("task"),
+            F.col("a").alias("id"), F.lit(0).alias("kind"),
+        )
+        wanted = written(members.unionByName(pivots), "wanted")
+        texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(wanted), "id")
+        # Texts travel, since they are smaller than the hashes of their n-grams.
+        dealt = texts.select("a", "task", "kind", "id", "text").repartition("a", "task")
+        done = dealt.sortWithinPartitions("a", "task", "kind").mapInArrow(
+            verify, "a long, b long, sa long, sb long, linked boolean, apart long, extra long, differ array<long>"
+        )
+        return done, wanted
 
     def verify(batches):
         pivot, at = None, None
@@ -228,12 +237,14 @@ def compared(docs: DataFrame, pairs: DataFrame, n: int, percent: int, elements:
                 ["a", "b", "sa", "sb", "linked", "apart", "extra", "differ"],
             )
 
-    # Texts travel, since they are smaller than the hashes of their n-grams.
-    dealt = texts.select("a", "task", "kind", "id", "text").repartition("a", "task").sortWithinPartitions("a", "task", "kind")
-    done = dealt.mapInArrow(verify, "a long, b long, sa long, sb long, linked boolean, apart long, extra long, differ array<long>")
-    done = written(done, "compared")
-    drop(docs.sparkSession, wanted)
-    return done
+    def parts():
+        passes = min(PASSES, 1 + pairs.count() // PAIRS_PER_PASS)
+        for part in range(passes):
+            done, wanted = compared_part(pairs.where(F.pmod(F.xxhash64("a"), F.lit(passes)) == part))
+            yield done
+            drop(docs.sparkSession, wanted)
+
+    return written_parts(docs.sparkSession, parts(), "compared")
 
 
 def _shared_elements(carried: DataFrame) -> DataFrame:

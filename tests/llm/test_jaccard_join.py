@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import random
 from itertools import combinations
 
 import numpy as np
 import pytest
 
+from modlens.llm import jaccard_join as join_module
 from modlens.llm.components import components
 from modlens.llm.jaccard_join import PartEnum, jaccard_join, one_per_group, shingle_sets
 
@@ -139,3 +141,25 @@ def test_a_write_leaves_no_shuffle_setting_behind(spark):
     before = spark.conf.get(FREE_SHUFFLES, None)
     table = written(spark.range(100).groupBy("id").count(), "t")
     assert table.count() == 100 and spark.conf.get(FREE_SHUFFLES, None) == before
+
+
+def test_many_pairs_are_compared_in_parts(spark, docs_of, monkeypatch):
+    """The texts of a part's pivots travel, not those of all; the pairs found are the same."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(100 * g + i, " ".join([f"g{g}", *words[:i], "x", *words[i + 1 :]])) for g in range(12) for i in range(6)]
+    docs = docs_of(rows)
+    pairs = spark.createDataFrame([(100 * g, 100 * g + i) for g in range(12) for i in range(1, 6)], "a long, b long")
+    whole = sorted(join_module.compared(docs, pairs, 3, 60).collect())
+    sizes, write = [], join_module.written
+
+    def spied(df, name):
+        table = write(df, name)
+        sizes.append(table.count() if name == "wanted" else 0)
+        return table
+
+    monkeypatch.setattr(join_module, "written", spied)
+    monkeypatch.setattr(join_module, "PAIRS_PER_PASS", 15)
+    found = join_module.compared(docs, pairs, 3, 60)
+    assert sorted(found.collect()) == whole and len(whole) == len(pairs.collect())
+    assert sum(sizes) == 72 and max(sizes) < 72
+    assert "_SUCCESS" in os.listdir(found.scratch_path)
