@@ -12,10 +12,11 @@ that share a key are verified with a banded bit-parallel edit distance.
 
 Members of a key are first held against its earliest line; those that this does not drop are open. A key with few
 open lines holds them against all its earlier ones. A key with more than HOT of them is a stretch that unlike lines have
-in common. Its members get finer keys: a line is cut into 8 pieces, later 16; a line within the edits leaves all but
-``edits`` of them unchanged, so a key is all pieces but these, and lines must agree in most of their text to share one.
-Keys of the last level hold their open lines against all earlier ones whatever their number: those lines agree in
-14 of 16 pieces. No pair within the edits is lost at any level.
+in common. Its members get finer keys: of lines within the edits, some shared segment i has at most i edits before it and
+at most ``edits`` - i behind. So the gaps on both sides of the shared segment are cut into pieces, about 8 a line, later
+16, and a key is the segment and all pieces but that many in each gap. Lines must agree in most of their text to share
+one. Keys of the last level hold their open lines against all earlier ones whatever their number: those lines agree in
+about 14 of 16 pieces. No pair within the edits is lost at any level.
 
 Edge cases: a null text stays null, an empty text has no line to drop; ties go by doc_id, then line number; rows
 that repeat a doc_id count as one document, so they do not drop each other's equal lines of the same number;
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 from functools import cache, reduce
 from itertools import combinations, product
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -89,27 +91,43 @@ def probes(length: int, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return tuple(columns[:, k] for k in range(1, 5))
 
 
+def gap_runs(indexed: int, length: int, edits: int, pieces: int) -> list[tuple[int, tuple, bool]]:
+    """How a gap beside a shared segment may agree with that of an indexed line, at most ``edits`` edits away: the
+    number of the pieces that may differ, the start and end of the edits + 1 runs between them, whether none is shifted.
+    The first run starts with the gap and the last one ends with it."""
+    if not edits:
+        return [(0, ((0, length),), True)] if indexed == length else []
+    cut, out = [indexed * i // pieces for i in range(pieces + 1)], []
+    steps = [(0, *x, length - indexed) for x in product(range(-edits, edits + 1), repeat=edits - 1)]
+    steps = [x for x in steps if sum(abs(q - p) for p, q in zip(x, x[1:])) <= edits]
+    for number, gone in enumerate(combinations(range(pieces), edits)):
+        first, last = (0, *(cut[g + 1] for g in gone)), (*(cut[g] for g in gone), indexed)
+        for shifts in steps:
+            runs = tuple((p + x, q + x) for p, q, x in zip(first, last, shifts, strict=True))
+            if all(0 <= p and q <= length for p, q in runs):
+                out.append((number, runs, not any(shifts)))
+    return out
+
+
 @cache
-def finer_probes(length: int, edits: int, pieces: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For lines of this length: starts and ends of the edits + 1 runs of each key, its tag, and whether it is one of
-    the line's own. A key is the pieces of a line of the length or of up to ``edits`` characters less but for ``edits``
-    of them; the runs between these are shifted by what was edited before."""
+def finer_probes(
+    length: int, slot: int, edits: int, pieces: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For lines of this length that share the key of this slot: starts and ends of the edits + 1 runs of each finer key,
+    its tag, and whether it is one of the line's own. Segment i of the indexed line is shared where at most i edits lie
+    before it and ``edits`` - i after it. A finer key is that segment and the pieces of both gaps but for that many."""
+    start, end, indexed, segment = (int(x[slot]) for x in probes(length, edits))
+    parts = edits + 1
+    after = edits - segment
+    cuts = [max(k + 1, -(-pieces * k // parts)) for k in (segment, after)]
+    left = gap_runs(indexed * segment // parts, start, segment, cuts[0])
+    right = gap_runs(indexed - indexed * (segment + 1) // parts, length - end, after, cuts[1])
     out: dict[tuple, bool] = {}
-    for shorter in range(edits + 1):
-        indexed = length - shorter
-        if indexed <= edits:
-            continue
-        cut = [indexed * i // pieces for i in range(pieces + 1)]
-        inner = product(range(-edits, edits + 1), repeat=max(0, edits - 1))
-        steps = [(0, *x, shorter) for x in inner] if edits else [(0,)]
-        steps = [x for x in steps if sum(abs(q - p) for p, q in zip(x, x[1:])) <= edits]
-        for number, gone in enumerate(combinations(range(pieces), edits)):
-            first, last = (0, *(cut[g + 1] for g in gone)), (*(cut[g] for g in gone), indexed)
-            for shifts in steps:
-                runs = [(p + x, q + x) if p < q else (0, 0) for p, q, x in zip(first, last, shifts, strict=True)]
-                if all(0 <= p and q <= length for p, q in runs):
-                    key = (indexed << 20 | number, *(p for p, _ in runs), *(q for _, q in runs))
-                    out[key] = out.get(key, False) or not (shorter or any(shifts))
+    for (i, before, plain), (j, behind, as_plain) in product(left, right):
+        runs = [*before[:-1], (before[-1][0], end + behind[0][1]), *((end + p, end + q) for p, q in behind[1:])]
+        runs = [(p, q) if p < q else (0, 0) for p, q in runs]
+        key = (((indexed * 64 + segment) << 24) + i * comb(cuts[1], after) + j, *(p for p, _ in runs), *(q for _, q in runs))
+        out[key] = out.get(key, False) or (slot <= edits and plain and as_plain)
     table = np.array(list(out), dtype=np.int64).reshape(-1, 2 * edits + 3)
     own = np.fromiter(out.values(), bool, len(out))
     return table[:, 1 : edits + 2], table[:, edits + 2 :], mixed(table[:, 0].astype(np.uint64) + _STEP), own
@@ -138,7 +156,7 @@ class _Hasher:
 
 
 def by_length(length: np.ndarray):
-    """Each length and the indices of the lines that have it."""
+    """Each length (or other number) and the indices of the lines that have it."""
     order = np.argsort(length, kind="stable")
     sizes, first = np.unique(length[order], return_index=True)
     return zip(sizes.tolist(), np.split(order, first[1:]), strict=True) if len(order) else ()
@@ -170,18 +188,24 @@ def line_records(texts: list[str], min_chars: int, near_chars: int, edits: int):
     return owner[kept], number[kept], length, signed(d1), signed(d2), counts, signed(keys)
 
 
-def finer_keys(lines: list[str], edits: int, pieces: int):
-    """Index of the line, key, and whether it is one of the line's own, for blocks of the lines."""
+def finer_keys(lines: list[str], edits: int, pieces: int, slots: np.ndarray | None = None):
+    """Index of the line, key, and whether it is one of the line's own, for blocks of the lines; each line with the
+    slot of the key that it shares, or with all slots."""
     salt = np.arange(1, edits + 2, dtype=np.uint64) * _STEP
     for low in range(0, len(lines), 1024):
         hashed = _Hasher(lines[low : low + 1024])
-        for size, rows in by_length(hashed.length):
-            starts, ends, tag, own = finer_probes(size, edits, pieces)
-            at, total = hashed.start[rows][:, None], np.zeros((len(rows), len(tag)), dtype=np.uint64)
-            for r in range(edits + 1):
-                total += mixed(hashed(at + starts[:, r], at + ends[:, r]) + salt[r])
-            keys = mixed(total) + tag
-            yield np.repeat(rows + low, len(tag)), signed(keys.ravel()), np.tile(own, len(rows))
+        for size, of_size in by_length(hashed.length):
+            if slots is None:
+                groups = [(slot, of_size) for slot in range(len(probes(size, edits)[0]))]
+            else:
+                groups = [(slot, of_size[among]) for slot, among in by_length(slots[low + of_size])]
+            for slot, rows in groups:
+                starts, ends, tag, own = finer_probes(size, slot, edits, pieces)
+                at, total = hashed.start[rows][:, None], np.zeros((len(rows), len(tag)), dtype=np.uint64)
+                for r in range(edits + 1):
+                    total += mixed(hashed(at + starts[:, r], at + ends[:, r]) + salt[r])
+                keys = mixed(total) + tag
+                yield np.repeat(rows + low, len(tag)), signed(keys.ravel()), np.tile(own, len(rows))
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -306,34 +330,40 @@ def near_lines(docs: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
 
 
 def finer_entries(docs: DataFrame, positions: DataFrame, edits: int, pieces: int) -> DataFrame:
-    """(key, at, indexed) of the lines at the positions ``at``, with the keys of a finer cut."""
+    """(key, at, indexed, slot) of the lines at the positions ``at``, with finer keys inside the one that has the slot."""
     wanted = positions.groupBy(
         F.col("at.doc_id").alias("doc_id"), F.pmod(F.xxhash64("at.line"), F.lit(16)).alias("part")
-    ).agg(F.collect_list("at.line").alias("wanted"))
+    ).agg(F.collect_list(F.struct("at.line", "slot")).alias("wanted"))
     wanted = written(wanted, "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(wanted, 100_000), "doc_id")
 
     def run(batches):
         for block in text_blocks(batches):
             get = lambda name: block.column(block.schema.get_field_index(name)).to_pylist()
-            ids, numbers, lines = [], [], []
+            ids, numbers, slots, lines = [], [], [], []
             for doc_id, text, wanted in zip(get("doc_id"), get("text"), get("wanted"), strict=True):
                 split = (text or "").split("\n")
-                inside = [w for w in wanted if w < len(split)]
+                inside = [w for w in wanted if w["line"] < len(split)]
                 ids += [doc_id] * len(inside)
-                numbers += inside
-                lines += [split[w] for w in inside]
-            ids, numbers = np.array(ids, dtype=np.int64), np.array(numbers, dtype=np.int64)
-            for rows, keys, own in finer_keys(lines, edits, pieces):
-                columns = [ids[rows], numbers[rows], keys, own]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["doc_id", "line", "key", "indexed"])
-
-    found = texts.mapInArrow(run, "doc_id long, line long, key long, indexed boolean")
-    return found.select("key", F.struct("doc_id", "line").alias("at"), "indexed").distinct()
+                numbers += [w["line"] for w in inside]
+                slots += [w["slot"] for w in inside]
+                lines += [split[n] for n in numbers[len(lines) :]]
+            ids, numbers, slots = (np.array(x, dtype=np.int64) for x in (ids, numbers, slots))
+            sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+            # Rows that repeat an id may hold a line of another length there, without this slot.
+            most = {n: len(probes(n, edits)[0]) for n in np.unique(sizes).tolist()}
+            fits = np.flatnonzero([slot < most[n] for slot, n in zip(slots.tolist(), sizes.tolist(), strict=True)])
+            ids, numbers, slots, lines = ids[fits], numbers[fits], slots[fits], [lines[i] for i in fits.tolist()]
+            for rows, keys, own in finer_keys(lines, edits, pieces, slots):
+                columns = [ids[rows], numbers[rows], keys, own, slots[rows]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["doc_id", "line", "key", "indexed", "slot"])
+
+    found = texts.mapInArrow(run, "doc_id long, line long, key long, indexed boolean, slot long")
+    return found.select("key", F.struct("doc_id", "line").alias("at"), "indexed", "slot").distinct()
 
 
 def near_firsts(docs: DataFrame, entries: DataFrame, edits: int) -> DataFrame:
-    """The positions ``at`` of entries (key, at, indexed) whose line is near an earlier one that shares a key. The
+    """The positions ``at`` of entries (key, at, indexed, slot) whose line is near an earlier one that shares a key. The
     written table ``entries`` is deleted."""
     spark, decided = docs.sparkSession, []
     known = lambda: reduce(DataFrame.union, decided)
@@ -361,7 +391,7 @@ def near_firsts(docs: DataFrame, entries: DataFrame, edits: int) -> DataFrame:
         decided.append(written(more.select(F.col("b").alias("at")).distinct(), "decided"))
         done = not hot.limit(1).count()
         if not done:
-            positions = members.join(small(hot), "key", "left_semi").select("at").distinct()
+            positions = members.join(small(hot), "key", "left_semi").select("at", "slot").distinct()
             entries = written(finer_entries(docs, positions, edits, pieces), "entries")
         drop(spark, members, pairs, found, open_, hot, rest, more)
         if done:
@@ -389,11 +419,14 @@ def dropped_lines(
         )
         parts.append(written(shared.where("lo <> hi and useful = 1").select("key"), "shared"))
     shared = reduce(DataFrame.union, parts)
-    entries = lines.select(*same, at.alias("first"), F.posexplode("keys").alias("slot", "key")).join(small(shared, KEYS), "key")
-    entries = entries.join(classes.select(*same, "first"), [*same, "first"], "left_semi")
-    entries = entries.select("key", F.col("first").alias("at"), (F.col("slot") <= edits).alias("indexed"))
+    # Written before copies are left out: Spark would do that on all keys of all lines, before the join with the shared.
+    met = lines.select(*same, at.alias("first"), F.posexplode("keys").alias("slot", "key")).join(small(shared, KEYS), "key")
+    met = written(met, "met")
+    entries = met.join(classes.select(*same, "first"), [*same, "first"], "left_semi")
+    slot = F.col("slot").cast("long")
+    entries = entries.select("key", F.col("first").alias("at"), (slot <= edits).alias("indexed"), slot.alias("slot"))
     entries = written(entries, "entries")
-    drop(spark, *parts)
+    drop(spark, met, *parts)
     near = near_firsts(docs, entries, edits)
     firsts = near.select(F.col("at").alias("first"), F.lit(True).alias("near"))
     bad = written(classes.join(firsts, "first", "left").where("near or copies > 1"), "bad")
@@ -409,7 +442,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, near_chars: int = 40, edits
     lists = written(dropped.groupBy("doc_id").agg(F.collect_set("line").alias("__dropped")), "dropped")
     drop(docs.sparkSession, dropped)
     ids = docs.withColumn("__line_id", F.col("doc_id").cast("long"))
-    joined = ids.join(lists.select(F.col("doc_id").alias("__line_id"), "__dropped"), "__line_id", "left").drop("__line_id")
+    joined = ids.join(small(lists).select(F.col("doc_id").alias("__line_id"), "__dropped"), "__line_id", "left").drop("__line_id")
     fields = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_dropped")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_lines long, n_dropped long"])
 

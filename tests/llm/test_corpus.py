@@ -363,3 +363,37 @@ def test_pipeline_packs_what_is_left(spark, stages):
     again = corpus_pipeline.run(spark, sf_dir)
     key = lambda r: (r["doc_id"], r["start"], r["length"], r["ids_crc32"])
     assert sorted(map(key, again.collect())) == sorted(map(key, after.collect()))
+
+
+def test_finer_keys_stay_inside_the_shared_one():
+    """A line of 90 characters has few finer keys for the key it shares with many (195 before), and lines within two
+    edits share one of them wherever they are edited."""
+    rng = random.Random(5)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    starts, ends, _, own = line_dedup.finer_probes(90, 0, 2, 8)
+    assert starts.shape == ends.shape and own.any() and len(own) <= 60
+    for slot in range(len(line_dedup.probes(90, 2)[0])):
+        assert len(line_dedup.finer_probes(90, slot, 2, 8)[2]) <= 60
+    for _ in range(100):
+        other, found = list(line), [{}, {}]
+        for _ in range(2):
+            at = rng.randrange(len(other))
+            other[at : at + rng.randrange(2)] = rng.choice(["", "x", "y"])
+        other = "".join(other)
+        for rows, keys, own in line_dedup.finer_keys([line, other], 2, 16):
+            for row, key, mine in zip(rows.tolist(), keys.tolist(), own.tolist(), strict=True):
+                found[row][key] = found[row].get(key, False) or mine
+        assert any(found[0][k] or found[1][k] for k in found[0].keys() & found[1].keys())
+
+
+def test_copies_leave_after_the_join_with_shared_keys(docs_of, line_rows, monkeypatch):
+    """All keys of all lines are unfolded where they meet the shared ones, and not shuffled to leave out copies."""
+    plans, write = {}, line_dedup.written
+
+    def spied(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(line_dedup, "written", spied)
+    line_dedup.line_dedup(docs_of(line_rows)).count()
+    assert "LeftSemi" in plans["entries"] and "Generate" not in plans["entries"]
