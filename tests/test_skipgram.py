@@ -117,3 +117,24 @@ def test_repeated_places_are_summed():
     np.add.at(want, at, rows)
     sg._add(table, at, rows)
     assert table == pytest.approx(want)
+
+
+def test_a_word_that_fills_updates_does_not_overshoot():
+    """Its summed steps are bounded; without a bound its vector grows by more each time until nothing is finite."""
+    params, rng = sg.SkipGramParams(vector_size=20), np.random.default_rng(1)
+    vectors = ((rng.random((4096, 20)) - 0.5) / 20).astype("f4")
+    context, counts = np.zeros_like(vectors), np.ones(4096, np.int64)
+    counts[:2] = 4096
+    for k in range(30):
+        words, others, hot = rng.integers(0, 4096, 8192), rng.integers(0, 4096, 8192), rng.random(8192) < 0.7
+        words[hot], others[~hot] = k % 2, k % 2
+        sg.train(vectors, context, counts, words, others, 0.025, rng, params)
+    assert np.abs(vectors).max() < 100 and np.abs(context).max() < 100
+
+
+def test_training_leaves_one_table_of_blocks(spark, corpus, monkeypatch):
+    """Shuffles, pairs and copies of the documents go as soon as nothing reads them again."""
+    dropped, release = [], sg.release
+    monkeypatch.setattr(sg, "release", lambda spark, df: (dropped.append(tuple(df.columns)), release(spark, df)))
+    sg.skip_gram(corpus, "tokens", sg.SkipGramParams(4, epochs=1, blocks=2)).count()
+    assert ("tokens",) in dropped and any("others" in columns for columns in dropped)
