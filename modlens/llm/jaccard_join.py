@@ -44,8 +44,10 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 PAIRS_PER_TASK = 2000
 # Pairs a member may add, on average, before its pivot's elements are ordered by rarity.
 PAIRS_PER_MEMBER = 16
-# Parts in which elements are counted, one after another, so that one part's shuffle files are there at a time.
+# Parts in which signatures and elements are counted, one after another, so that one part's shuffle files are there at a time.
 PASSES = 4
+# Documents up to which all signatures are counted at once; those of more are counted in up to PASSES parts.
+DOCS_PER_PASS = 25_000
 # Pairs up to which all texts travel at once; of more, the pivots are compared in up to PASSES parts.
 PAIRS_PER_PASS = 100_000
 
@@ -143,7 +145,9 @@ def _part_enum(percent: int) -> PartEnum:
 
 
 def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, signatures): size, 128-bit digest and signatures of each document's set."""
+    """(doc_id, n_shingles, d1, d2, s0, s1, ...): size, 128-bit digest and signatures of each document's set, these in
+    ``PASSES`` columns by their value, so that each part is read alone."""
+    names = [f"s{part}" for part in range(PASSES)]
 
     def run(batches):
         enum = _part_enum(percent)
@@ -154,20 +158,19 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 digests.append((features.sum(dtype=np.uint64), mixed(features + _STEP).sum(dtype=np.uint64)))
                 found.append(enum.signatures(features))
             digests = signed(np.array(digests, dtype=np.uint64).reshape(-1, 2))
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-            flat = signed(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            flat = np.concatenate([np.zeros(0, np.uint64), *found])
+            owner, part = np.repeat(np.arange(len(found)), [len(x) for x in found]), flat % np.uint64(PASSES)
+            lists = []
+            for k in range(PASSES):
+                ends = np.cumsum(np.bincount(owner[part == k], minlength=len(found)))
+                offsets = np.concatenate(([0], ends)).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(flat[part == k]))))
             yield pa.RecordBatch.from_arrays(
-                [
-                    block.column(0),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(digests[:, 0]),
-                    pa.array(digests[:, 1]),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                ],
-                ["doc_id", "n_shingles", "d1", "d2", "signatures"],
+                [block.column(0), pa.array(sizes, pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), *lists],
+                ["doc_id", "n_shingles", "d1", "d2", *names],
             )
 
-    schema = "doc_id long, n_shingles long, d1 long, d2 long, signatures array<long>"
+    schema = ", ".join(["doc_id long, n_shingles long, d1 long, d2 long", *(f"{c} array<long>" for c in names)])
     return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, schema)
 
 
@@ -337,6 +340,29 @@ def across_components(docs: DataFrame, stars: DataFrame, found: DataFrame, n: in
     return pairs
 
 
+def _stars(base: DataFrame, copies: DataFrame) -> Iterator[DataFrame]:
+    """Pairs (a, b) of the smallest document of a signature and each other one, a part of the signatures at a time: all of
+    them are many times the documents, in tasks and in shuffles."""
+    keys = ["d1", "d2", "n_shingles"]
+    left_out, passes = small(copies), min(PASSES, 1 + base.count() // DOCS_PER_PASS)
+    for part in range(passes):
+        own = F.concat(*(f"s{k}" for k in range(part, PASSES, passes)))
+        one = base.select("doc_id", *keys, own.alias("signatures")).where("size(signatures) > 0")
+        entries = one.join(left_out, ["doc_id", *keys], "left_anti").select(
+            F.explode("signatures").alias("sig"), F.col("doc_id").alias("b")
+        )
+        shared = entries.groupBy("sig").agg(F.count("*").alias("n"), F.min("b").alias("lo"), F.max("b").alias("hi"))
+        shared = written(shared.where("n > 1"), "shared")
+        many = written(shared.where("n > 2").select("sig", F.col("lo").alias("a")), "many")
+        yield (
+            shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+            .union(entries.join(small(many), "sig").select("a", "b"))
+            .where("a <> b")
+            .distinct()
+        )
+        drop(base.sparkSession, shared, many)
+
+
 def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable over links of
     Jaccard similarity percent/100 or more on word n-grams)."""
@@ -348,23 +374,10 @@ def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     copies = written(
         base.select("doc_id", *keys).join(classes, keys).where("doc_id <> rep").select("doc_id", *keys).distinct(), "copies"
     )
-    entries = (
-        base.where("size(signatures) > 0")
-        .join(small(copies), ["doc_id", *keys], "left_anti")
-        .select(F.explode("signatures").alias("sig"), F.col("doc_id").alias("b"))
-    )
-    shared = entries.groupBy("sig").agg(F.count("*").alias("n"), F.min("b").alias("lo"), F.max("b").alias("hi"))
-    shared = written(shared.where("n > 1"), "shared")
-    many = written(shared.where("n > 2").select("sig", F.col("lo").alias("a")), "many")
-    stars = (
-        shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-        .union(entries.join(small(many), "sig").select("a", "b"))
-        .where("a <> b")
-        .distinct()
-    )
-    pairs = written(stars, "stars")
+    stars = written_parts(docs.sparkSession, _stars(base, copies), "stars")
+    pairs = written(stars.distinct(), "pairs")
     members = written(base.select("doc_id", *keys), "members")
-    drop(docs.sparkSession, base, copies, shared, many)
+    drop(docs.sparkSession, base, copies, stars)
     stars = compared(docs, pairs, n, percent)
     links = written(stars.where("linked").select("a", "b"), "links")
     found = components(links)

@@ -163,3 +163,18 @@ def test_many_pairs_are_compared_in_parts(spark, docs_of, monkeypatch):
     assert sorted(found.collect()) == whole and len(whole) == len(pairs.collect())
     assert sum(sizes) == 72 and max(sizes) < 72
     assert "_SUCCESS" in os.listdir(found.scratch_path)
+
+
+def test_signatures_of_many_documents_are_counted_in_parts(docs_of, copies, monkeypatch):
+    """A part's signatures are unfolded and shuffled, not all of them; the components are the same."""
+    rows, yielded, stars = copies[:60], [], join_module._stars
+
+    def spied(base, found):
+        for part in stars(base, found):
+            yielded.append(part.count())
+            yield part
+
+    monkeypatch.setattr(join_module, "_stars", spied)
+    monkeypatch.setattr(join_module, "DOCS_PER_PASS", 15)
+    got = {r[0]: (r[1], r[2]) for r in jaccard_join(docs_of(rows), 3, 90).collect()}
+    assert got == exact(rows, 3, 90) and len(yielded) == join_module.PASSES and sum(yielded) > 0
