@@ -46,3 +46,12 @@ def test_plain_differences_are_left_to_few_rows(monkeypatch):
     monkeypatch.setattr(knn.np, "einsum", lambda s, a, b: seen.append(len(a)) or stacked(s, a, b))
     knn.nearest_rows(matrix[:500], matrix, np.arange(500), np.arange(3000), 5)
     assert sum(seen) < 500 * 5 + 3500 + 1000
+
+
+def test_resampling_methods_leave_only_their_sizes(spark, sf_dir):
+    """Each method has ended, and its shuffles are gone, before the next one starts."""
+    from modlens.plans import catalog
+
+    found = catalog.resampled_sizes(spark, sf_dir)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and {r["method"] for r in found.collect()} == set(catalog.resample.METHODS)
